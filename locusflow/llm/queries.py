@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding
+from . import decontamination, media, mixing, secrets, sharding, simhash, tokens
 from .common import documents, text_or_empty, word_count
 from .sql import ORACLES
 
@@ -19,6 +19,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text under every rule; digests of the spans found."""
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
+    spelled = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in secrets.RULES if r.base]))
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"),
+    )
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text as an AVI media column, and what reading that back gives."""
+    read = media.analyse(media.store(documents(spark, sf_dir, "doc_id", "text")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, shuffled into 40 shards; the digests come from the shuffled records."""
     dealt = sharding.shard(documents(spark, sf_dir), 40)
@@ -26,9 +44,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", sharding.record_size("text").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole text against every window of the benchmark."""
     return decontamination.scan(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, table="benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_sharding, op8_decontamination)}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text counted as the 32k piece model has it; the limit is read off the prefix counts."""
+    import public_tokenizers
+
+    counted = tokens.count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "keep_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op6_sharding, op7_simhash, op8_decontamination, op10_tokens)
+}

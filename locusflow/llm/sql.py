@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over the whole tables."""
 
+from .secrets import RULES
+
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -45,4 +47,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
-ORACLES = {"op1_mixing": OP1, "op8_decontamination": OP8}
+
+
+def op2() -> str:
+    """Spans of every rule as the query has them: text before a match and the matches before it add up to where it starts."""
+    steps, lists = [], []
+    for i, rule in enumerate(RULES):
+        p = rule.pattern.replace("'", "''")
+        steps.append(f"regexp_extract_all(t, '({p})', 1) AS m{i}, regexp_extract_all(t, '({p})', {rule.group + 1}) AS g{i}, string_split_regex(t, '{p}') AS b{i}")
+        start = f"CAST(list_sum([length(x) FOR x IN b{i}[1:j]]) + coalesce(list_sum([length(x) FOR x IN m{i}[1:j - 1]]), 0) AS BIGINT)"
+        lists.append(f"[{{'s': {start}, 'n': {i}, 'e': {start} + length(m{i}[j]), 'k': '{rule.kind}'}} FOR j IN range(1, len(m{i}) + 1) IF length(g{i}[j]) >= {rule.least}]")
+    base = ", ".join(str(i) for i, r in enumerate(RULES) if r.base)
+    spelled = lambda a: f"coalesce(array_to_string([x.k || ':' || x.s || ':' || x.e FOR x IN {a}], ','), '')"
+    counts = ", ".join(f"CAST(len([x FOR x IN a IF x.n = {i}]) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(RULES) if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {", ".join(steps)} FROM d),
+s AS (SELECT doc_id, list_sort({" || ".join(lists)}) AS a FROM m)
+SELECT doc_id, {counts}, sha256({spelled(f"[y FOR y IN a IF y.n IN ({base})]")}) AS base_sha256, {spelled("a")} AS spans FROM s
+"""
+
+
+ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op8_decontamination": OP8}
