@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, media, mixing, secrets, sharding, simhash, tokens
-from .common import documents, text_or_empty, word_count
+from . import chaining, decontamination, media, mixing, quality, secrets, sharding, simhash, tokens, warc
+from .common import checkpoint_dir, checkpointed, documents, text_or_empty, word_count
 from .sql import ORACLES
 
 
@@ -37,6 +38,20 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").alias("n_clips"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fuzzy passage of 50 words and more that documents share."""
+    return chaining.passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back, assembled into captures and summed up; the archives are then deleted."""
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(documents(spark, sf_dir, table="pages"), path)
+    found = checkpointed(warc.captures(warc.assemble(warc.read(spark, path))))
+    warc.remove(spark, path)
+    return found
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, shuffled into 40 shards; the digests come from the shuffled records."""
     dealt = sharding.shard(documents(spark, sf_dir), 40)
@@ -54,6 +69,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, table="benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from labels outside the held-out fold."""
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, table="labels"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole text counted as the 32k piece model has it; the limit is read off the prefix counts."""
     import public_tokenizers
@@ -63,5 +83,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op6_sharding, op7_simhash, op8_decontamination, op10_tokens)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op4_passages, op5_warc, op6_sharding, op7_simhash, op8_decontamination, op9_quality, op10_tokens)
 }

@@ -49,6 +49,14 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 
 
 
+OP5 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
+
+
 def op2() -> str:
     """Spans of every rule as the query has them: text before a match and the matches before it add up to where it starts."""
     steps, lists = [], []
@@ -68,4 +76,4 @@ SELECT doc_id, {counts}, sha256({spelled(f"[y FOR y IN a IF y.n IN ({base})]")})
 """
 
 
-ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op8_decontamination": OP8}
+ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op5_warc": OP5, "op8_decontamination": OP8}
