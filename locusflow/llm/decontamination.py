@@ -144,12 +144,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int =
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, in their own columns."""
     windows = checkpointed(benchmark_windows(benchmark, n))
+    docs = docs.select(text_col, F.struct("*").alias("_record"))
     if windows.count() <= set_windows:
-        return hits(docs, windows, set_windows, text_col).filter(F.size("windows") == 0).select(*docs.columns)
+        return hits(docs, windows, set_windows, text_col).filter(F.size("windows") == 0).select("_record.*")
     rowed = hits(docs, windows, set_windows, text_col).withColumn("_row", F.monotonically_increasing_id())
     rowed = checkpointed(rowed.withColumn("windows", F.array_distinct(F.transform("windows", lambda x: x["window"]))))
     bad = rowed.select("_row", F.explode("windows").alias("window")).join(windows.select("window"), "window", "left_semi").select("_row").distinct()
-    return rowed.join(bad, "_row", "left_anti").select(*docs.columns)
+    return rowed.join(bad, "_row", "left_anti").select("_record.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
@@ -160,10 +161,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows
     windows = checkpointed(benchmark_windows(benchmark, n))
     if windows.count() > set_windows:
         raise ValueError("raise set_windows: spans are cut where the set is at hand")
-    found = hits(docs, windows, set_windows, text_col)
+    columns = docs.columns
+    found = hits(docs.select(text_col, F.struct("*").alias("_record")), windows, set_windows, text_col)
     pieces = F.split(text_col, r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])")
     lead = F.when(F.element_at(pieces, 1).rlike(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z"), 1).otherwise(0)
     gone = F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
     kept = F.array_join(F.filter(F.transform(F.col("_pieces"), lambda p, i: F.struct(p.alias("p"), (i - F.col("_lead")).alias("i"))), lambda x: ~F.array_contains(F.col("_gone"), x["i"]))["p"], "")
     cut = found.withColumns({"_pieces": pieces, "_lead": lead, "_gone": gone}).withColumn(text_col, F.when(F.size("windows") > 0, kept).otherwise(F.col(text_col)))
-    return cut.select(*docs.columns)
+    return cut.select(*[F.col(text_col) if c == text_col else F.col(f"_record.`{c}`") for c in columns])
