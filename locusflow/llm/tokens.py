@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import sub
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,6 +39,7 @@ class PrefixCounter:
         self.scores = {lib.id_to_piece(i): lib.get_score(i) for i in ordinary}
         self.longest = max(map(len, self.scores))
         self.cut = self.segments()
+        self.lead = len(lib.encode("\n"))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, bytes]] = {}
 
@@ -64,26 +67,19 @@ class PrefixCounter:
         kinds = ["[" + "".join(map(re.escape, sorted(g))) + "]+" for g in sorted(groups.values(), key=len, reverse=True) if len(g) > 1]
         return re.compile(f"(?s){MARK}*(?:{'|'.join([*kinds, f'[^{MARK}]'])})|{MARK}+")
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short string by merging, best score first, leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a short string, encoded behind a newline, which is a byte piece that joins nothing."""
+        return self.library.encode("\n" + text.replace(MARK, " "), out_type=str)[self.lead :]
 
     def stand_together(self, left: str, right: str) -> bool:
+        """Whether two pieces encode to themselves side by side; a character of no piece stands with anything."""
         key = (left, right)
         if (out := self.pairs.get(key)) is None:
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            out = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+            parts = [p for p in (left, right) if p]
+            known = all(p in self.scores for p in parts)
+            out = self.pairs[key] = not known or self.pieces(left + right) == parts
         return out
 
     def counts(self, segment: str) -> list[int]:
@@ -103,15 +99,14 @@ class PrefixCounter:
         return count[1:]
 
     def by_library(self, segment: str) -> int:
-        """The library's count of a segment, behind a newline, which is a byte piece that joins nothing."""
-        return len(self.library.encode("\n" + segment.replace(MARK, " "))) - len(self.library.encode("\n"))
+        return len(self.library.encode("\n" + segment.replace(MARK, " "))) - self.lead
 
     def segment(self, segment: str) -> tuple[int, bytes]:
         """The segment's count and its difference at each character; the library has the last word."""
         found = self.counts(segment)
         if not found or found[-1] != self.by_library(segment):
             found = [self.by_library(segment[:i]) for i in range(1, len(segment) + 1)]
-        return found[-1], np.diff(found, prepend=0).astype("<i2").tobytes()
+        return found[-1], pack(f"<{len(found)}h", *map(sub, found, [0, *found]))
 
     def deltas(self, text: str) -> tuple[int, bytes]:
         """The text's count and, as 16-bit integers, how the count changes with each character.
