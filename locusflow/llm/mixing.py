@@ -19,6 +19,9 @@ from .common import checkpointed, without, word_count
 
 ADDED = ("size", "source_size", "target", "taken", "passes", "head_words", "part_from", "part_words", "shard", "skey")
 
+#: Up to so many sources (some 20 MB) are sent to every task; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
 
 def source_key(source: str) -> Column:
     """A string that sorts sources by code point with null last, and is never null itself."""
@@ -95,11 +98,12 @@ def mix(
     wide = without(wide, *ADDED).withColumnRenamed("_size", "size").withColumn("skey", source_key(source_col)).withColumn("_digest", seeded(seed, F.col(id_col)))
     narrow = checkpointed(wide.select("skey", "size", "_digest"))
     sources = checkpointed(targets(narrow.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    least, total = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target")).first()
+    least, total, n_sources = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target"), F.count("*")).first()
     block = int(min(block_words, max(1, (least or 0) // 1000)))
     seats = int((total or 0) / block + 0.5)
     parts = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     sources = apportion(sources.withColumns({"_seats": F.lit(seats), "_parts": parts}), [], "skey", "target", "_seats").withColumnRenamed("quota", "_seats2").drop("_seats")
+    sources = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
 
     into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(number_of(F.col("_digest")), F.col("_parts")))
     cells = into(narrow).groupBy("skey", "shard").agg(F.sum("size").alias("cell"), F.max("_seats2").alias("_seats2"))
