@@ -8,8 +8,6 @@ verified on the words themselves, all within one narrow pass. A larger set is jo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +74,16 @@ def window_hash(parts: Column, length: int) -> Column:
     return at
 
 
-def _looked_up(name: str, hashes: list[int], known: list[str], spelled: Callable[[Column], Column]) -> Column:
-    """The windows at positions whose hash is known, less those that differ in their words."""
-    marked = F.transform(name, lambda h, i: F.when(h.isin(hashes), i).otherwise(F.lit(-1)))
-    return F.filter(F.transform(F.filter(marked, lambda i: i >= 0), spelled), lambda x: x["window"].isin(known))
+def _looked_up(name: str, hashes: list[int], known: list[str], length: int) -> Column:
+    """The windows at positions whose hash is known, less those that differ in their words.
+
+    As SQL text, which is parsed at once: thousands of literals are slow to make one by one. Words
+    hold no quotes, backslashes or other ASCII signs.
+    """
+    numbers, texts = ", ".join(f"{h}L" for h in hashes), ", ".join(f"'{w}'" for w in known)
+    spots = f"filter(transform({name}, (h, i) -> CASE WHEN h IN ({numbers}) THEN i ELSE -1 END), i -> i >= 0)"
+    spelled = f"transform({spots}, i -> struct(i AS pos, {length} AS len, array_join(slice(_w, i + 1, {length}), ' ') AS window))"
+    return F.expr(f"filter({spelled}, x -> x.window IN ({texts}))")
 
 
 def hits(docs: DataFrame, windows: DataFrame, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
@@ -104,7 +108,7 @@ def hits(docs: DataFrame, windows: DataFrame, set_windows: int = 200_000, text_c
         ours = [r["window"] for r in known if r["len"] == k]
         parts = spark.createDataFrame([(w,) for w in ours], "w string").select(F.split("w", " ").alias("w"))
         hashes = [r[0] for r in parts.select(window_hash(F.col("w"), k)).collect()]
-        found.append(_looked_up(names[k], hashes, ours, spelled(k)))
+        found.append(_looked_up(names[k], hashes, ours, k))
     kept = [c for c in docs.columns if not c.startswith(("_h", "_w"))]
     return docs.withColumn("windows", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]).select(*[F.col(f"`{c}`") for c in kept], "windows")
 
