@@ -150,7 +150,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_win
     windows = checkpointed(benchmark_windows(benchmark, n))
     docs = docs.select(text_col, F.struct("*").alias("_record"))
     if windows.count() <= set_windows:
-        return hits(docs, windows, set_windows, text_col).filter(F.size("windows") == 0).select("_record.*")
+        # A filter isn't pushed below a generator: below it, the steps of the hash would be spelled out anew at each use.
+        found = hits(docs, windows, set_windows, text_col).select("_record", F.explode_outer(F.array(F.size("windows"))).alias("_n"))
+        return found.filter("_n = 0").select("_record.*")
     rowed = hits(docs, windows, set_windows, text_col).withColumn("_row", F.monotonically_increasing_id())
     rowed = checkpointed(rowed.withColumn("windows", F.array_distinct(F.transform("windows", lambda x: x["window"]))))
     bad = rowed.select("_row", F.explode("windows").alias("window")).join(windows.select("window"), "window", "left_semi").select("_row").distinct()
