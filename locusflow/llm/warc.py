@@ -7,6 +7,7 @@ record are the sink's line separator, so the files come from Spark's own committ
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ def _record(kind: str | Column, id_: Column, fields: list[tuple[str, Column]], b
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = 6_000) -> None:
-    """Writes the captures of ``pages`` (page_id, url, html) as .warc text files under ``path``.
+    """Writes the captures of ``pages`` (page_id, url, html) as gzipped WARC files under ``path``.
 
     Of pages with equal payloads of at least 100 bytes, the one with the smallest page_id is the
     response and the others revisit it; rows that repeat that page_id with that payload are all
@@ -72,7 +73,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = 6_000) -> None:
             F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit("via: locusflow")),
         ),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORD = T.StructType([
@@ -108,7 +109,7 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, path: str, rows_per_batch: int = 500) -> DataFrame:
-    """The records of all archives under ``path``; a file, of which writers bound the records, is read by one task."""
+    """The records of all archives under ``path``, gzipped or plain; a file, of which writers bound the records, is read by one task."""
     import pyarrow as pa
 
     arrow = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary())])
@@ -117,7 +118,8 @@ def read(spark: SparkSession, path: str, rows_per_batch: int = 500) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 held: list[dict] = []
-                for record in parse(batch.column("content")[i].as_py()):
+                data = batch.column("content")[i].as_py()
+                for record in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     held.append(record)
                     if len(held) >= rows_per_batch:
                         yield pa.RecordBatch.from_pylist(held, arrow)
