@@ -32,7 +32,8 @@ def _parser() -> argparse.ArgumentParser:
     add("version")
     add("revcomp", "sequence")
     add("register", "assembly", source={}, sha256={}, force=yes)
-    add("register-gtf", "assembly", "gtf", "name", force=yes, no_check_chromosomes=yes, infer=yes)
+    add("register-gtf", "assembly", "gtf", "name", force=yes, no_check_chromosomes=yes, infer_genes=yes, infer_transcripts=yes)
+    add("register-annotation", "assembly", "name", table={"required": True}, force=yes, no_check_chromosomes=yes, infer_genes=yes, infer_transcripts=yes)
     add("annotations", "assembly", table={})
     add("gene-list", "assembly", "category", lists={"required": True}, annotation={})
     add("gene-categories", "assembly", lists={"required": True}, annotation={})
@@ -65,8 +66,12 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             else:
                 record = genome.Genome.chimera(spark, parts, args.data, args.force).record
             return say(record, f"registered {args.assembly}")
-        if args.command == "register-gtf":
-            record = genome.Genome(spark, args.assembly, args.data).register_gtf(args.name, args.gtf, not args.no_check_chromosomes, args.infer, args.force)
+        if args.command in ("register-gtf", "register-annotation"):
+            how = (not args.no_check_chromosomes, ("transcript",) * args.infer_transcripts + ("gene",) * args.infer_genes, args.force)
+            if args.command == "register-gtf":
+                record = genome.Genome(spark, args.assembly, args.data).register_gtf(args.name, args.gtf, *how)
+            else:
+                record = genome.Genome(spark, args.assembly, args.data, offered=catalog.table(spark, args.table, flags=("default",))).register_annotation(args.name, *how)
             return say(record, f"registered {args.name} of {args.assembly}")
         if args.command == "annotations":
             offered = catalog.table(spark, args.table, flags=("default",)) if args.table else None

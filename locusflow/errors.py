@@ -36,6 +36,10 @@ class ChimeraNamingError(ValueError):
     """Names that make no multi-organism reference, or can't be taken apart again."""
 
 
+class AmbiguousDefaultAnnotationError(ValueError):
+    """A component has annotations and no default among them."""
+
+
 class ChecksumMismatchError(ValueError):
     """Content whose digest isn't the one expected."""
 

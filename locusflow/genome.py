@@ -1,7 +1,7 @@
 """The scalar facade: an assembly by name in a data folder, whose answers come from the bulk operators.
 
 Layout below ``<data>/genome/<assembly>``: ``store`` (tiles), ``sizes`` (ordered), ``record``, and
-``gtf/<annotation>`` with ``features`` and its own record. A build is finished when its record says
+``gtf/<annotation>`` with ``lines`` (or the ``merged`` file of a chimera), ``features`` and its own record. A build is finished when its record says
 so; the record is written last.
 """
 
@@ -21,7 +21,9 @@ from .operators import annotation as annotation_ops
 from .operators import fetch, genes, shape
 from .sources import catalog, fasta, gtf
 
-SEQUENCES, SIZES, RECORD, FEATURES = "store", "sizes", "record", "features"
+SEQUENCES, SIZES, RECORD, FEATURES, LINES, MERGED = "store", "sizes", "record", "features", "lines", "merged"
+#: Larger files than a row can hold have no digest; what they are is then unknown, not wrong.
+DIGEST_BYTES = 2_000_000_000
 
 
 def data_dir(spark: SparkSession) -> str:
@@ -64,6 +66,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 def write_record(spark: SparkSession, path: str, kind: str, name: str, source_url: str | None = None, sha256: str | None = None, details: dict | None = None) -> dict:
     """Writes a record of the files now below ``path``; the last step of a build."""
     claimed = {r.path.partition(f"{path}/")[2]: r.length for r in catalog.files_below(spark, path).collect()}
+    claimed = {f: n for f, n in claimed.items() if not f.startswith("gtf/")}  # annotations have records of their own
     record = {
         "kind": kind, "name": name, "files": claimed, "source_url": source_url, "sha256": sha256, "tool_versions": {"spark": spark.version}, "package_version": __version__,
         "completed_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "details": json.dumps(details or {}),
@@ -102,14 +105,16 @@ def register_assembly(spark: SparkSession, assembly: str, source: str, root: str
         return done
     for part in (RECORD, SEQUENCES, SIZES):
         _remove(spark, f"{place.path}/{part}")
-    digest = sha256 and _digest(spark, source)
-    if digest != sha256:
+    digest = _digest(spark, source)
+    if sha256 and digest != sha256:
         raise errors.ChecksumMismatchError(f"{source}: expected {sha256}, got {digest}")
     found = fasta.records(spark, source)
     return _ingest(spark, place, found, source, digest, None)
 
 
-def _digest(spark: SparkSession, path: str) -> str:
+def _digest(spark: SparkSession, path: str) -> str | None:
+    if catalog.files_below(spark, path).first().length > DIGEST_BYTES:
+        return None
     return catalog.content_sha256(spark, path).first().sha256
 
 
@@ -123,8 +128,9 @@ def _ingest(spark: SparkSession, place: Place, found: DataFrame, source: str, di
 class Genome:
     """A registered assembly. Loci are 0-based, half-open; case is kept; a minus strand is reverse-complemented."""
 
-    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None) -> None:
-        self.spark, self.place, self._explicit = spark, Place(root or data_dir(spark), assembly), default
+    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None) -> None:
+        """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default)."""
+        self.spark, self.place, self._explicit, self.offered = spark, Place(root or data_dir(spark), assembly), default, offered
         self.record = check_registration(spark, self.place.path, f"register {assembly} --force")
         if self.record is None:
             raise errors.RegistrationError(f"{assembly} isn't registered; register it with `register {assembly} --source FASTA`")
@@ -185,18 +191,25 @@ class Genome:
         return self.sizes.select("ord", "chrom", names.component_of(F.col("chrom"), sep, F.lit(self.place.assembly)).alias("component"))
 
     @classmethod
-    def chimera(cls, spark: SparkSession, components: list[str], root: str | None = None, force: bool = False) -> Genome:
-        """Builds, from registered assemblies, the reference of all their sequences, suffixed, components by name."""
+    def chimera(cls, spark: SparkSession, components: list[str | Genome], root: str | None = None, force: bool = False) -> Genome:
+        """Builds, from registered assemblies, the reference of all their sequences, suffixed, components by name.
+
+        Components' default annotations are merged into one, named by theirs joined with ``+``; a
+        component without annotations contributes none, and one whose default is unclear is refused.
+        """
         root = root or data_dir(spark)
+        opened = {c.place.assembly: c for c in components if isinstance(c, Genome)}
+        components = [c.place.assembly if isinstance(c, Genome) else c for c in components]
         why = spark.createDataFrame([(components,)], "c array<string>").select(names.components_error(F.col("c")), names.derive_name(F.col("c"))).first()
         if why[0]:
             raise errors.ChimeraNamingError(f"{', '.join(components)}: {why[0]}")
         place = Place(root, why[1])
         if not force and check_registration(spark, place.path, f"register {why[1]} --force"):
             return cls(spark, why[1], root)
-        parts = [cls(spark, c, root) for c in sorted(components)]
+        parts = [opened.get(c) or cls(spark, c, root) for c in sorted(components)]
         if nested := [p.place.assembly for p in parts if p.components]:
             raise errors.ChimeraNamingError(f"{', '.join(nested)}: chimeras don't nest")
+        giving = {p.place.assembly: p.contribution() for p in parts}
         every = None
         for i, p in enumerate(parts):
             mine = p.sizes.select(F.lit(i).alias("part"), F.lit(p.place.assembly).alias("component"), "ord", "chrom", "size")
@@ -219,41 +232,104 @@ class Genome:
             store, sizes = (mine, rows) if store is None else (store.unionByName(mine), sizes.unionByName(rows))
         store.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
         sizes.write.parquet(f"{place.path}/{SIZES}")
-        details = {"separator": sep, "components": [{"name": p.place.assembly, "sha256": p.record["sha256"]} for p in parts]}
+        for old in _children(spark, f"{place.path}/gtf"):  # merged by an earlier build
+            if ((read_record(spark, place.annotation(old)) or {}).get("details") or {}).get("merged_from"):
+                _remove(spark, place.annotation(old))
+        given = lambda c: {"annotation": giving[c][0], "annotation_sha256": giving[c][1]} if giving[c] else {}
+        details = {"separator": sep, "components": [{"name": p.place.assembly, "sha256": p.record["sha256"], **given(p.place.assembly)} for p in parts]}
         write_record(spark, place.path, "genome", place.assembly, details=details)
-        return cls(spark, place.assembly, root)
+        built = cls(spark, place.assembly, root)
+        if sources := [(p, giving[p.place.assembly][0]) for p in parts if giving[p.place.assembly]]:
+            built._register_merged(sources, sep)
+        return built
+
+    def contribution(self) -> tuple[str, str | None] | None:
+        """What a chimera takes from this assembly: its default annotation and that one's digest, or nothing."""
+        name = self.default_annotation
+        here = sorted(r.name for r in self.annotation_status().filter("registered").collect())
+        if name is None:
+            if here:
+                raise errors.AmbiguousDefaultAnnotationError(f"{self.place.assembly} has {', '.join(here)} and no default; open it with one of them as default")
+            return None
+        if name not in here:
+            raise errors.AnnotationNotRegisteredError(name)
+        return name, read_record(self.spark, self.place.annotation(name))["sha256"]
+
+    def _register_merged(self, sources: list[tuple[Genome, str]], sep: str) -> dict:
+        """The components' lines as one GTF, its names held to the chimera's, its features, and a record of who contributed."""
+        name = "+".join(n for _, n in sources)
+        place = self.place.annotation(name)
+        _remove(self.spark, place)
+        lines = [(p.place.assembly, self.spark.read.parquet(f"{p.place.annotation(n)}/{LINES}")) for p, n in sources]
+        gtf.write_merged(lines, f"{place}/{MERGED}", sep)
+        found = gtf.read(self.spark, f"{place}/{MERGED}")
+        self._check_names(found)
+        found.drop("line_ord").write.parquet(f"{place}/{FEATURES}")
+        merged_from = [{"assembly": p.place.assembly, "annotation": n} for p, n in sources]
+        return write_record(self.spark, place, "annotation", name, None, _digest(self.spark, f"{place}/{MERGED}"), {"chromosomes_checked": True, "merged_from": merged_from})
+
+    @property
+    def component_annotations(self) -> dict[str, str | None] | None:
+        """The annotation that each component contributed; none for a plain assembly."""
+        found = self.record["details"].get("components")
+        return {c["name"]: c.get("annotation") for c in found} if found else None
+
+    @property
+    def merged_annotation(self) -> str | None:
+        """The name of the annotation that this build merged, if any."""
+        return "+".join(a for a in (self.component_annotations or {}).values() if a) or None
 
     def component_status(self) -> str | None:
         """Whether the components are still what the chimera was built from: unchanged or unknown; a change raises."""
         entries = self.record["details"].get("components")
         if not entries:
             return None
-        now = {e["name"]: (read_record(self.spark, Place(self.place.root, e["name"]).path) or {}).get("sha256") for e in entries}
-        if changed := [e["name"] for e in entries if e["sha256"] and now[e["name"]] and e["sha256"] != now[e["name"]]]:
+        pinned = lambda path: (read_record(self.spark, path) or {}).get("sha256")
+        pairs = [(e["name"], e["sha256"], pinned(Place(self.place.root, e["name"]).path)) for e in entries]
+        pairs += [(f"{e['name']}'s {e['annotation']}", e["annotation_sha256"], pinned(Place(self.place.root, e["name"]).annotation(e["annotation"]))) for e in entries if e.get("annotation")]
+        if changed := [what for what, then, now in pairs if then and now and then != now]:
             raise errors.RegistrationMismatchError(f"{', '.join(changed)} changed since {self.place.assembly} was built")
-        return "unchanged" if all(e["sha256"] and now[e["name"]] for e in entries) else "unknown"
+        return "unchanged" if all(then and now for _, then, now in pairs) else "unknown"
 
     # --- annotations ---
-    def register_gtf(self, name: str, path: str, check_chromosomes: bool = True, infer: bool = False, force: bool = False) -> dict:
-        """Registers a GTF: names checked first, then features written, then the record."""
+    def _check_names(self, found: DataFrame) -> None:
+        if missing := annotation_ops.missing_chromosomes(found, self.sizes).orderBy("seqname").collect():
+            raise errors.ChromosomeMismatchError([r.seqname for r in missing])
+
+    def register_gtf(self, name: str, path: str, check_chromosomes: bool = True, infer: bool | tuple[str, ...] = False, force: bool = False, sha256: str | None = None) -> dict:
+        """Registers a GTF: digest and names checked first, then lines and features written, then the record.
+
+        ``infer`` adds the extents of exons: of ``transcript``, ``gene``, or, if true, both.
+        """
         place = self.place.annotation(name)
         if not force and (done := check_registration(self.spark, place, f"register-gtf {self.place.assembly} {path} {name} --force")):
             return done
+        digest = _digest(self.spark, path)
+        if sha256 and digest != sha256:
+            raise errors.ChecksumMismatchError(f"{path}: expected {sha256}, got {digest}")
         _remove(self.spark, place)
-        found = gtf.read(self.spark, path)
+        lines = gtf.lines(self.spark, path)
+        found = gtf.features(lines)
         if check_chromosomes:
-            missing = annotation_ops.missing_chromosomes(found, self.sizes).orderBy("seqname").collect()
-            if missing:
-                raise errors.ChromosomeMismatchError([r.seqname for r in missing])
+            self._check_names(found)
         rows = found.drop("line_ord")
-        if infer:
-            exons = rows.filter("feature = 'exon'").withColumns({i: F.element_at(F.col("attributes")[i], 1) for i in ("transcript_id", "gene_id")})
-            for feature, id_col in (("transcript", "transcript_id"), ("gene", "gene_id")):
-                extent = annotation_ops.inferred(exons, feature, id_col).withColumn("attributes", F.create_map(F.lit(id_col), F.array(id_col)))
-                rows = rows.unionByName(extent.drop(id_col), allowMissingColumns=True)
+        wanted = ("transcript", "gene") if infer is True else infer or ()
+        exons = rows.filter("feature = 'exon'").withColumns({i: F.element_at(F.col("attributes")[i], 1) for i in ("transcript_id", "gene_id")})
+        for feature in wanted:
+            id_col = f"{feature}_id"
+            extent = annotation_ops.inferred(exons, feature, id_col).withColumn("attributes", F.create_map(F.lit(id_col), F.array(id_col)))
+            rows = rows.unionByName(extent.drop(id_col), allowMissingColumns=True)
+        lines.select("line_ord", "value").write.parquet(f"{place}/{LINES}")
         rows.write.parquet(f"{place}/{FEATURES}")
         checked = {"chromosomes_checked": True} if check_chromosomes else {"chromosomes_unchecked_because": "caller-override"}
-        return write_record(self.spark, place, "annotation", name, path, None, checked)
+        return write_record(self.spark, place, "annotation", name, path, digest, checked)
+
+    def register_annotation(self, name: str, check_chromosomes: bool = True, infer: bool | tuple[str, ...] = False, force: bool = False) -> dict:
+        """Registers an offered annotation from its ``url``, a path that Spark reads, held to its ``sha256``."""
+        row = None if self.offered is None else self.offered.filter((F.col("assembly") == self.place.assembly) & (F.col("name") == name)).orderBy("ord").first()
+        if row is None:
+            raise LookupError(f"{name} isn't offered for {self.place.assembly}")
+        return self.register_gtf(name, row.url, check_chromosomes, infer, force, row.sha256)
 
     def features(self, name: str | None = None) -> DataFrame:
         name = name or self.default_annotation
@@ -270,28 +346,54 @@ class Genome:
             except errors.RegistrationError:
                 mine.append((name, True))
         here = self.spark.createDataFrame([(self.place.assembly, n, b) for n, b in mine], "assembly string, name string, wrong boolean")
+        offered = self.offered if offered is None else offered
         offered = self.spark.createDataFrame([], "assembly string, name string, ord int") if offered is None else offered.filter(F.col("assembly") == self.place.assembly).select("assembly", "name", "ord")
         return annotation_ops.status(offered, here.filter("NOT wrong"), here.filter("wrong"))
 
     @property
     def default_annotation(self) -> str | None:
-        """The one said at opening, else the sole registered one."""
+        """The one said at opening, else the first that the table flags, else the sole registered one."""
+        if self._explicit:
+            return self._explicit
+        if self.offered is not None:
+            flagged = self.offered.filter((F.col("assembly") == self.place.assembly) & F.col("default")).agg(F.min_by("name", "ord")).first()[0]
+            if flagged:
+                return flagged
         here = [r.name for r in self.annotation_status().filter("registered").collect()]
-        return self._explicit or (here[0] if len(here) == 1 else None)
+        return here[0] if len(here) == 1 else None
 
-    def gene_list(self, category: str, lists: DataFrame, annotation: str | None = None) -> list[str]:
-        """The curated ids of a category, in order; ``lists`` as :func:`locusflow.sources.catalog.gene_lists` reads them."""
+    def contributors(self, annotation: str | None = None) -> DataFrame:
+        """(name, part_ord, annotation, part): what an annotation was merged from as its record says, else itself."""
         name = annotation or self.default_annotation
-        contributors = self.spark.createDataFrame([(name, 0, name)], "name string, part_ord long, annotation string")
-        parts = genes.contributing(contributors, lists)
-        declared = {(r.category, r.assembly) for r in parts.select("category", "assembly").distinct().collect()}
-        if not declared:
-            raise errors.NoGeneCategoriesError(f"no gene list ships for {name}")
-        if wrong := {a for _, a in declared if a != self.place.assembly}:
-            raise errors.GeneListAssemblyMismatchError(f"the list of {name} is of {', '.join(sorted(wrong))}")
-        if category not in {c for c, _ in declared}:
-            raise errors.GeneCategoryNotDeclaredError(f"{name} declares {', '.join(sorted(c for c, _ in declared))}, not {category}")
-        return genes.gene_list(parts.filter((F.col("category") == category) & F.col("gene_id").isNotNull()), ["name"]).first().gene_ids
+        record = (name and read_record(self.spark, self.place.annotation(name))) or {"details": {}}
+        parts = record["details"].get("merged_from") or [{"assembly": self.place.assembly, "annotation": name}]
+        rows = [(name, i, p["annotation"], p["assembly"]) for i, p in enumerate(parts)]
+        return self.spark.createDataFrame(rows, "name string, part_ord long, annotation string, part string")
+
+    def _listed(self, lists: DataFrame, annotation: str | None) -> DataFrame:
+        """The contributors' curated genes; none at all, or another assembly's, is an error."""
+        parts = genes.contributing(self.contributors(annotation), lists)
+        found = parts.select("annotation", "assembly", "part").distinct().collect()
+        if not found:
+            raise errors.NoGeneCategoriesError(f"no gene list ships for {annotation or self.default_annotation}")
+        if wrong := sorted({r.annotation for r in found if r.assembly != r.part}):
+            raise errors.GeneListAssemblyMismatchError(f"{', '.join(wrong)}: the list is another assembly's")
+        return parts
+
+    def gene_list(self, category: str, lists: DataFrame, annotation: str | None = None) -> list[str]:
+        """The curated ids of a category, contributors in order; ``lists`` as :func:`locusflow.sources.catalog.gene_lists` reads them."""
+        parts = self._listed(lists, annotation)
+        mine = genes.gene_list(parts.filter((F.col("category") == category)), ["name"]).first()
+        if mine is None:
+            declared = sorted(r.category for r in parts.select("category").distinct().collect())
+            raise errors.GeneCategoryNotDeclaredError(f"{annotation or self.default_annotation} declares {', '.join(declared)}, not {category}")
+        return [g for g in mine.gene_ids if g is not None]
+
+    def gene_lists(self, lists: DataFrame, annotation: str | None = None) -> dict[str, list[str]]:
+        """Every category that a contributor declares, in the order first declared, with its ids."""
+        parts = self._listed(lists, annotation)
+        ids = {r.category: [g for g in r.gene_ids if g is not None] for r in genes.gene_list(parts, ["category"]).collect()}
+        return {r.category: ids[r.category] for r in genes.declared(parts, ["name"]).orderBy("part_ord", "cat_ord").collect()}
 
 
 def reverse_complement(spark: SparkSession, bases: str) -> str:

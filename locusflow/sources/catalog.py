@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,5 +65,20 @@ def record_json(kind: str, name: str, source_url: str | None = None, sha256: str
 
 
 def content_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files as bytes; an order-sensitive digest, so one task a file, of at most 2 GB."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of whole files, gzipped ones unpacked; an order-sensitive digest, so one task a file, of at most 2 GB."""
+
+    def each(batches: Iterator) -> Iterator:
+        import gzip
+        import hashlib
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                raw = io.BytesIO(data)
+                out.append((name, hashlib.file_digest(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, "sha256").hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "sha256"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, "path string, sha256 string")

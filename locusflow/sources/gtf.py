@@ -32,13 +32,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return features(lines(spark, path))
 
 
-def write_merged(sources: list[tuple[str, DataFrame]], path: str, separator: str) -> None:
-    """Components' GTF lines as one file, in component order, column 1 suffixed; one ordered partition, as the file is one."""
+def merged(sources: list[tuple[str, DataFrame]], separator: str) -> DataFrame:
+    """(component, ord, value): components' data lines in component order, column 1 suffixed."""
     every = None
     for i, (component, found) in enumerate(sources):
         mine = merged_lines(found.select(F.lit(component).alias("component"), F.struct(F.lit(i).alias("part"), "line_ord").alias("ord"), "value"), F.lit(separator))
         every = mine if every is None else every.unionByName(mine)
-    every.repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
+    return every
+
+
+def write_merged(sources: list[tuple[str, DataFrame]], path: str, separator: str) -> None:
+    """Components' GTF lines as one file; one ordered partition, as the file is one."""
+    merged(sources, separator).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
 
 
 def write_features(found: DataFrame, path: str, assembly: str, annotation: str) -> None:

@@ -89,13 +89,50 @@ def test_chimera(spark, root):
     assert both.place.assembly == "axe_two" and both.separator == "__" and both.components == ["axe", "two"]
     assert both.chromosomes == ["chrA__axe", "c_1__axe", "chrA__two", "chrB__two"] and both.fetch_sequence("chrA__two:8-12") == "acgt"
     assert {(r.chrom, r.component) for r in both.chrom_components().collect()} == {("chrA__axe", "axe"), ("c_1__axe", "axe"), ("chrA__two", "two"), ("chrB__two", "two")}
-    assert both.component_status() == "unknown"
+    assert both.component_status() == "unchanged" and both.merged_annotation is None
     with pytest.raises(errors.ChimeraNamingError):
         Genome.chimera(spark, ["two"], str(root))
     with pytest.raises(errors.ChimeraNamingError):
         Genome.chimera(spark, ["axe_two", "two"], str(root))
 
 
+def test_chimera_merges_annotations(spark, root):
+    (root / "x.fa").write_text(">chrA\nGGCC\n>c_1\nAA\n")
+    with gzip.open(root / "a.gtf.gz", "wt") as f:
+        f.write(THREE)
+    register_assembly(spark, "axe", f"{root}/x.fa", str(root))
+    two = Genome(spark, "two", str(root))
+    pin = hashlib.sha256(THREE.encode()).hexdigest()
+    assert two.register_gtf("a", f"{root}/a.gtf.gz", sha256=pin)["sha256"] == pin  # a digest is of unpacked bytes
+    with pytest.raises(errors.ChecksumMismatchError):
+        two.register_gtf("c", f"{root}/a.gtf.gz", sha256="0" * 64)
+    table = spark.createDataFrame([("axe", "x", 0, f"{root}/x.gtf", None, False), ("axe", "y", 1, f"{root}/x.gtf", None, True)], "assembly string, name string, ord int, url string, sha256 string, default boolean")
+    (root / "x.gtf").write_text('c_1\tsrc\texon\t1\t2\t.\t+\t.\tgene_id "h1";')
+    axe = Genome(spark, "axe", str(root), offered=table)
+    with pytest.raises(errors.AnnotationNotRegisteredError):
+        Genome.chimera(spark, [axe, "two"], str(root))
+    axe.register_annotation("x")
+    axe.register_annotation("y")
+    with pytest.raises(errors.AmbiguousDefaultAnnotationError):
+        Genome.chimera(spark, ["axe", "two"], str(root))
+    both = Genome.chimera(spark, [axe, "two"], str(root))
+    assert both.merged_annotation == both.default_annotation == "y+a" and both.component_annotations == {"axe": "y", "two": "a"}
+    assert both.component_status() == "unchanged"
+    assert {(r.seqname, r.start) for r in both.features().collect()} == {("c_1__axe", 0), ("chrA__two", 0), ("chrA__two", 11), ("chrB__two", 1)}
+    for name, assembly, ids in (("a", "two", ["g2", "g1"]), ("y", "axe", ["h1"])):
+        (root / f"{name}.json").write_text(json.dumps({"annotation": name, "assembly": assembly, "categories": {"rRNA": {"description": "d", "source": "s", "gene_ids": ids}, f"of {name}": {"description": "d", "source": "s", "gene_ids": ids}}}))
+    lists = catalog.gene_lists(spark, f"{root}/*.json")
+    assert both.gene_list("rRNA", lists) == ["h1", "g2", "g1"] and list(both.gene_lists(lists)) == ["rRNA", "of y", "of a"]
+    with pytest.raises(errors.GeneListAssemblyMismatchError):
+        two.gene_list("rRNA", lists, "y")
+    (root / "x.gtf").write_text('c_1\tsrc\texon\t1\t1\t.\t+\t.\tgene_id "h1";')
+    axe.register_annotation("y", force=True)
+    with pytest.raises(errors.RegistrationMismatchError):
+        both.component_status()
+    again = Genome.chimera(spark, [Genome(spark, "axe", str(root), "x"), "two"], str(root), force=True)
+    assert again.default_annotation == "x+a" and again.component_status() == "unchanged"
+
+
 def test_files_written(spark, root):
     parts = [("two", fasta.records(spark, f"{root}/two.fa"))]
     fasta.write_concatenated(parts, f"{root}/out.fa", "__")
