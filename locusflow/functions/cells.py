@@ -66,6 +66,18 @@ def register_command(assembly: Column, name: Column) -> Column:
     return F.concat(F.lit("register-annotation "), assembly, F.lit(" "), name)
 
 
+def repair_command(assembly: Column, name: Column, merged: Column, offered: Column, source: Column) -> Column:
+    """What registers a broken annotation again: its chimera if it was merged, its name if it is offered, else its file, if that is known."""
+    by_path = F.concat(F.lit("register-gtf "), assembly, F.lit(" "), F.coalesce(source, F.lit("<path>")), F.lit(" "), name)
+    return F.concat(F.when(merged, F.concat(F.lit("register "), assembly)).when(offered, register_command(assembly, name)).otherwise(by_path), F.lit(" --force"))
+
+
+def disagreement_sentence(file: Column, expected: Column, actual: Column) -> Column:
+    """How a file differs from what its record claims."""
+    found = F.coalesce(F.concat(F.lit("found "), actual.cast("string")), F.lit("missing"))
+    return F.concat(file, F.lit(": recorded "), expected.cast("string"), F.lit(" bytes, "), found)
+
+
 def default_sentence(assembly: Column, default: Column, broken: Column, registered: Column) -> Column:
     """What is said of the default annotation: none, broken, registered, or how to register it."""
     name = F.concat(F.lit("default: "), default)

@@ -55,3 +55,23 @@ def defaults(rows: DataFrame) -> DataFrame:
     flagged = F.min(F.when(F.col("default"), F.struct("ord", "name")))["name"]
     sole = F.when(F.sum(F.col("registered").cast("int")) == 1, F.max(F.when(F.col("registered"), F.col("name"))))
     return rows.groupBy("assembly").agg(F.coalesce(F.max("explicit"), flagged, sole).alias("default_annotation"))
+
+
+def contributions(rows: DataFrame) -> DataFrame:
+    """What each assembly of (assembly, name, registered) with its ``default_annotation`` gives a chimera.
+
+    ``contributes`` its default if that is registered, ``unregistered`` if it isn't, ``ambiguous`` if
+    there are registered ones and no default, and ``nothing`` otherwise.
+    """
+    here = F.count_if(F.col("registered"))
+    has = F.bool_or(F.col("registered") & (F.col("name") == F.col("default_annotation")))
+    found = rows.groupBy("assembly").agg(F.max("default_annotation").alias("default_annotation"), here.alias("n_registered"), F.coalesce(has, F.lit(False)).alias("_has"))
+    state = F.when(F.col("default_annotation").isNull(), F.when(F.col("n_registered") > 0, "ambiguous").otherwise("nothing")).when(F.col("_has"), "contributes").otherwise("unregistered")
+    return found.select("assembly", "default_annotation", "n_registered", state.alias("state"))
+
+
+def merged_names(parts: DataFrame, key: str = "name") -> DataFrame:
+    """(key, merged): contributing annotations (key, part_ord, annotation) joined with ``+`` in order; null where none contributes."""
+    held = F.array_sort(F.collect_list(F.when(F.col("annotation").isNotNull(), F.struct("part_ord", "annotation"))))
+    joined = F.array_join(F.transform(held, lambda x: x["annotation"]), "+")
+    return parts.groupBy(key).agg(F.nullif(joined, F.lit("")).alias("merged"))

@@ -40,3 +40,22 @@ def component_status(entries: DataFrame, current: DataFrame) -> DataFrame:
 def expected_digest(rows: DataFrame, table: str = "table_sha256", record: str = "record_sha256") -> DataFrame:
     """The digest to expect and where it comes from: the table's pin, else the record's, else none."""
     return rows.withColumns({"expected": F.coalesce(table, record), "expected_from": F.when(F.col(table).isNotNull(), "table").when(F.col(record).isNotNull(), "record")})
+
+
+def missing_components(entries: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Components of chimeras (chimera, component) that aren't prepared."""
+    return entries.select("chimera", "component").distinct().join(prepared.select("component"), "component", "left_anti")
+
+
+def index_state(indexes: DataFrame, current: DataFrame) -> DataFrame:
+    """Indexes (component, sha256 of what they were built from) against digests now: ``stale``, ``current``, or ``unknown`` if either side has none."""
+    both = indexes.join(current.select("component", F.col("sha256").alias("now")), "component", "left")
+    state = F.when(~cells.both_known(F.col("sha256"), F.col("now")), "unknown").when(F.col("sha256") != F.col("now"), "stale").otherwise("current")
+    return both.withColumn("state", state).drop("now")
+
+
+def fresh(outputs: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
+    """(key, fresh): whether an output (key, size, mtime) has content and is as new as all inputs (key, mtime) there are."""
+    newest = inputs.groupBy(key).agg(F.max("mtime").alias("newest"))
+    state = (F.coalesce("size", F.lit(0)) > 0) & F.coalesce(F.col("mtime") >= F.col("newest"), F.col("newest").isNull())
+    return outputs.join(newest, key, "left").select(key, state.alias("fresh"))

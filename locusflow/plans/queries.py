@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, names, region, sequence
 from ..operators import annotation, fetch, genes, lookup, naming, records, shape
+from ..sources import fasta
 from . import bridge as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +235,50 @@ add("component_status", lambda s, d: records.component_status(b.entries(s, d), b
 add("expected_digest", lambda s, d: records.expected_digest(b.annotations(s, d).select("name", F.col("sha256").alias("table_sha256"), F.when(F.col("is_registered"), F.lit("r")).alias("record_sha256"))).select("name", "expected", "expected_from", F.col("expected").isNotNull().alias("verified")), ["annotations"],
     "SELECT name, coalesce(sha256, CASE WHEN is_registered THEN 'r' END) AS expected, CASE WHEN sha256 IS NOT NULL THEN 'table' WHEN is_registered THEN 'record' END AS expected_from, sha256 IS NOT NULL OR is_registered AS verified FROM annotations")
 
+add("disagreement_text", lambda s, d: records.disagreements(b.claimed(s, d), b.on_disk(s, d), ["dir", "file"]).select("dir", "file", cells.disagreement_sentence(F.concat(F.lit("f"), F.col("file").cast("string")), F.col("expected"), F.col("actual")).alias("text")), ["claimed", "on_disk"],
+    "SELECT dir, file, 'f' || file || ': recorded ' || expected || ' bytes, ' || coalesce('found ' || actual, 'missing') AS text FROM claimed LEFT JOIN on_disk USING (dir, file) WHERE actual IS NULL OR actual <> expected")
+add("missing_components", lambda s, d: records.missing_components(b.entries(s, d), b.digests(s, d)), ["entries", "digests"], "SELECT DISTINCT chimera, component FROM entries WHERE component NOT IN (SELECT component FROM digests)")
+add("index_state", lambda s, d: records.index_state(b.entries(s, d), b.digests(s, d)), ["entries", "digests"],
+    "SELECT chimera, component, e.sha256, CASE WHEN e.sha256 IS NULL OR g.sha256 IS NULL THEN 'unknown' WHEN e.sha256 <> g.sha256 THEN 'stale' ELSE 'current' END AS state FROM entries e LEFT JOIN digests g USING (component)")
+
+
+def file_freshness(s: SparkSession, d: str) -> DataFrame:
+    """Orders as outputs, one in 17 of them empty, and their lines as inputs, a third of which are gone."""
+    size = F.when(F.col("o_orderkey") % 17 != 0, F.floor("o_totalprice")).otherwise(0)
+    outputs = b.table(s, d, "orders").select(F.col("o_orderkey").alias("key"), size.alias("size"), F.date_add("o_orderdate", 60).alias("mtime"))
+    inputs = b.table(s, d, "lineitem").filter("l_linenumber % 3 <> 0").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").cast("date").alias("mtime"))
+    return records.fresh(outputs, inputs, "key")
+
+
+add("file_freshness", file_freshness, [],
+    """SELECT o_orderkey AS key, o_orderkey % 17 <> 0 AND floor(o_totalprice) > 0 AND coalesce((CAST(o_orderdate AS DATE) + 60) >= newest, newest IS NULL) AS fresh
+FROM orders LEFT JOIN (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS newest FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey""")
+
+
+def component_contributions(s: SparkSession, d: str) -> DataFrame:
+    rows = b.annotations(s, d).select("assembly", "name", (F.col("is_registered") & ~F.col("is_broken")).alias("registered"))
+    return annotation.contributions(rows.join(_defaults(s, d), "assembly", "left"))
+
+
+add("component_contributions", component_contributions, ["annotations"], f""", df AS ({_DEFAULT})
+SELECT assembly, max(default_annotation) AS default_annotation, count(*) FILTER (WHERE is_registered AND NOT is_broken) AS n_registered,
+  CASE WHEN max(default_annotation) IS NULL THEN CASE WHEN bool_or(is_registered AND NOT is_broken) THEN 'ambiguous' ELSE 'nothing' END WHEN bool_or(is_registered AND NOT is_broken AND name = default_annotation) THEN 'contributes' ELSE 'unregistered' END AS state
+FROM annotations JOIN df USING (assembly) GROUP BY assembly""")
+add("merged_annotation_name", lambda s, d: annotation.merged_names(b.annotations(s, d).select(F.col("assembly").alias("name"), F.col("ord").alias("part_ord"), F.when(F.col("is_registered"), F.col("name")).alias("annotation"))), ["annotations"],
+    "SELECT assembly AS name, string_agg(name, '+' ORDER BY ord) FILTER (WHERE is_registered) AS merged FROM annotations GROUP BY 1")
+add("annotation_repair", lambda s, d: b.annotations(s, d).filter("is_broken").select("assembly", "name", cells.repair_command(F.col("assembly"), F.col("name"), F.col("ord") % 4 == 0, F.col("is_offered"), F.when(F.col("ord") % 2 == 1, F.lit("a.gtf"))).alias("command")), ["annotations"],
+    "SELECT assembly, name, CASE WHEN ord % 4 = 0 THEN 'register ' || assembly WHEN is_offered THEN 'register-annotation ' || assembly || ' ' || name ELSE 'register-gtf ' || assembly || CASE WHEN ord % 2 = 1 THEN ' a.gtf ' ELSE ' <path> ' END || name END || ' --force' AS command FROM annotations WHERE is_broken")
+
+
+def fasta_headers(s: SparkSession, d: str) -> DataFrame:
+    """Header lines, every fifth with blanks before its name, suffixed; sequence lines stay."""
+    blanks = F.repeat(F.lit(" "), (F.col("ord") % 5).cast("int"))
+    line = F.when(F.col("ord") % 3 == 0, F.lit("ACGT>x")).otherwise(F.concat(F.lit(">"), blanks, F.col("chrom"), F.lit(" of "), F.col("component")))
+    return fasta.extend_headers(b.sizes(s, d).select("ord", line.alias("value")), "asm", SEP)
+
+
+add("fasta_headers", fasta_headers, ["sizes"], "SELECT ord, CASE WHEN ord % 3 = 0 THEN 'ACGT>x' ELSE '>' || repeat(' ', CAST(ord % 5 AS INTEGER)) || chrom || '__asm of ' || component END AS value FROM sizes")
+
 # --- shapes and indexes ---
 add("genome_shape", lambda s, d: shape.genome_shape(b.sizes(s, d), "component"), ["sizes"], "SELECT component, CAST(sum(size) AS BIGINT) AS genome_length, count(*) AS n_sequences, avg(size) AS mean_length FROM sizes GROUP BY 1")
 add("index_parameters", lambda s, d: shape.index_parameters(b.sizes(s, d), "component"), ["sizes"],
