@@ -40,7 +40,7 @@ def either_case(word: str) -> str:
 
 #: A run of 32 is asked for in the third expression itself: a run is matched whole, so shorter ones would be dropped anyway.
 RULES = (
-    Rule("assign", "(" + "|".join(either_case(w).replace("?", "?") for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    Rule("assign", "(" + "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", "AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", "[0-9a-f]{32,}", 0, 32, True),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),

@@ -134,18 +134,17 @@ def _dense(held: DataFrame) -> DataFrame:
     return groups.select("u", F.explode("fps").alias("v")).filter("u <> v").select("u", "v")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that edges (u, v) connect to each node that has an edge.
 
     Alternates large stars (neighbours above a node go to the least of its neighbours) and small
-    stars (those below do), each a distributed join, until neither changes the edges.
+    stars (those below do), each a distributed join, until neither changes the edges; rounds grow
+    with the logarithm of the nodes.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
