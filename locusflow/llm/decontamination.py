@@ -160,15 +160,19 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_win
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
-    """``docs`` with the words of benchmark windows cut out of the text, for sets within ``set_windows``.
+    """``docs`` with the words of benchmark windows cut out of the text; beyond ``set_windows`` they are verified by a join.
 
     The gap after a removed word goes with it; all else stays to the letter.
     """
     windows = checkpointed(benchmark_windows(benchmark, n))
-    if windows.count() > set_windows:
-        raise ValueError("raise set_windows: spans are cut where the set is at hand")
     columns = docs.columns
     found = hits(docs.select(text_col, F.struct("*").alias("_record")), windows, set_windows, text_col)
+    if windows.count() > set_windows:
+        rowed = checkpointed(found.withColumn("_row", F.monotonically_increasing_id()))
+        each = rowed.select("_row", F.explode("windows").alias("x")).select("_row", "x.*")
+        sure = each.join(windows.select("window"), "window", "left_semi").groupBy("_row").agg(F.collect_set(F.struct("pos", "len")).alias("_sure"))
+        none = F.array().cast("array<struct<pos:int,len:int>>")
+        found = rowed.drop("windows").join(sure, "_row", "left").withColumn("windows", F.coalesce("_sure", none)).drop("_sure", "_row")
     pieces = F.split(text_col, r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])")
     lead = F.when(F.element_at(pieces, 1).rlike(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z"), 1).otherwise(0)
     gone = F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
