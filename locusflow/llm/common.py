@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one operator's run in the shared checkpoint folder, each dropped once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.place = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written and read back."""
+        df.write.option("compression", "zstd").parquet(f"{self.place}/{name}")
+        return self.spark.read.parquet(f"{self.place}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{name}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str, table: str = "documents") -> DataFrame:
     """A table of ``sf_dir``; with ``columns``, these alone."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")

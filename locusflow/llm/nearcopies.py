@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chaining import written
-from .common import checkpointed
+from .common import Scratch, checkpointed
 from .simhash import components
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    return Scratch(df.sparkSession, name).table(df, "rows")
+
+
 SIZE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of the bands with a chance of (1 - 0.8 ** 5) ** 32, 3 in a million.
 BANDS, ROWS = 32, 5

@@ -148,7 +148,7 @@ def test_chains_are_best():
         for i, (p, r) in enumerate(points):
             before = [best[j] - 0.05 * (p + r - points[j][0] - points[j][1]) for j in range(i) if points[j][0] < p and points[j][1] < r]
             best.append(8 + max([0, *before]))
-        got = chaining.chains([p for p, _ in points], [r for _, r in points])
+        got = chaining.chains([p for p, _ in points], [r for _, r in points], 8)
         a, b, c, d, n = got[0]
         assert sum(x[4] for x in got) == len(points)
         assert 8 * n - 0.05 * ((b - 8 - a) + (d - 8 - c)) == pytest.approx(max(best))
