@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, without
+from .common import Scratch, checkpointed, without
 
 SEED = 42
 #: The bits set in each byte value, as rows of eight.
@@ -177,19 +177,212 @@ def near_duplicates(docs: DataFrame, distance: int = 2, bucket: int = 2048, id_c
     return marked.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def keep_one(docs: DataFrame, distance: int = 2, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id, in its own columns.
+# --- near copies by the similarity of 5-word shingles ---
+SIZE, SIMILARITY = 5, 0.8
+#: A wide fingerprint has 320 bits in 20 segments of 16 and 64 bits more to compare by. Texts of similarity 0.8
+#: differ in 0.15 of the bits, so a segment in at most one bit with a chance of 0.28, and none does with one of 0.0015.
+SEGMENTS, WIDTH, LONGS = 20, 16, 6
+NEAR_BITS, MOST_BITS = 20, 84  # of 64 and of 384: 3.6 deviations above what similarity 0.8 gives
+BLOCK, WAVE = 1 << 16, 64
+_STEPS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_LONGS = [f"b{i}" for i in range(LONGS)]
+SKETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("content", "node", *_LONGS)] + [T.StructField("words", T.BooleanType())])
 
-    Rows that repeat that id are alike to the component; one of them stays. Components of null ids
-    keep one row.
+
+def shingles(text: str | None, size: int = SIZE) -> set[bytes]:
+    """The text's runs of ``size`` words; all words if they are fewer, nothing without words."""
+    words = (text or "").encode().lower().split()
+    if len(words) <= size:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False)))
+
+
+def wide_fingerprint(text: str | None) -> tuple[int, np.ndarray]:
+    """(digest of the set of shingles, its SimHash in ``LONGS`` longs); without words all bits are 0."""
+    import xxhash
+
+    found = shingles(text)
+    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+    ones = np.zeros(64 * LONGS, np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 4096):
+            z = hashes[at : at + 4096, None] + _STEPS[None, :]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            z ^= z >> np.uint64(31)
+            ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), np.packbits(2 * ones > len(hashes)).view(np.int64)
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(id, content, node, b0-b5, words) of docs (id, text, content)."""
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [wide_fingerprint(t) for t in texts]
+            bits = np.array([f[1] for f in found], np.int64).reshape(-1, LONGS)
+            columns = [batch.column("id"), batch.column("content"), pa.array([f[0] for f in found], pa.int64()), *[pa.array(bits[:, i]) for i in range(LONGS)], pa.array([bool((t or "").encode().split()) for t in texts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *SKETCH.names])
+
+    return docs.select("id", "content", "text").mapInArrow(each, T.StructType([docs.schema["id"], *SKETCH.fields]))
+
+
+def segment_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, near): each segment with each of its bits struck out, 320 keys a node; near is the last long."""
+    per, mask = 64 // WIDTH, (1 << WIDTH) - 1
+    cuts = ", ".join(f"cast(shiftrightunsigned(b{s // per}, {WIDTH * (s % per)}) & {mask}L as int)" for s in range(SEGMENTS))
+    masks = ", ".join(str(mask ^ (1 << b)) for b in range(WIDTH))
+    variants = f"transform(array({cuts}), (c, s) -> transform(array({masks}), (m, b) -> (c & m) | shiftleft(s * {WIDTH} + b, {WIDTH})))"
+    return nodes.select(F.explode(F.flatten(F.expr(variants))).alias("key"), "node", F.col(f"b{LONGS - 1}").alias("near"))
+
+
+def _blocks(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows (key, node, near) in runs of whole keys; a key of over ``BLOCK`` rows comes in several."""
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for c, h in enumerate(held)]
+        n = len(rows[0])
+        cut = int(np.searchsorted(rows[0], rows[0][-1])) if n else 0
+        if n - cut >= BLOCK:
+            cut = n
+        if cut:
+            yield tuple(r[:cut] for r in rows)
+        held = [r[cut:] for r in rows]
+    if len(held[0]):
+        yield tuple(held)
+
+
+def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((left ^ right).view(np.uint64)) <= NEAR_BITS
+
+
+def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one key that are near.
+
+    All pairs are compared where ``WAVE`` nodes or fewer share a key. Of more, the first that is
+    left takes all near ones away with it, in an order that differs by key; those meet it and, if
+    they are ``WAVE`` or fewer, each other, else the eight before them.
+    """
+    new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    size = np.diff(np.append(new, len(key)))
+    few = np.repeat(size <= WAVE, size)
+    at = np.flatnonzero(few)
+    for back in range(1, int(size[size <= WAVE].max(initial=1))):
+        at = at[at >= back]
+        at = at[key[at] == key[at - back]]
+        hit = at[_near(near[at], near[at - back])]
+        yield node[hit - back], node[hit]
+    for begin, n in zip(new[size > WAVE].tolist(), size[size > WAVE].tolist(), strict=True):
+        ours, marks = node[begin : begin + n], near[begin : begin + n]
+        with np.errstate(over="ignore"):
+            order = np.argsort((ours.view(np.uint64) ^ np.uint64(int(key[begin]) + 1)) * np.uint64(0xD6E8FEB86659FD93))
+        ours, marks = ours[order], marks[order]
+        while len(ours) > 1:
+            hit = _near(marks, marks[:1])
+            group, group_marks = ours[hit], marks[hit]
+            reach = len(group) if len(group) <= WAVE else 9
+            yield np.full(len(group) - 1, group[0]), group[1:]
+            for back in range(1, reach):
+                good = _near(group_marks[back:], group_marks[:-back])
+                yield group[:-back][good], group[back:][good]
+            ours, marks = ours[~hit], marks[~hit]
+
+
+def met(index: DataFrame) -> DataFrame:
+    """(u, v), u < v: nodes that share a key and are near in the last long.
+
+    Keys are sorted over ranges of (key, node), so a frequent key fills several.
+    """
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            found = list(_met(*block))
+            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            if len(u):
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                pairs = pairs[:, pairs[0] != pairs[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    return index.select("key", "node", "near").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) whose texts' shingles have a Jaccard similarity of at least ``similarity``."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "best.content"), "node")
+    held = scratch.table(texts.join(_small(asked), "content").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+    sides = [held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("v", "u")]
+
+    def each(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        last, mine = None, set()
+        for batch in batches:
+            out = []
+            for u, v, left, right in zip(batch["u"], batch["v"], batch["text_u"], batch["text_v"], strict=True):
+                if u != last:
+                    last, mine = u, shingles(left)
+                other = shingles(right)
+                same = len(mine & other)
+                if same / (len(mine) + len(other) - same) >= similarity:
+                    out.append((u, v))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return scratch.table(pairs.join(sides[0], "v").join(sides[1], "u").select("u", "v", "text_u", "text_v").mapInPandas(each, "u long, v long"), name)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers, sent to every task if they are at most ``BROADCAST_KEYS``; more are joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
+def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): verified pairs that connect all nodes that candidates of ``similarity`` connect.
+
+    ``nodes`` has node, best (with the content of a text), b0-b5 and words; ``texts`` content and
+    text. Each node's nearest candidate is verified first; the others only where they would connect
+    what isn't connected then.
+    """
+    pairs = scratch.table(met(segment_keys(nodes.filter("words"))), "met")
+    sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
+    differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = scratch.table(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS), "candidates")
+    scratch.drop("met")
+    first = scratch.table(pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select(F.col("x.u").alias("u"), "v"), "first")
+    edges = verified(first, nodes, texts, scratch, "edges", similarity)
+    roots = scratch.table(components(edges), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    rest = scratch.table(rest.select("u", "v").join(first, ["u", "v"], "left_anti"), "rest")
+    return edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group that pairs of ``similarity`` connect, that of the least id, in its own columns.
+
+    Similarity is that of Jaccard over sets of 5-word shingles, verified on the texts; candidates
+    are pairs whose wide fingerprints have a segment that differs in one bit at most. Texts without
+    words (null, empty, blank) are alike. Rows that repeat the least id are alike to the group; one
+    of them stays. Groups of null ids keep one row. An empty table gives no rows. Columns may have any names.
     """
-    content = F.xxhash64(text_col)
-    marked = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("content", F.xxhash64("text")))
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
+    marked = scratch.table(sketched(texts), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best")
-    nodes = checkpointed(marked.groupBy("fp").agg(best))
-    roots = components(links(nodes.select("fp"), distance, bucket))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("best", F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("_id"), F.col("best.content").alias("_content"))
-    keyed = docs.withColumn("_content_of", content)
-    kept = keyed.join(heads, (F.col("_content_of") == F.col("_content")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_content_of", id_col]).select(*docs.columns)
+    nodes = scratch.table(marked.groupBy("node").agg(best, F.first("words").alias("words"), *[F.first(b).alias(b) for b in _LONGS]), "nodes")
+    roots = components(similar(nodes, texts.select("content", "text"), scratch, similarity))
+    heads = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    heads = heads.select(F.col("best.id").alias("id"), F.col("best.content").alias("content"))
+    rows = marked.groupBy("id", "content").agg(F.count("*").alias("n"))
+    same = lambda x, y: (x["content"] == y["content"]) & x["id"].eqNullSafe(y["id"])
+    rows = rows.alias("r").join(heads.withColumn("kept", F.lit(True)).alias("h"), same(rows, heads), "left").select("r.id", "r.content", "n", "kept")
+    rows = scratch.table(rows.filter("kept IS NULL OR n > 1"), "rows")  # those that go, and those of which one row stays
+    scratch.drop("sketches", "nodes", "candidates", "first", "roots", "rest", "edges", "more-edges", "edges-texts", "more-edges-texts")
+    known = lambda which: _small(rows.filter(which).select(F.col("id").alias("_gone_id"), F.col("content").alias("_gone_content")))
+    boxed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.struct("*").alias("record"))
+    on = lambda: (F.col("content") == F.col("_gone_content")) & F.col("id").eqNullSafe(F.col("_gone_id"))
+    once = boxed.join(known(F.lit(True)), on(), "left_anti")
+    often = boxed.join(known("kept"), on(), "left_semi").dropDuplicates(["id", "content"])
+    return once.unionByName(often).select("record.*")
