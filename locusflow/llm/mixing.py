@@ -78,7 +78,7 @@ def number_of(digest: Column) -> Column:
 
 def mix(
     docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11,
-    block_words: int = 256, shard_words: int = 4_000_000, id_col: str = "doc_id", source_col: str = "source",
+    block_words: int = 256, shard_words: int = 2_000_000, shard_rows: int = 4_096, id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
     """Every row of ``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and what is taken.
 
@@ -86,46 +86,51 @@ def mix(
     from word ``part_from`` on (a run that wraps round can end and begin in one row); see
     :func:`mixed_rows`. ``size`` counts a row's words (default: of ``text``). A block has
     ``block_words`` words, or fewer where the smallest target would have under 1,000 blocks. A
-    source has a shard for each ``shard_words`` words, so no window holds much more than that.
+    source has a shard for each ``shard_words`` words or ``shard_rows`` rows with words, whichever
+    are more. Rows without words take no part in a shard's order.
 
     A null source is a source, last in order; null texts have size 0 and nothing taken. Repeated
-    rows count each; ties in the seeded order (equal ids) go by size, and rows alike in both are
+    rows count each. The seeded order is that of a hash of id, source, text (if there is one) and
+    size, so only rows alike in all of these share a shard for certain, and they are
     interchangeable. No rows give no rows; sources without words have target 0. Columns of ``docs``
-    named as the result's own give way.
+    named as the result's own give way; any other name is free.
     """
     size = word_count("text") if size is None else size
-    wide = docs.withColumn("_size", size)
-    wide = without(wide, *ADDED).withColumnRenamed("_size", "size").withColumn("skey", source_key(source_col)).withColumn("_digest", seeded(seed, F.col(id_col)))
+    record = F.struct(*[F.col(f"`{c}`") for c in without(docs, *ADDED).columns])
+    content = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    wide = docs.select(record.alias("_record"), F.col(id_col).alias("_id"), source_key(source_col).alias("skey"), size.cast("long").alias("size"), content.alias("_content"))
+    wide = wide.withColumn("_digest", seeded(seed, F.col("_id"), F.col("_content"), F.col("size"))).drop("_id", "_content")
     narrow = checkpointed(wide.select("skey", "size", "_digest"))
-    sources = checkpointed(targets(narrow.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap))
+    totals = checkpointed(narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("_rows")))
+    sources = checkpointed(targets(totals.select("skey", "source_size"), weights, share, cap).join(totals.select("skey", "_rows"), "skey"))
     least, total, n_sources = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target"), F.count("*")).first()
     block = int(min(block_words, max(1, (least or 0) // 1000)))
     seats = int((total or 0) / block + 0.5)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    sources = apportion(sources.withColumns({"_seats": F.lit(seats), "_parts": parts}), [], "skey", "target", "_seats").withColumnRenamed("quota", "_seats2").drop("_seats")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_rows") / shard_rows))
+    sources = apportion(sources.withColumns({"_seats": F.lit(seats), "_parts": parts}), [], "skey", "target", "_seats").withColumnRenamed("quota", "_seats2").drop("_seats", "_rows")
     sources = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
 
     into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(number_of(F.col("_digest")), F.col("_parts")))
     cells = into(narrow).groupBy("skey", "shard").agg(F.sum("size").alias("cell"), F.max("_seats2").alias("_seats2"))
     cells = apportion(cells, ["skey"], "shard", "cell", "_seats2")
     n = F.ceil(F.col("cell") / block)
-    cells = cells.withColumn("n", n).withColumn("quota", F.least("quota", F.lit(int(cap)) * F.col("n")))
+    cells = cells.withColumn("n", n).withColumn("quota", F.least("quota", F.floor(F.lit(float(cap)) * F.col("n"))))
     cells = cells.withColumns({"passes": F.when(F.col("n") > 0, F.expr("quota div n")).otherwise(0), "run": F.when(F.col("n") > 0, F.expr("quota % n")).otherwise(0)})
     begin = F.when(F.col("n") > 0, F.pmod(number_of(seeded(seed, F.col("skey"), F.col("shard"))), F.col("n"))).otherwise(0)
     cells = cells.withColumn("_begin", begin).select(
         "skey", "shard", "passes", (F.col("_begin") * block).alias("a1"), F.least("cell", (F.col("_begin") + F.col("run")) * block).alias("b1"), F.greatest(F.lit(0), (F.col("_begin") + F.col("run") - F.col("n")) * block).alias("b2")
     )
 
-    held = [c for c in wide.columns if c not in ("skey", "_digest")]
-    order = W.partitionBy("skey", "shard").orderBy("_digest", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = into(wide).withColumn("_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    spread = F.when(F.col("size") > 0, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4_096)))  # their sums are 0 in any order
+    order = W.partitionBy("skey", "shard", "_spread").orderBy("_digest").rowsBetween(W.unboundedPreceding, -1)
+    placed = into(wide).withColumn("_spread", spread).withColumn("_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
     both = placed.join(checkpointed(cells), ["skey", "shard"])
     start, end = F.col("_from"), F.col("_from") + F.col("size")
     late = F.greatest(F.lit(0), F.least(end, F.col("b1")) - F.greatest(start, F.col("a1")))
     early = F.greatest(F.lit(0), F.least(end, F.col("b2")) - start)
     both = both.withColumns({"_late": late, "_early": early})
     columns = {"taken": F.col("passes") * F.col("size") + F.col("_late") + F.col("_early"), "head_words": F.col("_early"), "part_from": F.when(F.col("_late") > 0, F.greatest(start, F.col("a1")) - start).otherwise(0), "part_words": F.col("_late")}
-    return both.select(*[F.col(f"`{c}`") for c in held], "source_size", "target", F.col("passes").cast("int").alias("passes"), *[c.cast("long").alias(k) for k, c in columns.items()])
+    return both.select("_record.*", "size", "source_size", "target", F.col("passes").cast("int").alias("passes"), *[c.cast("long").alias(k) for k, c in columns.items()])
 
 
 def mixed_rows(mixed: DataFrame, columns: Sequence[str], text_col: str = "text") -> DataFrame:

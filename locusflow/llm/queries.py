@@ -16,7 +16,7 @@ from .sql import ORACLES
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets; words counted once, then only narrow rows move."""
     sized = documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count("text").alias("words"))
-    mixed = mixing.mix(sized, F.col("words"))
+    mixed = mixing.mix(checkpointed(sized), F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
