@@ -1,9 +1,11 @@
 """Operator 6, sharding: a two-pass external shuffle into shards of near-equal row counts.
 
-Pass one hashes every record (seed, id, text) into buckets that fit in memory and counts them,
-which fixes where each bucket starts in the shuffled order. Pass two brings each bucket's records
+Pass one hashes every record with a seed into buckets that fit in memory and counts them, which
+fixes where each bucket starts in the shuffled order. Pass two brings each bucket's records
 together, permutes them by Spark's ``shuffle`` (an inside-out Fisher-Yates) and numbers them.
 Numbers are cut into runs of equal length, one for each shard, so counts are at most one apart.
+Records that repeat in full would all hash alike: where they overfill a bucket, one of them travels
+with their number, which is dealt to buckets in chunks.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, running_offsets, text_or_empty, without
 
-#: Up to so many (bucket, offset) rows, 16 bytes each, are sent to every task that permutes indices.
-BROADCAST_BUCKETS = 1_000_000
+#: There are at most so many buckets, larger ones beyond: their (bucket, offset, n), 24 bytes each, are sent to every task that permutes indices.
+MOST_BUCKETS = 1_000_000
 
 
 def record_size(text: str | Column) -> Column:
@@ -24,32 +26,47 @@ def record_size(text: str | Column) -> Column:
     return (F.octet_length(text_or_empty(text)) + 16).cast("long")
 
 
-def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, bucket_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
     """Every record of ``docs``, all its columns, with ``shard`` (int) and ``slot`` (long, from 0 without gaps).
 
     The law is ``rows``: shards' counts are at most one apart, in a seeded random order. Reruns on
     the same records agree, whatever the files or partitions they come in.
 
-    Nulls in any column are records like others (a null id or text hashes as such). Rows repeated
-    in full are kept as often as they come; they hash alike, so they share a bucket. Empty input
-    gives no rows; with fewer rows than shards, some shards stay empty. Columns of ``docs`` named
-    ``shard`` or ``slot`` give way to the result's.
+    Nulls in any column are records like others. Rows repeated in full are kept as often as they
+    come; as they can't be told apart, any of them has any of their places. Map columns take no
+    part in the order, so rows that differ in these alone may change places between runs. Empty
+    input gives no rows; with fewer rows than shards, some shards stay empty. Columns of ``docs``
+    named ``shard`` or ``slot`` give way to the result's; any other name is free.
     """
     spark = docs.sparkSession
     docs = without(docs, "shard", "slot")
-    id_, text = F.col(id_col), F.col(text_col)
-    key = F.xxhash64(F.lit(seed), id_.isNull(), id_, text.isNull(), text)
-    bytes_, rows = docs.agg(F.sum(record_size(text)), F.count("*")).first()
-    buckets = max(1, math.ceil((bytes_ or 0) / bucket_bytes))
-    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    keyed = keyed.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("long"))
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields]
+    hashed = [c for c, f in zip(columns, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
+    digest = lambda n: F.xxhash64(F.lit(n), *[c.isNull() for c in hashed], *hashed)
+    size = record_size(F.col(text_col))
+    keyed = docs.select(F.struct(digest(seed).alias("a"), digest(~seed).alias("b")).alias("key"), size.alias("size"), F.struct(*columns).alias("record"))
+    bytes_, rows = docs.agg(F.sum(size), F.count("*")).first()
+    buckets = min(MOST_BUCKETS, max(1, math.ceil((bytes_ or 0) / bucket_bytes)))
+    most = 2 * max(bucket_bytes, math.ceil((bytes_ or 0) / buckets))
+    into = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("long")
+    keyed = keyed.withColumn("bucket", into(F.col("key")))
+
+    full = keyed.groupBy("bucket").agg(F.sum("size").alias("held")).filter(F.col("held") > most).select("bucket")  # few
+    often = keyed.join(F.broadcast(full), "bucket").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    often = checkpointed(often.filter((F.col("held") > most) & (F.col("n") > 1)).withColumn("run", F.greatest(F.lit(1), F.floor(F.lit(most) * F.col("n") / F.col("held"))).cast("long")))
+    if often.limit(1).count():
+        mine = keyed.join(F.broadcast(often.select("key", F.lit(True).alias("hot"))), "key", "left")  # at most one for each bucket's bytes
+        one = mine.filter("hot").groupBy("key").agg(F.first("record").alias("record"), F.first("size").alias("size")).join(often.select("key", "n", "run"), "key")
+        chunks = one.withColumn("chunk", F.explode(F.expr("sequence(0L, (n - 1) div run)")))
+        chunks = chunks.withColumns({"bucket": into(F.col("key"), F.col("chunk")), "copies": F.least("run", F.col("n") - F.col("chunk") * F.col("run"))})
+        again = chunks.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("key", "size", "record", "bucket")
+        keyed = mine.filter("hot IS NULL").select("key", "size", "record", "bucket").unionByName(again)
 
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = checkpointed(running_offsets(counts, "bucket", "n"))
     # The indices are permuted over a range, whose partitions and order never change, so the seed decides alone.
     numbers = spark.range(0, buckets, 1, max(1, math.ceil(buckets / 64))).withColumnRenamed("id", "bucket")
-    starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
-    orders = numbers.join(starts, "bucket").select("bucket", "offset", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("order"))
+    orders = numbers.join(F.broadcast(starts), "bucket").select("bucket", "offset", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("order"))
 
     by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     filled = keyed.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "record")), by_key).alias("records"))
@@ -62,10 +79,9 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, bucket_bytes: int
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes a folder for each shard, its records in the order of their slots."""
-    n = sharded.agg(F.max("shard")).first()[0]
+    """Writes a folder for each shard: files of successive slots, each in the order of its slots, as many as the ranges give."""
     (
-        sharded.repartitionByRange((n or 0) + 1, "shard")
+        sharded.repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.mode("errorifexists").partitionBy("shard").parquet(path)
     )
