@@ -139,17 +139,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large stars (neighbours above a node go to the least of its neighbours) and small
     stars (those below do), each a distributed join, until neither changes the edges; rounds grow
-    with the logarithm of the nodes.
+    with the logarithm of the nodes. Least neighbours are written out, so that both sides of the
+    joins come from exchanges of their own and Spark can split the node of a giant component.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("u").alias("c"), "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("c").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v")
         now = checkpointed(small.distinct())
@@ -172,7 +173,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, bucket: int = 2048, id_c
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"), distance, bucket))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("links"))
+    heads = checkpointed(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("links")))
     known = placed.join(heads, "root").select("fp", "component_id", "links")
     return marked.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
