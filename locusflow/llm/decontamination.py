@@ -3,7 +3,8 @@
 The benchmark's windows (runs of ``n`` words, or a whole shorter item) are the hash set. It is
 shipped to every task as literals if it has at most ``set_windows`` members, which is checked by
 counting; each training text then looks up the 64-bit hash of each of its windows, and a hit is
-verified on the words themselves, all within one narrow pass. A larger set is joined by shuffle.
+verified on the words themselves, all within one narrow pass. A larger set's hashes are joined by
+shuffle with those of all positions, and the few that meet are verified on the words.
 """
 
 from __future__ import annotations
@@ -87,30 +88,46 @@ def _looked_up(name: str, hashes: list[int], known: list[str], length: int) -> C
 
 
 def hits(docs: DataFrame, windows: DataFrame, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words`` and ``windows``: (pos, len, window) of every benchmark window in the text, by position."""
+    """``docs`` with ``n_words`` and ``windows``: (pos, len, window) of benchmark windows in the text, by position.
+
+    Beyond ``set_windows`` the windows' hashes are joined by shuffle with those at each position, and
+    what has an equal hash is given unverified. Columns of ``docs`` named as these two give way.
+    """
+    spark = docs.sparkSession
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
-    docs = without(docs, "n_words", "windows").withColumn("_w", words(text_col)).withColumn("n_words", F.size("_w").cast("long"))
-    none = F.array().cast("array<struct<pos:int,len:int,window:string>>")
+    kept = [F.col(f"`{c}`") for c in without(docs, "n_words", "windows").columns]
+    docs = docs.select(F.col(text_col).alias("text"), F.struct(*kept).alias("record"))
+    worded = lambda df: df.withColumn("_w", words("text")).withColumn("n_words", F.size("_w").cast("long"))
     if not lengths:
-        return docs.withColumn("windows", none).drop("_w")
-    known = windows.limit(set_windows + 1).select("window", "len").collect()
-    at = lambda length, i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(F.slice("_w", i + 1, length), " ").alias("window"))
-    spelled = lambda length: lambda i: at(length, i)
-    spots = lambda length: F.when(F.size("_w") >= length, F.sequence(F.lit(0), F.size("_w") - length)).otherwise(F.array().cast("array<int>"))
-    if len(known) > set_windows:  # every window is a candidate and goes to the join
-        return docs.withColumn("windows", F.concat(*[F.transform(spots(k), spelled(k)) for k in lengths])).drop("_w")
-    spark = docs.sparkSession
+        none = F.array().cast("array<struct<pos:int,len:int,window:string>>")
+        return worded(docs).select("record.*", "n_words", none.alias("windows"))
     steps, names = _hashes("_w", lengths)
+    known = windows.limit(set_windows + 1).select("window", "len").collect()
+    if len(known) <= set_windows:
+        docs = worded(docs)
+        for step in steps:
+            docs = docs.withColumns(step)
+        found = []
+        for k in lengths:
+            ours = [r["window"] for r in known if r["len"] == k]
+            parts = spark.createDataFrame([(w,) for w in ours], "w string").select(F.split("w", " ").alias("w"))
+            hashes = [r[0] for r in parts.select(window_hash(F.col("w"), k)).collect()]
+            found.append(_looked_up(names[k], hashes, ours, k))
+        return docs.select("record.*", "n_words", (F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]).alias("windows"))
+    docs = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
+    hashed = worded(docs)
     for step in steps:
-        docs = docs.withColumns(step)
-    found = []
+        hashed = hashed.withColumns(step)
+    at = [F.expr(f"transform({names[k]}, (h, i) -> struct(h AS hash, i AS pos, {k} AS len))") for k in lengths]
+    spots = hashed.select("row", F.explode(F.concat(*at)).alias("x")).select("row", "x.*")
+    looked = None
     for k in lengths:
-        ours = [r["window"] for r in known if r["len"] == k]
-        parts = spark.createDataFrame([(w,) for w in ours], "w string").select(F.split("w", " ").alias("w"))
-        hashes = [r[0] for r in parts.select(window_hash(F.col("w"), k)).collect()]
-        found.append(_looked_up(names[k], hashes, ours, k))
-    kept = [c for c in docs.columns if not c.startswith(("_h", "_w"))]
-    return docs.withColumn("windows", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]).select(*[F.col(f"`{c}`") for c in kept], "windows")
+        mine = windows.filter(F.col("len") == k).select(window_hash(F.split("window", " "), k).alias("hash"), "len")
+        looked = mine if looked is None else looked.unionByName(mine)
+    held = spots.join(checkpointed(looked.distinct()), ["hash", "len"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("spots"))
+    spelled = F.transform("spots", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), F.array_join(F.slice("_w", x["pos"] + 1, x["len"]), " ").alias("window")))
+    both = worded(docs.join(held, "row", "left"))
+    return both.select("record.*", "n_words", F.coalesce(spelled, F.array().cast("array<struct<pos:int,len:int,window:string>>")).alias("windows"))
 
 
 def covered(spans: Column) -> Column:
@@ -126,8 +143,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int =
     """One row for each document: ``keep``, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and no hits; so has every text if the benchmark is empty or
-    holds no words. Items with equal windows all count; a null item_id counts as an item but can't
-    be named in the digest. Repeated documents give a row each; null ids are allowed.
+    holds no words. Items with equal windows all count; windows of an item without an id hit, but it
+    can't be named and doesn't count. Repeated documents give a row each; null ids are allowed.
     """
     windows = checkpointed(benchmark_windows(benchmark, n))
     found = hits(docs, windows, set_windows, text_col).select(*keep, "n_words", "windows").withColumn("_row", F.monotonically_increasing_id())

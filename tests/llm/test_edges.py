@@ -132,8 +132,8 @@ def test_decontamination(odd, none, bench):
     for n in (200_000, 1):
         left = decontamination.remove_documents(odd, bench, set_windows=n)
         assert left.columns == odd.columns and ids(left) == sorted(str(r[0]) for r in rows() if r[0] != 7)
-    cut = {r.doc_id: r.text for r in decontamination.remove_spans(odd, bench).collect()}
-    assert cut[7] == "x y" and cut[3] == "word" and cut[0] is None
+        cut = {r.doc_id: r.text for r in decontamination.remove_spans(odd, bench, set_windows=n).collect()}
+        assert cut[7] == "x y" and cut[3] == "word" and cut[0] is None
 
 
 def test_quality(spark, odd, none):
