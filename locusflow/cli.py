@@ -6,12 +6,11 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, genome
 from .functions import cells
-from .operators import genes
 from .sources import catalog
 
 
@@ -23,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     def add(name: str, *args: str, **options: dict) -> None:
         sub = commands.add_parser(name)
         for a in args:
-            sub.add_argument(a)
+            sub.add_argument(a.rstrip("?"), nargs="?" if a.endswith("?") else None)
         for o, how in options.items():
             sub.add_argument(f"--{o.replace('_', '-')}", **how)
         sub.add_argument("--json", action="store_true")
@@ -31,17 +30,27 @@ def _parser() -> argparse.ArgumentParser:
     yes = {"action": "store_true"}
     add("version")
     add("revcomp", "sequence")
-    add("register", "assembly", source={}, sha256={}, force=yes)
+    add("register", "assembly", source={}, table={}, sha256={}, force=yes)
     add("register-gtf", "assembly", "gtf", "name", force=yes, no_check_chromosomes=yes, infer_genes=yes, infer_transcripts=yes)
     add("register-annotation", "assembly", "name", table={"required": True}, force=yes, no_check_chromosomes=yes, infer_genes=yes, infer_transcripts=yes)
     add("annotations", "assembly", table={})
     add("gene-list", "assembly", "category", lists={"required": True}, annotation={})
     add("gene-categories", "assembly", lists={"required": True}, annotation={})
-    add("verify", "assembly", "fasta", sha256={})
-    add("table-row", "assembly", table={"required": True})
+    add("verify", "assembly", "fasta?", sha256={})
+    add("table-row", "assembly", table={"required": True}, source={})
     return parser
 
 
+def _assemblies(spark: SparkSession, path: str) -> DataFrame:
+    return catalog.table(spark, path, ints=("ncbi_taxid", "intron_length_cap"), required=("assembly_name",))
+
+
+def _aligned(rows: list[tuple[str, ...]]) -> list[str]:
+    """Rows as lines whose columns are as wide as their longest cell."""
+    wide = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    return ["  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in rows]
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     args = _parser().parse_args(argv)
 
@@ -60,11 +69,10 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return say({"sequence": out}, out)
     try:
         if args.command == "register":
-            parts = args.assembly.split("_")
             if args.source:
                 record = genome.register_assembly(spark, args.assembly, args.source, args.data, args.sha256, args.force)
             else:
-                record = genome.Genome.chimera(spark, parts, args.data, args.force).record
+                record = genome.register(spark, args.assembly, args.data, _assemblies(spark, args.table) if args.table else None, args.force)
             return say(record, f"registered {args.assembly}")
         if args.command in ("register-gtf", "register-annotation"):
             how = (not args.no_check_chromosomes, ("transcript",) * args.infer_transcripts + ("gene",) * args.infer_genes, args.force)
@@ -75,26 +83,27 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             return say(record, f"registered {args.name} of {args.assembly}")
         if args.command == "annotations":
             offered = catalog.table(spark, args.table, flags=("default",)) if args.table else None
-            rows = genome.Genome(spark, args.assembly, args.data).annotation_status(offered).orderBy(F.col("ord").isNull(), "ord", "name").collect()
-            return say({"assembly": args.assembly, "annotations": [r.asDict() for r in rows]}, "\n".join(f"{r.name}\t{r.state}" for r in rows))
+            opened = genome.Genome(spark, args.assembly, args.data, offered=offered)
+            rows = opened.annotation_status().orderBy(F.col("ord").isNull(), "ord", "name").collect()
+            lines = [*_aligned([(r.name, r.state) for r in rows]), opened.default_summary()]
+            return say({"assembly": args.assembly, "default_annotation": opened.default_annotation, "annotations": [r.asDict() for r in rows]}, "\n".join(lines))
         if args.command == "gene-list":
-            ids = genome.Genome(spark, args.assembly, args.data).gene_list(args.category, catalog.gene_lists(spark, args.lists), args.annotation)
+            ids = genome.Genome(spark, args.assembly, args.data).gene_list(args.category, catalog.checked_gene_lists(spark, args.lists), args.annotation)
             print(f"{len(ids)} genes of {args.category}", file=sys.stderr)
             return say({"assembly": args.assembly, "category": args.category, "gene_ids": ids}, "\n".join(ids))
         if args.command == "gene-categories":
-            lists = catalog.gene_lists(spark, args.lists)
-            lists = lists.filter(F.col("annotation") == args.annotation) if args.annotation else lists.filter(F.col("assembly") == args.assembly)
-            rows = genes.sources(lists.withColumn("part_ord", F.lit(0)), ["category"]).orderBy("annotation", "category").collect()
-            return say({"categories": [r.asDict() for r in rows]}, "\n".join(f"{r.category}\t{r.n_genes}\t{r.annotation}" for r in rows))
+            opened = genome.Genome(spark, args.assembly, args.data)
+            found = opened.gene_lists(catalog.checked_gene_lists(spark, args.lists), args.annotation)
+            name = args.annotation or opened.default_annotation
+            lines = [f"categories of {name} of {args.assembly}", *_aligned([(c, str(len(ids))) for c, ids in found.items()])]
+            return say({"assembly": args.assembly, "annotation": name, "categories": [{"category": c, "gene_ids": ids} for c, ids in found.items()]}, "\n".join(lines))
         if args.command == "verify":
             out = genome.verify_assembly(spark, args.assembly, args.fasta, args.sha256, args.data)
-            return say(out, f"{args.assembly}: {'verified' if out['verified'] else 'nothing to verify against'} {out['sha256']}")
-        rows = catalog.table(spark, args.table, ints=("ncbi_taxid", "intron_length_cap")).filter(F.col("assembly_name") == args.assembly)
-        columns = [c for c in rows.columns if c not in ("ord", "error")]
-        row = rows.select(cells.table_row(*map(F.col, columns)).alias("line"), *columns).first()
-        if row is None:
-            raise LookupError(f"the table has no {args.assembly}")
-        return say({c: row[c] for c in columns}, row.line)
+            text = f"{args.assembly}: {'verified' if out['verified'] else 'nothing to verify against'} {out['sha256']}"
+            return say(out, text + (f"\ncomponents: {out['components']}" if out["components"] else ""))
+        row = genome.table_row(spark, args.assembly, _assemblies(spark, args.table), args.source, args.data)
+        cell = [F.lit(v).cast("string") for v in row.values()]
+        return say(row, spark.range(1).select(cells.table_row(*cell)).first()[0])
     except Exception as wrong:  # noqa: BLE001
         print(wrong, file=sys.stderr)
         return 1

@@ -54,3 +54,19 @@ class UnfinishedRegistrationError(RegistrationError):
 
 class RegistrationMismatchError(RegistrationError):
     """A record that disagrees with what is there."""
+
+
+class CuratedGeneListError(ValueError):
+    """A curated gene list that isn't what one must be."""
+
+
+class MetadataRowError(ValueError):
+    """A row of a metadata table with a cell that can't be read."""
+
+
+class IndexNotBuiltError(LookupError):
+    """An index was asked for that no record says is finished."""
+
+
+class ClosedGenomeError(RuntimeError):
+    """A genome was asked after it was closed."""

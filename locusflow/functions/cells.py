@@ -78,23 +78,27 @@ def disagreement_sentence(file: Column, expected: Column, actual: Column) -> Col
     return F.concat(file, F.lit(": recorded "), expected.cast("string"), F.lit(" bytes, "), found)
 
 
-def default_sentence(assembly: Column, default: Column, broken: Column, registered: Column) -> Column:
-    """What is said of the default annotation: none, broken, registered, or how to register it."""
+def default_sentence(assembly: Column, default: Column, broken: Column, registered: Column, repair: Column) -> Column:
+    """What is said of the default annotation: none, broken with the ``repair`` that its own row has, registered, or how to register it."""
     name = F.concat(F.lit("default: "), default)
     return (
         F.when(default.isNull(), F.lit("default: (none)"))
-        .when(broken, F.concat(name, F.lit(" is broken here; repair it with `"), register_command(assembly, default), F.lit(" --force`")))
+        .when(broken, F.concat(name, F.lit(" is broken here; repair it with `"), repair, F.lit("`")))
         .when(registered, name)
         .otherwise(F.concat(name, F.lit(" is not registered here; register it with `"), register_command(assembly, default), F.lit("`")))
     )
 
 
+# The reasons that a record gives for a check that wasn't made.
+NO_SIZES, OVERRIDE = "no-chrom-sizes", "caller-override"
+
+
 def check_sentence(checked: Column, because: Column) -> Column:
     """What a record says of its chromosome check; a reason not known reads as unknown."""
     return (
         F.when(F.coalesce(checked, F.lit(False)), "chromosomes checked")
-        .when(because == "no-chrom-sizes", "chromosomes not checked: the assembly has no sizes")
-        .when(because == "caller-override", "chromosomes not checked: the caller stood the check down")
+        .when(because == NO_SIZES, "chromosomes not checked: the assembly has no sizes")
+        .when(because == OVERRIDE, "chromosomes not checked: the caller stood the check down")
         .otherwise("chromosomes not checked: the record does not say why")
     )
 
@@ -109,5 +113,9 @@ def without_fasta_suffix(name: Column) -> Column:
     return F.when(name.rlike(known), F.regexp_replace(name, known, "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*\z", ""))
 
 
+# Fixed value: where an assembly's FASTA is unless its row says otherwise.
+GOLDEN_PATH = "https://hgdownload.soe.ucsc.edu/goldenPath/%s/bigZips/%s.fa.gz"
+
+
 def golden_path_url(ucsc_name: Column) -> Column:
-    return F.format_string("https://hgdownload.soe.ucsc.edu/goldenPath/%s/bigZips/%s.fa.gz", ucsc_name, ucsc_name)
+    return F.format_string(GOLDEN_PATH, ucsc_name, ucsc_name)

@@ -46,9 +46,13 @@ def suffixed(chrom: Column, component: Column, sep: Column) -> Column:
     return F.concat(chrom, sep, component)
 
 
+# Fixed value: the published expression that takes a suffixed name apart, around the separator.
+PUBLISHED = ("^(?P<chromosome>.+)", "(?P<component>[A-Za-z0-9]+)$")
+
+
 def suffix_pattern(sep: Column) -> Column:
-    """The published expression that takes a suffixed name apart."""
-    return F.concat(F.lit("^(?<chromosome>.+)"), sep, F.lit("(?<component>[A-Za-z0-9]+)$"))
+    """The published expression that takes a suffixed name apart; an error where ``sep`` is no separator."""
+    return F.when(separator_error(sep).isNull(), F.concat(F.lit(PUBLISHED[0]), sep, F.lit(PUBLISHED[1]))).otherwise(F.raise_error(separator_error(sep)))
 
 
 def split_suffixed(name: Column, sep: Column) -> tuple[Column, Column]:

@@ -41,8 +41,9 @@ def gc_content(seq: Column) -> Column:
 
 def outside_alphabet(seq: Column, alphabet: str) -> Column:
     """Distinct characters that are not of the alphabet in either case, as spelled, by code point."""
-    letters = F.array(*map(F.lit, ALPHABETS[alphabet]))
-    return F.array_sort(F.filter(F.array_distinct(F.split(seq, "")), lambda c: (c != "") & ~F.array_contains(letters, F.upper(c))))
+    letters = ALPHABETS[alphabet]
+    rest = F.translate(seq, letters + letters.lower(), "")  # what is left is split, not the sequence
+    return F.array_sort(F.filter(F.array_distinct(F.split(rest, "")), lambda c: c != ""))
 
 
 def slice_(seq: Column, start: Column | int | None = None, stop: Column | int | None = None, step: int = 1) -> Column:
@@ -60,10 +61,9 @@ def slice_(seq: Column, start: Column | int | None = None, stop: Column | int |
     a, b = at(start, low if step > 0 else high), at(stop, high if step > 0 else low)
     if step == 1:
         return F.when(b > a, F.substring(seq, a + 1, b - a)).otherwise(F.lit(""))
-    inside = (b > a) if step > 0 else (b < a)
-    last = b - (1 if step > 0 else -1)
-    picked = F.transform(F.sequence(a, F.when(inside, last).otherwise(a), F.lit(step)), lambda i: F.substring(seq, i + 1, F.lit(1)))
-    return F.when(inside, F.array_join(picked, "")).otherwise(F.lit(""))
+    run = F.when(b > a, F.substring(seq, a + 1, b - a)) if step > 0 else F.when(a > b, F.reverse(F.substring(seq, b + 2, a - b)))
+    every = run if abs(step) == 1 else F.regexp_replace(run, f"(?s)(.).{{0,{abs(step) - 1}}}", "$1")
+    return F.coalesce(F.when(seq.isNotNull(), F.coalesce(every, F.lit(""))), seq)
 
 
 def as_repr(seq: Column, alphabet: str = "dna") -> Column:

@@ -1,8 +1,9 @@
 """The scalar facade: an assembly by name in a data folder, whose answers come from the bulk operators.
 
-Layout below ``<data>/genome/<assembly>``: ``store`` (tiles), ``sizes`` (ordered), ``record``, and
-``gtf/<annotation>`` with ``lines`` (or the ``merged`` file of a chimera), ``features`` and its own record. A build is finished when its record says
-so; the record is written last.
+Layout below ``<data>/genome/<assembly>``: ``store`` (tiles), ``sizes`` (ordered), ``fasta`` (its
+lines to the byte; text of a chimera), ``record``, ``gtf/<annotation>`` with ``lines`` (or the
+``merged`` file of a chimera), ``features`` and its own record, and ``index/<aligner>`` likewise. A
+build is finished when its record says so; the record is written last.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, errors
-from .functions import names, region, sequence
+from .functions import cells, names, region, sequence
 from .operators import annotation as annotation_ops
-from .operators import fetch, genes, shape
+from .operators import fetch, genes, naming, resolve, shape
+from .regions import Region, parse
 from .sources import catalog, fasta, gtf
 
-SEQUENCES, SIZES, RECORD, FEATURES, LINES, MERGED = "store", "sizes", "record", "features", "lines", "merged"
-#: Larger files than a row can hold have no digest; what they are is then unknown, not wrong.
-DIGEST_BYTES = 2_000_000_000
+SEQUENCES, SIZES, FASTA, RECORD, FEATURES, LINES, MERGED = "store", "sizes", "fasta", "record", "features", "lines", "merged"
+OWN_RECORDS = ("gtf", "index")  # folders whose children have records of their own
 
 
 def data_dir(spark: SparkSession) -> str:
@@ -66,7 +67,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 def write_record(spark: SparkSession, path: str, kind: str, name: str, source_url: str | None = None, sha256: str | None = None, details: dict | None = None) -> dict:
     """Writes a record of the files now below ``path``; the last step of a build."""
     claimed = {r.path.partition(f"{path}/")[2]: r.length for r in catalog.files_below(spark, path).collect()}
-    claimed = {f: n for f, n in claimed.items() if not f.startswith("gtf/")}  # annotations have records of their own
+    claimed = {f: n for f, n in claimed.items() if f.partition("/")[0] not in (*OWN_RECORDS, RECORD)}
     record = {
         "kind": kind, "name": name, "files": claimed, "source_url": source_url, "sha256": sha256, "tool_versions": {"spark": spark.version}, "package_version": __version__,
         "completed_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "details": json.dumps(details or {}),
@@ -87,7 +88,7 @@ def check_registration(spark: SparkSession, path: str, repair: str) -> dict | No
     """The record of a finished build, None where nothing is; raises on leftovers and on files that disagree."""
     record = read_record(spark, path)
     if record is None:
-        left = [c for c in _children(spark, path) if c != "gtf"]
+        left = [c for c in _children(spark, path) if c not in OWN_RECORDS]
         if left:
             raise errors.UnfinishedRegistrationError(f"{path} holds {', '.join(left[:5])} but no record; register it again with `{repair}`")
         return None
@@ -103,37 +104,72 @@ def register_assembly(spark: SparkSession, assembly: str, source: str, root: str
     place = Place(root or data_dir(spark), assembly)
     if not force and (done := check_registration(spark, place.path, f"register {assembly} --force")):
         return done
-    for part in (RECORD, SEQUENCES, SIZES):
-        _remove(spark, f"{place.path}/{part}")
-    digest = _digest(spark, source)
+    digest = catalog.content_sha256(spark, source)
     if sha256 and digest != sha256:
         raise errors.ChecksumMismatchError(f"{source}: expected {sha256}, got {digest}")
-    found = fasta.records(spark, source)
-    return _ingest(spark, place, found, source, digest, None)
+    for part in (RECORD, SEQUENCES, SIZES, FASTA):
+        _remove(spark, f"{place.path}/{part}")
+    # Each sequence is read and cut once; what describes it goes with its tiles, from which the sizes are read.
+    cut = fetch.tiles(fasta.records(spark, source), keep=("place", "header", "width"))
+    cut.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
+    first = spark.read.parquet(f"{place.path}/{SEQUENCES}").filter("tile = 0")
+    first.select(F.col("place").alias("ord"), "chrom", "size", F.length("header").alias("header_bytes"), "width", "header").write.parquet(f"{place.path}/{SIZES}")
+    fasta.lines(spark, source).write.parquet(f"{place.path}/{FASTA}")
+    return write_record(spark, place.path, "genome", place.assembly, source, digest)
 
 
-def _digest(spark: SparkSession, path: str) -> str | None:
-    if catalog.files_below(spark, path).first().length > DIGEST_BYTES:
-        return None
-    return catalog.content_sha256(spark, path).first().sha256
+def resolve_source(spark: SparkSession, assembly: str, root: str | None = None, listed: DataFrame | None = None) -> dict:
+    """What an assembly's name means here: a dict of kind, components, url and derived; a chimera's name out of order is an error.
 
-
-def _ingest(spark: SparkSession, place: Place, found: DataFrame, source: str, digest: str | None, details: dict | None) -> dict:
-    fasta.tiles(found).repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
-    sizes = found.select(F.col("place").alias("ord"), "chrom", F.length("seq").cast("long").alias("size"), F.length("header").alias("header_bytes"), "width", "header")
-    sizes.write.parquet(f"{place.path}/{SIZES}")
-    return write_record(spark, place.path, "genome", place.assembly, source, digest, details)
+    ``listed`` is the curated table (assembly_name, source_url). See :func:`locusflow.operators.resolve.sources`.
+    """
+    place = Place(root or data_dir(spark), assembly)
+    known = {n: read_record(spark, f"{place.root}/genome/{n}") for n in {assembly, *assembly.split("_")} if n}
+    rows = [(n, [c["name"] for c in (r["details"].get("components") or [])] or None) for n, r in known.items() if r]
+    recorded = spark.createDataFrame(rows, "name string, components array<string>")
+    curated = spark.createDataFrame([], "name string, source_url string") if listed is None else listed.select(F.col("assembly_name").alias("name"), "source_url")
+    row = resolve.sources(spark.createDataFrame([(assembly,)], "name string"), recorded, curated).first()
+    if row.error:
+        raise errors.ChimeraNamingError(f"{assembly}: {row.error}")
+    return row.asDict()
+
+
+def register(spark: SparkSession, assembly: str, root: str | None = None, listed: DataFrame | None = None, force: bool = False) -> dict:
+    """Registers what a name means: a chimera from its components, else the FASTA that its row or its record names."""
+    found = resolve_source(spark, assembly, root, listed)
+    if found["kind"] == "components":
+        return Genome.chimera(spark, found["components"], root, force).record
+    place = Place(root or data_dir(spark), assembly)
+    record = read_record(spark, place.path) or {}
+    row = None if listed is None else listed.filter(F.col("assembly_name") == assembly).first()
+    pinned = row["sha256"] if row is not None and "sha256" in listed.columns else None
+    return register_assembly(spark, assembly, record.get("source_url") or found["url"], root, pinned, force)
 
 
 class Genome:
     """A registered assembly. Loci are 0-based, half-open; case is kept; a minus strand is reverse-complemented."""
 
-    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None) -> None:
-        """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default)."""
+    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None, metadata: dict | None = None) -> None:
+        """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default); ``metadata`` stands in for the assembly's row of the curated table."""
         self.spark, self.place, self._explicit, self.offered = spark, Place(root or data_dir(spark), assembly), default, offered
+        self.metadata, self.closed = metadata or {"assembly_name": assembly}, False
         self.record = check_registration(spark, self.place.path, f"register {assembly} --force")
         if self.record is None:
             raise errors.RegistrationError(f"{assembly} isn't registered; register it with `register {assembly} --source FASTA`")
+        _component_entries(self.record, assembly)
+
+    def close(self) -> None:
+        """After this, sequences can't be asked for any more."""
+        self.closed = True
+
+    def __enter__(self) -> Genome:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def __getitem__(self, locus: str | Region) -> str:
+        return self.fetch_sequence(locus)
 
     # --- sequences ---
     @property
@@ -147,22 +183,48 @@ class Genome:
 
     @property
     def store(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.place.path}/{SEQUENCES}")
+        if self.closed:
+            raise errors.ClosedGenomeError(f"{self.place.assembly} is closed")
+        return self.spark.read.parquet(f"{self.place.path}/{SEQUENCES}").select("chrom", "size", "tile", "bases")
+
+    @property
+    def fasta_lines(self) -> DataFrame:
+        """(at, value): the lines of the assembly's FASTA to the byte, ordered by ``at``."""
+        place = f"{self.place.path}/{FASTA}"
+        return fasta.lines(self.spark, place) if self.components else self.spark.read.parquet(place)
 
     def fetch(self, regions: DataFrame, masked: bool = True, checked: bool = True) -> DataFrame:
         """Many regions (rid, chrom, start, end, strand) with their bases and errors."""
         return fetch.fetch(fetch.resolved(regions, self.sizes), self.store, masked=masked, checked=checked)
 
-    def fetch_sequence(self, locus: str, strand: str = ".", masked: bool = True) -> str:
+    def resolve(self, locus: str | Region, strand: str | None = None) -> Region:
+        """A locus as a region of this assembly; what is wrong with it is raised, with the names that would do."""
+        if isinstance(locus, Region):
+            chrom, start, end, strand = locus.chrom, locus.start, locus.end, strand or locus.strand
+        else:
+            chrom, start, end = parse(locus)
+        asked = self.spark.createDataFrame([(chrom, start, end)], "chrom string, start long, end long")
+        row = fetch.resolved(asked, self.sizes.select("chrom", "size")).first()
+        if row.size is None:
+            raise errors.RegionError(self._unknown_chromosome(chrom))
+        if row.error:
+            raise errors.RegionError(f"region {locus!s}: {row.error}; {chrom} has {row.size} bases")
+        return Region(chrom, row.start, row.end, strand or ".")
+
+    def _unknown_chromosome(self, chrom: str) -> str:
+        if self.separator:
+            asked = self.spark.createDataFrame([(chrom,)], "name string")
+            row = naming.bare_spellings(asked, self.sizes, F.lit(self.separator)).first()
+            if row:
+                return f"unknown chromosome {chrom!r}: {self.place.assembly} is a chimera, which has it as {', '.join(row.spellings)}"
+        known = [r.chrom for r in self.sizes.orderBy("ord").limit(5).collect()]
+        return f"unknown chromosome {chrom!r}: {self.place.assembly} has {', '.join(known)}, ..."
+
+    def fetch_sequence(self, locus: str | Region, strand: str | None = None, masked: bool = True) -> str:
         """The bases of one locus; what is wrong with it is raised."""
-        if strand not in region.STRANDS:
-            raise errors.RegionError(f"strand must be one of {', '.join(region.STRANDS)}, got {strand!r}")
-        parsed = self.spark.createDataFrame([(0, locus, strand)], "rid long, locus string, strand string")
-        parsed = parsed.select("rid", "strand", *[c.alias(k if k != "error" else "malformed") for k, c in region.parse(F.col("locus")).items()])
-        row = self.fetch(parsed, masked).first()
-        if row.malformed or row.error:
-            raise errors.RegionError(f"region {locus!r}: {row.malformed or row.error}")
-        return row.bases
+        found = self.resolve(locus, strand)
+        asked = self.spark.createDataFrame([(0, found.chrom, found.start, found.end, found.strand)], "rid long, chrom string, start long, end long, strand string")
+        return self.fetch(asked, masked).first().bases
 
     def shape(self) -> dict:
         return shape.genome_shape(self.sizes).first().asDict()
@@ -219,7 +281,7 @@ class Genome:
         chrom, component = names.split_suffixed(names.suffixed(F.col("chrom"), F.col("component"), F.lit(sep)), F.lit(sep))
         if bad := every.filter(~(chrom.eqNullSafe(F.col("chrom")) & component.eqNullSafe(F.col("component")))).select("chrom").limit(5).collect():
             raise errors.ChimeraNamingError(f"names don't come apart again: {', '.join(r.chrom for r in bad)}")
-        for part in (RECORD, SEQUENCES, SIZES):
+        for part in (RECORD, SEQUENCES, SIZES, FASTA):
             _remove(spark, f"{place.path}/{part}")
         store, sizes, before = None, None, 0
         for p in parts:
@@ -232,12 +294,13 @@ class Genome:
             store, sizes = (mine, rows) if store is None else (store.unionByName(mine), sizes.unionByName(rows))
         store.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
         sizes.write.parquet(f"{place.path}/{SIZES}")
+        fasta.write_concatenated([(p.place.assembly, p.fasta_lines) for p in parts], f"{place.path}/{FASTA}", sep)
         for old in _children(spark, f"{place.path}/gtf"):  # merged by an earlier build
             if ((read_record(spark, place.annotation(old)) or {}).get("details") or {}).get("merged_from"):
                 _remove(spark, place.annotation(old))
         given = lambda c: {"annotation": giving[c][0], "annotation_sha256": giving[c][1]} if giving[c] else {}
         details = {"separator": sep, "components": [{"name": p.place.assembly, "sha256": p.record["sha256"], **given(p.place.assembly)} for p in parts]}
-        write_record(spark, place.path, "genome", place.assembly, details=details)
+        write_record(spark, place.path, "genome", place.assembly, sha256=catalog.content_sha256(spark, f"{place.path}/{FASTA}"), details=details)
         built = cls(spark, place.assembly, root)
         if sources := [(p, giving[p.place.assembly][0]) for p in parts if giving[p.place.assembly]]:
             built._register_merged(sources, sep)
@@ -266,7 +329,7 @@ class Genome:
         self._check_names(found)
         found.drop("line_ord").write.parquet(f"{place}/{FEATURES}")
         merged_from = [{"assembly": p.place.assembly, "annotation": n} for p, n in sources]
-        return write_record(self.spark, place, "annotation", name, None, _digest(self.spark, f"{place}/{MERGED}"), {"chromosomes_checked": True, "merged_from": merged_from})
+        return write_record(self.spark, place, "annotation", name, None, catalog.content_sha256(self.spark, f"{place}/{MERGED}"), {"chromosomes_checked": True, "merged_from": merged_from})
 
     @property
     def component_annotations(self) -> dict[str, str | None] | None:
@@ -304,7 +367,7 @@ class Genome:
         place = self.place.annotation(name)
         if not force and (done := check_registration(self.spark, place, f"register-gtf {self.place.assembly} {path} {name} --force")):
             return done
-        digest = _digest(self.spark, path)
+        digest = catalog.content_sha256(self.spark, path)
         if sha256 and digest != sha256:
             raise errors.ChecksumMismatchError(f"{path}: expected {sha256}, got {digest}")
         _remove(self.spark, place)
@@ -362,6 +425,24 @@ class Genome:
         here = [r.name for r in self.annotation_status().filter("registered").collect()]
         return here[0] if len(here) == 1 else None
 
+    def default_row(self) -> dict | None:
+        """The status row of the default annotation, with the command that would ``repair`` it; None without a default or a row."""
+        name = self.default_annotation
+        rows = self.annotation_status().filter(F.col("name") == name) if name else None
+        if rows is None:
+            return None
+        record = read_record(self.spark, self.place.annotation(name)) or {"details": {}, "source_url": None}
+        merged, source = F.lit(bool(record["details"].get("merged_from"))), F.lit(record["source_url"]).cast("string")
+        row = rows.withColumn("repair", cells.repair_command(F.col("assembly"), F.col("name"), merged, F.col("offered"), source)).first()
+        return row.asDict() if row else None
+
+    def default_summary(self) -> str:
+        """One line about the default annotation and what would mend it."""
+        name, row = self.default_annotation, self.default_row() or {}
+        text = lambda v: F.lit(v).cast("string")
+        sentence = cells.default_sentence(F.lit(self.place.assembly), text(name), F.lit(bool(row.get("broken"))), F.lit(bool(row.get("registered"))), text(row.get("repair")))
+        return self.spark.range(1).select(sentence).first()[0]
+
     def contributors(self, annotation: str | None = None) -> DataFrame:
         """(name, part_ord, annotation, part): what an annotation was merged from as its record says, else itself."""
         name = annotation or self.default_annotation
@@ -404,11 +485,44 @@ def reverse_complement(spark: SparkSession, bases: str) -> str:
     return row[0]
 
 
-def verify_assembly(spark: SparkSession, assembly: str, fasta_path: str, expected: str | None = None, root: str | None = None) -> dict:
-    """A FASTA's digest against the one expected, or the record's; ``verified`` only if there is one."""
-    record = read_record(spark, Place(root or data_dir(spark), assembly).path) or {}
+def _component_entries(record: dict, assembly: str) -> list[dict] | None:
+    """The components of a record's details, None for a plain assembly; details that have but a half of a chimera's are refused."""
+    details = record["details"]
+    entries, sep = details.get("components"), details.get("separator")
+    if entries is None and sep is None:
+        return None
+    if not entries or not sep or not all(isinstance(e, dict) and e.get("name") for e in entries):
+        raise errors.RegistrationError(f"the record of {assembly} says half of what a chimera's does; register it again with `register {assembly} --force`")
+    return entries
+
+
+def verify_assembly(spark: SparkSession, assembly: str, fasta_path: str | None = None, expected: str | None = None, root: str | None = None) -> dict:
+    """A FASTA's digest, by default that of the lines kept here, against the one expected, or the record's; ``verified`` only if there is one.
+
+    A chimera is also held to its components: ``components`` is unchanged or unknown, and a change raises.
+    """
+    place = Place(root or data_dir(spark), assembly)
+    record = read_record(spark, place.path) or {}
     want = expected or record.get("sha256")
-    got = _digest(spark, fasta_path)
+    if fasta_path is None and not record:
+        raise errors.RegistrationError(f"{assembly} isn't registered")
+    held = fasta_path or (f"{place.path}/{FASTA}" if record["details"].get("components") else record["source_url"])
+    got = catalog.content_sha256(spark, held)
     if want and got != want:
-        raise errors.ChecksumMismatchError(f"{fasta_path}: expected {want}, got {got}")
-    return {"assembly": assembly, "sha256": got, "expected_from": "table" if expected else "record" if want else None, "verified": want is not None}
+        raise errors.ChecksumMismatchError(f"{held}: expected {want}, got {got}")
+    components = Genome(spark, assembly, root).component_status() if record and record["details"].get("components") else None
+    return {"assembly": assembly, "sha256": got, "expected_from": "table" if expected else "record" if want else None, "verified": want is not None, "components": components}
+
+
+def table_row(spark: SparkSession, assembly: str, table: DataFrame, source: str | None = None, root: str | None = None) -> dict:
+    """The curated row of an assembly with its source and the digest computed from it, blank where the table has no row; chimeras have none."""
+    found = resolve_source(spark, assembly, root, table)
+    if found["kind"] == "components":
+        raise ValueError(f"{assembly} is a chimera of {', '.join(found['components'])}: its bytes come from them, so there is no row to compute")
+    columns = [c for c in table.columns if c not in ("ord", "error")]
+    row = table.filter(F.col("assembly_name") == assembly).first()
+    if row is not None and "error" in table.columns and row["error"]:
+        raise errors.MetadataRowError(f"{assembly}: {row['error']}")
+    known = {c: row[c] if row is not None else None for c in columns}
+    url = source or found["url"]
+    return known | {"assembly_name": assembly, "source_url": url, "sha256": catalog.content_sha256(spark, url)}

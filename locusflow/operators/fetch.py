@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import region, sequence
@@ -12,11 +12,16 @@ TILE = 65_536
 BROADCAST_CHROMOSOMES = 100_000
 
 
-def tiles(sequences: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, size, tile, bases) of (chrom, seq): pieces of ``tile`` bases; an empty sequence has one empty piece."""
-    last = F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / tile)).cast("int")
-    cut = sequences.select("chrom", F.length("seq").cast("long").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("seq", i * tile + 1, F.lit(tile)))))
-    return cut.select("chrom", "size", F.col("pos").alias("tile"), F.col("col").alias("bases"))
+def pieces(text: Column, size: Column | int) -> Column:
+    """``text`` in pieces of ``size`` characters, the last one shorter, in one pass over it; an empty text is one empty piece."""
+    pattern = F.concat(F.lit("(?s).{1,"), (size if isinstance(size, Column) else F.lit(size)).cast("string"), F.lit("}"))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
+
+
+def tiles(sequences: DataFrame, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chrom, size, tile, bases) of (chrom, seq), with ``keep``: pieces of ``tile`` bases; an empty sequence has one empty piece."""
+    cut = sequences.select("chrom", F.length("seq").cast("long").alias("size"), *keep, F.posexplode(pieces(F.col("seq"), tile)).alias("tile", "bases"))
+    return cut.select("chrom", "size", "tile", "bases", *keep)
 
 
 def resolved(regions: DataFrame, sizes: DataFrame, broadcast: bool | None = None) -> DataFrame:

@@ -34,12 +34,16 @@ def repeated_genes(lists: DataFrame) -> DataFrame:
 
 
 def faults(lists: DataFrame) -> DataFrame:
-    """Why lists can't be used: a blank description or source, a category without genes, a repeated gene."""
+    """(annotation, category, error): a blank description or source, no genes, a blank gene, a gene twice in a category or in two."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     prose = lists.filter(blank("description") | blank("source")).select("annotation", "category", F.lit("prose is blank").alias("error")).distinct()
     empty = lists.groupBy("annotation", "category").agg(F.count("gene_id").alias("n")).filter("n = 0").select("annotation", "category", F.lit("no genes").alias("error"))
-    repeats = repeated_genes(lists.filter(F.col("gene_id").isNotNull())).select("annotation", F.lit(None).cast("string").alias("category"), F.concat(F.lit("gene repeats: "), F.col("gene_id").cast("string")).alias("error"))
-    return prose.unionByName(empty).unionByName(repeats)
+    unnamed = lists.filter(F.trim("gene_id") == "").select("annotation", "category", F.lit("a gene is blank").alias("error")).distinct()
+    held = lists.filter(F.trim("gene_id") != "").groupBy("annotation", "gene_id", "category").agg(F.count("*").alias("n"))
+    twice = held.filter("n > 1").select("annotation", "category", F.concat(F.lit("gene repeats: "), "gene_id").alias("error"))
+    several = held.groupBy("annotation", "gene_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("category")), ", ").alias("c")).filter("n > 1")
+    several = several.select("annotation", F.lit(None).cast("string").alias("category"), F.concat("gene_id", F.lit(" is in several categories: "), "c").alias("error"))
+    return prose.unionByName(empty).unionByName(unnamed).unionByName(twice).unionByName(several)
 
 
 def wrong_assembly(lists: DataFrame, asked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, names, region, sequence
-from ..operators import annotation, fetch, genes, lookup, naming, records, shape
+from ..operators import annotation, fetch, genes, lookup, naming, records, resolve, shape
 from ..sources import fasta
 from . import bridge as b
 
@@ -102,7 +102,7 @@ add("chimera_split_name", lambda s, d: b.table(s, d, "part").select("p_partkey",
 add("chimera_separator", lambda s, d: naming.separator_of(b.sequences(s, d).withColumn("chrom", F.concat("chrom", F.repeat(F.lit("_"), (F.col("ord") % 4).cast("int")), F.lit("x")))), ["sequences"],
     "SELECT CAST(max(ord % 4) AS INTEGER) AS longest, repeat('_', CAST(greatest(2, max(ord % 4) + 1) AS INTEGER)) AS separator FROM sequences")
 add("chimera_suffix", lambda s, d: b.sizes(s, d).select("ord", names.suffixed(F.col("chrom"), F.col("component"), F.lit(SEP)).alias("chrom"), names.suffix_pattern(F.lit(SEP)).alias("pattern")), ["sizes"],
-    "SELECT ord, chrom || '__' || component AS chrom, '^(?<chromosome>.+)__(?<component>[A-Za-z0-9]+)$' AS pattern FROM sizes")
+    "SELECT ord, chrom || '__' || component AS chrom, '^(?P<chromosome>.+)__(?P<component>[A-Za-z0-9]+)$' AS pattern FROM sizes")
 
 def chimera_split_suffix(s: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("ord") % 3 == 0, F.col("chrom")).when(F.col("ord") % 3 == 1, F.concat("chrom", F.lit("__a__"), "component")).otherwise(F.concat(F.lit("__"), "component"))
@@ -118,11 +118,12 @@ add("chimera_roundtrip", lambda s, d: naming.not_round_tripping(b.sizes(s, d).wi
 
 
 def chimera_bare_spellings(s: SparkSession, d: str) -> DataFrame:
-    asked = b.sizes(s, d).select(F.col("chrom").alias("name")).filter(F.col("name").rlike("5"))
+    names_ = b.sizes(s, d).select(F.col("chrom").alias("name"))
+    asked = names_.unionByName(names_.select(F.concat("name", F.lit("?")).alias("name")))  # half of them are no chromosome's
     return naming.bare_spellings(asked, b.suffixed_sizes(s, d), F.lit(SEP))
 
 
-add("chimera_bare_spellings", chimera_bare_spellings, ["sizes"], "SELECT chrom AS name, [chrom || '__' || component] AS spellings FROM sizes WHERE contains(chrom, '5')")
+add("chimera_bare_spellings", chimera_bare_spellings, ["sizes"], "SELECT chrom AS name, [chrom || '__' || component] AS spellings FROM sizes")
 add("chimera_expected_sizes", lambda s, d: naming.expected_sizes(b.sizes(s, d), F.lit(SEP)), ["sizes"], "SELECT component, ord, chrom || '__' || component AS chrom, size FROM sizes")
 
 
@@ -178,14 +179,18 @@ add("default_annotation", _defaults, ["annotations"], _DEFAULT)
 
 
 def default_summary(s: SparkSession, d: str) -> DataFrame:
-    rows = annotation_status(s, d).select("assembly", F.col("name").alias("default_annotation"), "broken", "registered")
+    """Each assembly's sentence, a broken default's repair being its own row's: merged ones (every other here), offered ones, and ones by path."""
+    key = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
+    repair = cells.repair_command(F.col("assembly"), F.col("name"), key % 2 == 0, F.col("offered"), F.concat(F.lit("/gtf/"), F.col("name")))
+    rows = annotation_status(s, d).select("assembly", F.col("name").alias("default_annotation"), "broken", "registered", repair.alias("repair"))
     joined = _defaults(s, d).join(rows, ["assembly", "default_annotation"], "left")
     wrong, there = F.coalesce("broken", F.lit(False)), F.coalesce("registered", F.lit(False))
-    return joined.select("assembly", cells.default_sentence(F.col("assembly"), F.col("default_annotation"), wrong, there).alias("summary"))
+    return joined.select("assembly", cells.default_sentence(F.col("assembly"), F.col("default_annotation"), wrong, there, F.col("repair")).alias("summary"))
 
 
 add("default_summary", default_summary, ["annotations"], f""", st AS ({_STATUS}), df AS ({_DEFAULT})
-SELECT df.assembly, CASE WHEN default_annotation IS NULL THEN 'default: (none)' WHEN broken THEN 'default: ' || default_annotation || ' is broken here; repair it with `register-annotation ' || df.assembly || ' ' || default_annotation || ' --force`'
+SELECT df.assembly, CASE WHEN default_annotation IS NULL THEN 'default: (none)' WHEN broken THEN 'default: ' || default_annotation || ' is broken here; repair it with `' ||
+    CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 2 = 0 THEN 'register ' || df.assembly WHEN offered THEN 'register-annotation ' || df.assembly || ' ' || name ELSE 'register-gtf ' || df.assembly || ' /gtf/' || name || ' ' || name END || ' --force`'
   WHEN registered THEN 'default: ' || default_annotation ELSE 'default: ' || default_annotation || ' is not registered here; register it with `register-annotation ' || df.assembly || ' ' || default_annotation || '`' END AS summary
 FROM df LEFT JOIN st ON st.assembly = df.assembly AND st.name = default_annotation""")
 add("chromosome_check", lambda s, d: b.table(s, d, "supplier").select("s_suppkey", cells.check_sentence(F.when(F.col("s_suppkey") % 4 != 3, F.col("s_suppkey") % 4 == 0), F.element_at(F.array(F.lit("no-chrom-sizes"), F.lit("caller-override"), F.lit("later")), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("summary")), [],
@@ -202,7 +207,13 @@ _ASKED = "(SELECT assembly_name AS name FROM assemblies UNION ALL SELECT 'uc' ||
 _FIRST = "(SELECT q.name, a.* FROM (SELECT DISTINCT name FROM " + _ASKED + ") q JOIN assemblies a ON a.ucsc_name = q.name OR a.assembly_name = q.name QUALIFY row_number() OVER (PARTITION BY q.name ORDER BY a.ord) = 1)"
 add("lookup_assembly", lambda s, d: lookup.first_assembly(_asked(s, d), b.assemblies(s, d)), ["assemblies"], f"SELECT name, ord, assembly_name, ucsc_name, species, taxid_cell FROM {_FIRST}")
 add("assembly_metadata_total", lambda s, d: lookup.assembly_or_unknown(_asked(s, d), b.assemblies(s, d)), ["assemblies"], f"SELECT q.name, f.ord, coalesce(f.assembly_name, q.name) AS assembly_name, ucsc_name, species, taxid_cell FROM {_ASKED} q LEFT JOIN {_FIRST} f ON q.name = f.name")
-add("lookup_annotation", lambda s, d: lookup.annotation(b.annotations(s, d).select("assembly", "name").filter("name LIKE '%1%'"), b.annotations(s, d).select("assembly", "name", "ord", "sha256")), ["annotations"], "SELECT assembly, name, ord, sha256 FROM annotations WHERE name LIKE '%1%'")
+def _asked_annotations(s: SparkSession, d: str) -> DataFrame:
+    """Every annotation of its own assembly, and under the name of none."""
+    a = b.annotations(s, d).select("assembly", "name")
+    return a.unionByName(a.select(F.lit("no assembly").alias("assembly"), "name"))
+
+
+add("lookup_annotation", lambda s, d: lookup.annotation(_asked_annotations(s, d), b.annotations(s, d).select("assembly", "name", "ord", "sha256")), ["annotations"], "SELECT assembly, name, ord, sha256 FROM annotations")
 add("list_annotation_metadata", lambda s, d: b.annotations(s, d).filter("assembly = 'n7'").select("ord", "name"), ["annotations"], "SELECT ord, name FROM annotations WHERE assembly = 'n7'")
 add("parse_flags", lambda s, d: b.annotations(s, d).select("ord", cells.flag(F.col("flag_cell")).alias("flag")), ["annotations"], "SELECT ord, CASE WHEN lower(trim(flag_cell)) IN ('yes', 'true', '1') THEN true WHEN lower(trim(flag_cell)) IN ('no', 'false', '0', '') THEN false END AS flag FROM annotations")
 add("parse_cells", lambda s, d: b.assemblies(s, d).select("ord", cells.text_cell(F.col("taxid_cell")).alias("text"), cells.int_cell(F.col("taxid_cell")).alias("number"), F.coalesce(cells.required_error(F.col("taxid_cell"), "ncbi_taxid"), cells.int_error(F.col("taxid_cell"), "ncbi_taxid")).alias("error")), ["assemblies"],
@@ -224,6 +235,49 @@ add("curated_annotations", lambda s, d: b.gene_lists(s, d).select("annotation").
 add("elided_names", lambda s, d: b.gene_lists(s, d).groupBy("annotation").agg(F.array_sort(F.collect_set("category")).alias("c")).select("annotation", cells.elided(F.col("c"), 3).alias("names")), ["gene_lists"],
     "SELECT annotation, array_to_string(c[1:3], ', ') || CASE WHEN len(c) > 3 THEN ', and ' || (len(c) - 3) || ' more' ELSE '' END AS names FROM (SELECT annotation, list_sort(list(DISTINCT category)) AS c FROM gene_lists GROUP BY 1)")
 
+_PROSE = "CASE WHEN gene_ord % 40 = 7 THEN ' ' ELSE 'why' END AS description, 'where' AS source"
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    """Parts as genes with prose, some blank, and some genes blank or none."""
+    rows = b.gene_lists(s, d).withColumns({"description": F.when(F.col("gene_ord") % 40 == 7, " ").otherwise("why"), "source": F.lit("where")})
+    gene = F.when(F.col("category").startswith("PROMO"), F.lit(None)).when(F.col("gene_ord") % 50 == 9, " ").otherwise(F.col("gene_id"))
+    return rows.withColumn("gene_id", gene.cast("string"))
+
+
+add("gene_list_faults", lambda s, d: genes.faults(_described(s, d)), ["gene_lists"], f""", l AS (SELECT annotation, category, CASE WHEN category LIKE 'PROMO%' THEN NULL WHEN gene_ord % 50 = 9 THEN ' ' ELSE gene_id END AS gene_id, {_PROSE} FROM gene_lists),
+h AS (SELECT annotation, gene_id, category, count(*) AS n FROM l WHERE trim(gene_id) <> '' GROUP BY ALL)
+SELECT DISTINCT annotation, category, 'prose is blank' AS error FROM l WHERE trim(description) = '' OR trim(source) = ''
+UNION ALL SELECT annotation, category, 'no genes' FROM l GROUP BY 1, 2 HAVING count(gene_id) = 0
+UNION ALL SELECT DISTINCT annotation, category, 'a gene is blank' FROM l WHERE trim(gene_id) = ''
+UNION ALL SELECT annotation, category, 'gene repeats: ' || gene_id FROM h WHERE n > 1
+UNION ALL SELECT annotation, NULL, gene_id || ' is in several categories: ' || string_agg(category, ', ' ORDER BY category) FROM h GROUP BY annotation, gene_id HAVING count(*) > 1""")
+
+
+def resolve_source(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers' nations by pairs as names: in order and not, with parts that aren't known, and some on record."""
+    k = F.col("s_suppkey")
+    n = lambda x: F.concat(F.lit("n"), (x % 30).cast("string"))
+    suppliers = b.table(s, d, "supplier")
+    asked = suppliers.select(F.when(k % 4 == 0, n(k)).when(k % 4 == 1, F.concat(n(k), F.lit("_"), n(k * 7))).when(k % 4 == 2, F.concat(F.lit("my_"), n(k))).otherwise(F.concat_ws("_", n(k), n(k * 3), n(k * 5))).alias("name"))
+    parts = F.when(F.col("s_suppkey") % 5 == 0, F.array(F.lit("n1"), F.lit("n2")))
+    recorded = suppliers.filter("s_suppkey <= 20").select(n(k).alias("name"), parts.alias("components"))
+    listed = b.table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("s3://f/"), "n_name")).alias("source_url"))
+    return resolve.sources(asked, recorded, listed)
+
+
+add("resolve_source", resolve_source, [], r"""WITH asked AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'n' || s_suppkey % 30 WHEN 1 THEN 'n' || s_suppkey % 30 || '_n' || s_suppkey * 7 % 30 WHEN 2 THEN 'my_n' || s_suppkey % 30
+    ELSE 'n' || s_suppkey % 30 || '_n' || s_suppkey * 3 % 30 || '_n' || s_suppkey * 5 % 30 END AS name FROM supplier),
+rec AS (SELECT 'n' || s_suppkey % 30 AS name, CASE WHEN s_suppkey % 5 = 0 THEN ['n1', 'n2'] END AS known FROM supplier WHERE s_suppkey <= 20),
+lst AS (SELECT 'n' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 's3://f/' || n_name END AS source_url FROM nation),
+p AS (SELECT name, string_split(name, '_') AS parts, array_to_string(list_sort(string_split(name, '_')), '_') AS canonical FROM asked),
+k AS (SELECT p.*, rec.name IS NOT NULL AS here, known, source_url, rec.name IS NULL AND len(parts) > 1 AND list_has_all(every, parts) AS spelled
+  FROM p CROSS JOIN (SELECT list(name) AS every FROM (SELECT name FROM rec UNION SELECT name FROM lst)) LEFT JOIN rec USING (name) LEFT JOIN lst USING (name)),
+t AS (SELECT *, CASE WHEN spelled AND canonical <> name THEN 'misspelled' WHEN spelled OR known IS NOT NULL THEN 'components' ELSE 'fetch' END AS kind FROM k)
+SELECT name, kind, CASE WHEN kind = 'components' THEN coalesce(known, parts) END AS components,
+  CASE WHEN kind = 'fetch' THEN coalesce(source_url, 'https://hgdownload.soe.ucsc.edu/goldenPath/' || name || '/bigZips/' || name || '.fa.gz') END AS url, CASE WHEN kind = 'fetch' THEN source_url IS NULL END AS derived,
+  CASE WHEN kind = 'misspelled' THEN 'components are in order in a chimera''s name: ' || canonical END AS error FROM t""")
+
 # --- records ---
 add("record_disagreements", lambda s, d: records.disagreements(b.claimed(s, d), b.on_disk(s, d), ["dir", "file"]), ["claimed", "on_disk"], "SELECT dir, file, expected, actual FROM claimed LEFT JOIN on_disk USING (dir, file) WHERE actual IS NULL OR actual <> expected")
 add("registration_gate", lambda s, d: records.gate(b.table(s, d, "orders").select(F.col("o_orderkey").alias("dir")), b.claimed(s, d), b.on_disk(s, d), "dir", "file"), ["claimed", "on_disk"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..errors import CuratedGeneListError
 from ..functions import cells
 
 RECORD_NAME = "registration.json"
@@ -41,6 +43,42 @@ def gene_lists(spark: SparkSession, path: str) -> DataFrame:
     return by_category.select("annotation", "assembly", F.col("c.key").alias("category"), "cat_ord", F.col("c.value.description").alias("description"), F.col("c.value.source").alias("source"), F.posexplode_outer("c.value.gene_ids").alias("gene_ord", "gene_id"))
 
 
+def gene_list_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, category, error) of JSON lists: every way in which a file isn't a curated list named for its annotation; none if all are."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(\.json)?\z", 1).alias("file"), F.try_parse_json("value").alias("v"))
+    of = lambda v, key, kind: F.try_variant_get(v, f"$.{key}", kind)
+    is_ = lambda v, kind: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+    top = raw.withColumns({k: F.try_variant_get("v", f"$.{k}", "variant") for k in ("annotation", "assembly", "categories")})
+    whole = is_(F.col("v"), "OBJECT")
+    lacks = [F.when(whole & F.col(k).isNull(), f"no {k}") for k in ("annotation", "assembly", "categories")]
+    listed = F.col("categories").isNotNull()
+    errors = F.array_compact(F.array(
+        F.when(F.col("v").isNull(), "not JSON"), F.when(F.col("v").isNotNull() & ~whole, "not an object"), *lacks,
+        F.when(F.col("annotation").isNotNull() & ~F.coalesce(of(F.col("v"), "annotation", "string") == F.col("file"), F.lit(False)), "the file is named for another annotation"),
+        F.when(listed & (~is_(F.col("categories"), "OBJECT") | (F.size(F.map_keys(F.try_variant_get("categories", "$", "map<string,variant>"))) == 0)), "categories are none"),
+    ))
+    files = top.select("file", F.lit(None).cast("string").alias("category"), F.explode(errors).alias("error"))
+    entries = top.filter(is_(F.col("categories"), "OBJECT")).select("file", F.explode(F.try_variant_get("categories", "$", "map<string,variant>")).alias("category", "entry"))
+    good = is_(F.col("entry"), "OBJECT")
+    prose = [F.when(good & (~is_(F.try_variant_get("entry", f"$.{k}", "variant"), "STRING") | (F.trim(of(F.col("entry"), k, "string")) == "")), f"{k} is blank") for k in ("description", "source")]
+    ids = F.try_variant_get("entry", "$.gene_ids", "array<variant>")
+    genes = F.when(good & (ids.isNull() | (F.size(ids) == 0)), "no genes")
+    odd = F.when(good & F.exists(ids, lambda g: ~is_(g, "STRING") | (F.trim(F.try_variant_get(g, "$", "string")) == "")), "a gene is no text or blank")
+    shaped = entries.select("file", "category", F.explode(F.array_compact(F.array(F.when(~good, "not an object"), *prose, genes, odd))).alias("error"))
+    named = entries.filter(good).select("file", "category", F.explode(F.try_variant_get("entry", "$.gene_ids", "array<string>")).alias("gene"))
+    held = named.groupBy("file", "gene", "category").agg(F.count("*").alias("n"))
+    twice = held.filter("n > 1").select("file", "category", F.concat(F.lit("gene repeats: "), "gene").alias("error"))
+    several = held.groupBy("file", "gene").agg(F.count("*").alias("n"), F.max("category").alias("category")).filter("n > 1").select("file", "category", F.concat("gene", F.lit(" is in several categories")).alias("error"))
+    return files.unionByName(shaped).unionByName(twice).unionByName(several)
+
+
+def checked_gene_lists(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`gene_lists` of files that have no faults; the first ones there are are raised."""
+    if wrong := gene_list_faults(spark, path).orderBy("file", "category", "error").limit(5).collect():
+        raise CuratedGeneListError("; ".join(f"{r.file}{': ' + r.category if r.category else ''}: {r.error}" for r in wrong))
+    return gene_lists(spark, path)
+
+
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Completion records with their ``directory``; one that can't be read, or lacks a kind, name or files, reads as none."""
     found = spark.read.schema(RECORD).option("multiLine", True).json(paths).withColumn("directory", F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*\z", ""))
@@ -52,33 +90,52 @@ def files_below(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def record_json(kind: str, name: str, source_url: str | None = None, sha256: str | None = None, details: str | None = None) -> Column:
-    """A record as a column of JSON text over rows (files MAP<STRING,BIGINT>, tool_versions MAP<STRING,STRING>), nulls kept."""
-    from .. import __version__
+def content_sha256(spark: SparkSession, path: str) -> str:
+    """The digest of what is at ``path``, gzipped files unpacked, of any size; of a folder, that of its files one after the other.
+
+    A digest depends on the order of all bytes, so they stream through one task in the order of
+    files and lines; it holds a batch of lines at a time. A gzipped file is taken to end in a line
+    end, which its packed size doesn't tell, unless it is small enough to be unpacked whole.
+    """
+    files = [r for r in files_below(spark, path).orderBy("path").collect() if not r.path.rpartition("/")[2].startswith(("_", "."))]
+    packed = [r for r in files if r.path.endswith(".gz") and r.length <= WHOLE_BYTES]
+    if len(files) == len(packed) == 1:
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unpacked_sha256, "sha256 string").first().sha256
+    raw = spark.read.option("lineSep", "\n").text([r.path for r in files] or path)
+    name = F.col("_metadata.file_path")
+    size = F.when(~F.endswith(name, F.lit(".gz")), F.col("_metadata.file_size"))
+    rows = raw.select(name.alias("file"), size.alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
+    digest = rows.repartition(1).sortWithinPartitions("file", "block", "id").select("file", "size", "value").mapInArrow(_line_sha256, "sha256 string").first()
+    return digest.sha256 if digest else hashlib.sha256().hexdigest()
+
+
+#: A gzipped file of so many bytes is held packed by the task that unpacks it.
+WHOLE_BYTES = 1_000_000_000
 
-    text = lambda x: F.lit(x).cast("string")
-    fields = F.struct(
-        F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col("files"), text(source_url).alias("source_url"), text(sha256).alias("sha256"), F.col("tool_versions"), F.lit(__version__).alias("package_version"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("completed_at"), text(details).alias("details"),
-    )
-    return F.to_json(fields, {"ignoreNullFields": "false"})
 
+def _unpacked_sha256(batches: Iterator) -> Iterator:
+    import gzip
+    import io
 
-def content_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files, gzipped ones unpacked; an order-sensitive digest, so one task a file, of at most 2 GB."""
+    import pandas as pd
 
-    def each(batches: Iterator) -> Iterator:
-        import gzip
-        import hashlib
-        import io
+    for batch in batches:
+        yield pd.DataFrame({"sha256": [hashlib.file_digest(gzip.GzipFile(fileobj=io.BytesIO(data)), "sha256").hexdigest() for data in batch["content"]]})
 
-        import pandas as pd
 
-        for batch in batches:
-            out = []
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                raw = io.BytesIO(data)
-                out.append((name, hashlib.file_digest(gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, "sha256").hexdigest()))
-            yield pd.DataFrame(out, columns=["path", "sha256"])
+def _line_sha256(batches: Iterator) -> Iterator:
+    """Hashes sorted lines (file, size, value); a file's last line gets its end if the file's size, where known, says there is one."""
+    import pyarrow as pa
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, "path string, sha256 string")
+    digest, now, known, n = hashlib.sha256(), None, None, 0
+    last = lambda: b"\n" if now is not None and (known is None or n <= known) else b""
+    for batch in batches:
+        for file, size, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            digest.update(last() if file != now else b"\n")
+            if file != now:
+                now, known, n = file, size, 0
+            digest.update(value)
+            n += len(value) + 1
+    if now is not None:
+        digest.update(last())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["sha256"])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..operators.fetch import TILE, tiles
+from ..operators.fetch import pieces
 
+#: The numbers of so many records (some 10 MB) are sent to every task; more are joined by shuffle.
+BROADCAST_RECORDS = 100_000
 SIZES = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("length", T.LongType())])
 
 
@@ -21,10 +23,20 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     row's 2 GB.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    found = raw.filter(F.trim(F.substring(F.regexp_replace("value", r"\A>", ""), 1, 4096)) != "")
+    # Only (file, block, id) is sorted and numbered; the numbers go back to the sequences where these are.
+    order = W.partitionBy("file").orderBy("block", "id")
+    places = found.select("file", "block", "id").withColumn("place", F.row_number().over(order) - 1)
+    places = F.broadcast(places) if places.limit(BROADCAST_RECORDS + 1).count() <= BROADCAST_RECORDS else places
     text = F.regexp_replace("value", r"\A>", "")
-    found = raw.filter(F.trim(text) != "").select("file", "block", "id", F.regexp_extract(text, r"\A([^\r\n]*)", 1).alias("header"), F.regexp_replace(text, r"\A[^\n]*\n?", "").alias("body"))
-    place = F.row_number().over(W.partitionBy("file").orderBy("block", "id")) - 1
-    return found.select("file", place.alias("place"), "header", F.regexp_extract("header", r"\A\s*(\S*)", 1).alias("chrom"), F.regexp_replace("body", r"\s", "").alias("seq"), F.length(F.regexp_extract("body", r"\A([^\r\n]*)", 1)).alias("width"))
+    placed = found.join(places, ["file", "block", "id"]).select("file", "place", F.regexp_extract(text, r"\A([^\r\n]*)", 1).alias("header"), F.regexp_replace(text, r"\A[^\n]*\n?", "").alias("body"))
+    return placed.select("file", "place", "header", F.regexp_extract("header", r"\A\s*(\S*)", 1).alias("chrom"), F.regexp_replace("body", r"\s+", "").alias("seq"), F.length(F.regexp_extract("body", r"\A([^\r\n]*)", 1)).alias("width"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value): every line to the byte, carriage returns and blank ones too, and what orders them."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), "value")
 
 
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -38,12 +50,6 @@ def write_chrom_sizes(sizes: DataFrame, path: str) -> None:
     sizes.coalesce(1).sortWithinPartitions("ord").select("chrom", "length").write.option("sep", "\t").csv(path)
 
 
-def write_store(found: DataFrame, path: str, assembly: str, tile: int = TILE) -> None:
-    """The tile store of an assembly: a partition of (chrom, size, tile, bases), sorted so that statistics prune."""
-    cut = tiles(found, tile).withColumn("assembly", F.lit(assembly))
-    cut.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.partitionBy("assembly").mode("append").parquet(path)
-
-
 def extend_headers(lines: DataFrame, component: str, separator: str) -> DataFrame:
     """FASTA lines (``value``) with the first token of headers suffixed; leading blanks and descriptions stay."""
     suffix = F.lit(f"{separator}{component}")
@@ -54,17 +60,19 @@ def extend_headers(lines: DataFrame, component: str, separator: str) -> DataFram
 
 def fasta_lines(found: DataFrame, component_ord: int) -> DataFrame:
     """(component_ord, place, line, value): a record's header and bases, wrapped at its own width."""
-    rows = F.concat(F.array(F.concat(F.lit(">"), "header")), F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / F.greatest("width", F.lit(1))).cast("int"))), lambda i: F.substring("seq", i * F.col("width") + 1, F.col("width"))))
+    rows = F.concat(F.array(F.concat(F.lit(">"), "header")), pieces(F.col("seq"), F.greatest("width", F.lit(1))))
     return found.select(F.lit(component_ord).alias("component_ord"), "place", F.posexplode(rows).alias("line", "value"))
 
 
-def write_concatenated(parts: list[tuple[str, DataFrame]], path: str, separator: str) -> None:
-    """Several components' records as one FASTA: components by name, each in its order, headers suffixed.
-
-    The answer is one ordered file, so the last stage is a single ordered partition.
-    """
+def concatenated(parts: list[tuple[str, DataFrame]], separator: str) -> DataFrame:
+    """(part, at, value): the lines (at, value) of components, sorted by name, to the byte but for the suffixes of their headers."""
     every = None
     for i, (component, found) in enumerate(sorted(parts, key=lambda p: p[0])):
-        mine = extend_headers(fasta_lines(found, i), component, separator)
+        mine = extend_headers(found, component, separator).select(F.lit(i).alias("part"), "at", "value")
         every = mine if every is None else every.unionByName(mine)
-    every.repartition(1).sortWithinPartitions("component_ord", "place", "line").select("value").write.text(path)
+    return every
+
+
+def write_concatenated(parts: list[tuple[str, DataFrame]], path: str, separator: str) -> None:
+    """Several components' lines as one FASTA: text files that follow each other in the order of their names."""
+    concatenated(parts, separator).repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.text(path)

@@ -42,10 +42,5 @@ def merged(sources: list[tuple[str, DataFrame]], separator: str) -> DataFrame:
 
 
 def write_merged(sources: list[tuple[str, DataFrame]], path: str, separator: str) -> None:
-    """Components' GTF lines as one file; one ordered partition, as the file is one."""
-    merged(sources, separator).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
-
-
-def write_features(found: DataFrame, path: str, assembly: str, annotation: str) -> None:
-    """The feature store: a partition for each assembly and annotation."""
-    found.withColumns({"assembly": F.lit(assembly), "annotation": F.lit(annotation)}).drop("line_ord").write.partitionBy("assembly", "annotation").mode("append").parquet(path)
+    """Components' GTF lines as one: text files that follow each other in the order of their names."""
+    merged(sources, separator).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(path)

@@ -6,9 +6,10 @@ import json
 
 import pytest
 
-from locusflow import cli, errors
-from locusflow.genome import Genome, Place, read_record, register_assembly, verify_assembly
+from locusflow import cli, errors, indexes
+from locusflow.genome import Genome, Place, read_record, register, register_assembly, resolve_source, table_row, verify_assembly, write_record
 from locusflow.operators import genes
+from locusflow.regions import Region
 from locusflow.sources import catalog, fasta, gtf
 from locusflow.streaming import ingest
 
@@ -134,13 +135,13 @@ def test_chimera_merges_annotations(spark, root):
 
 
 def test_files_written(spark, root):
-    parts = [("two", fasta.records(spark, f"{root}/two.fa"))]
+    parts = [("two", fasta.lines(spark, f"{root}/two.fa"))]
     fasta.write_concatenated(parts, f"{root}/out.fa", "__")
-    text = "".join(p.read_text() for p in (root / "out.fa").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((root / "out.fa").glob("part-*")))
     assert text == TWO.replace(">chrA ", ">chrA__two ").replace(">chrB", ">chrB__two")
     (root / "a.gtf").write_text(THREE)
     gtf.write_merged([("two", gtf.lines(spark, f"{root}/a.gtf"))], f"{root}/merged", "__")
-    lines = "".join(p.read_text() for p in (root / "merged").glob("part-*")).splitlines()
+    lines = "".join(p.read_text() for p in sorted((root / "merged").glob("part-*"))).splitlines()
     assert lines == [x.replace("\tsrc", "__two\tsrc", 1) for x in THREE.splitlines() if "\t" in x]
     fasta.write_chrom_sizes(Genome(spark, "two", str(root)).sizes.withColumnRenamed("size", "length"), f"{root}/sizes")
     assert "".join(p.read_text() for p in (root / "sizes").glob("part-*")) == "chrA\t20\nchrB\t8\n"
@@ -185,3 +186,183 @@ def test_stream(spark, root):
 
 def test_no_record_is_none(spark, tmp_path):
     assert read_record(spark, Place(str(tmp_path), "x").path) is None
+
+
+ODD = ">chrA  a > in a description\r\nACGTAC\r\nGT\r\n\r\n>c_1\tx\nAA\nA"  # carriage returns, a blank line, no last line end
+
+
+def test_chimera_fasta_is_verbatim(spark, root):
+    (root / "x.fa").write_bytes(ODD.encode())
+    with gzip.open(root / "z.fa.gz", "wb") as f:
+        f.write(TWO.encode())
+    register_assembly(spark, "axe", f"{root}/x.fa", str(root), hashlib.sha256(ODD.encode()).hexdigest())
+    register_assembly(spark, "zed", f"{root}/z.fa.gz", str(root), hashlib.sha256(TWO.encode()).hexdigest())
+    both = Genome.chimera(spark, ["zed", "axe"], str(root))
+    suffixed = lambda text, to: text.replace(">chrA ", f">chrA__{to} ").replace(">c_1", f">c_1__{to}").replace(">chrB", f">chrB__{to}")
+    want = (suffixed(ODD, "axe") + "\n" + suffixed(TWO, "zed")).encode()
+    held = b"".join(p.read_bytes() for p in sorted((root / "genome/axe_zed/fasta").glob("part-*")))
+    assert held == want and both.record["sha256"] == hashlib.sha256(want).hexdigest()
+    assert verify_assembly(spark, "axe_zed", root=str(root)) == {"assembly": "axe_zed", "sha256": hashlib.sha256(want).hexdigest(), "expected_from": "record", "verified": True, "components": "unchanged"}
+    assert both["chrA__axe:4-8"] == "ACGT" and both["c_1__axe"] == "AAA"
+
+
+@pytest.mark.parametrize("text", ["", "\n", "a", "a\n", "a\n\n", "a\r\nb", "x\n" * 5000])
+def test_digests(spark, tmp_path, text, monkeypatch):
+    (tmp_path / "t").write_bytes(text.encode())
+    want = hashlib.sha256(text.encode()).hexdigest()
+    assert catalog.content_sha256(spark, f"{tmp_path}/t") == want
+    with gzip.open(tmp_path / "t.gz", "wb") as f:
+        f.write(text.encode())
+    assert catalog.content_sha256(spark, f"{tmp_path}/t.gz") == want
+    if text.endswith("\n"):
+        monkeypatch.setattr(catalog, "WHOLE_BYTES", 0)
+        assert catalog.content_sha256(spark, f"{tmp_path}/t.gz") == want
+
+
+def test_digest_of_many_splits(spark, tmp_path):
+    text = "".join(f"line {i}\n" for i in range(60_000)) + "the end"
+    (tmp_path / "t").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert catalog.content_sha256(spark, f"{tmp_path}/t") == hashlib.sha256(text.encode()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cutting_takes_time_in_proportion(spark):
+    """Four times the bases, at most some eight times the seconds; quadratic cutting took sixteen."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from locusflow.operators import fetch
+
+    def seconds(n):
+        row = spark.range(1).select(F.lit("c").alias("chrom"), F.expr(f"repeat('ACGTN', {n // 5})").alias("seq"))
+        begin = time.time()
+        got = fetch.tiles(row, 60).agg(F.count("*"), F.sum(F.length("bases"))).first()
+        assert tuple(got) == (-(-n // 60), n)
+        return time.time() - begin
+
+    seconds(100_000)
+    assert seconds(8_000_000) < 8 * seconds(2_000_000) + 1
+
+
+def test_regions(spark, root):
+    r = Region.from_string(" chrA:1,0-12 ", "-")
+    assert (r.chrom, r.start, r.end, len(r), r.length, str(r)) == ("chrA", 10, 12, 2, 2, "chrA:10-12")
+    for bad in ("chrA", "chrA:x", "chrA:5-3"):
+        with pytest.raises(errors.RegionError):
+            Region.from_string(bad)
+    for wrong in ((-1, 2, "."), (1, 2, "x")):
+        with pytest.raises(ValueError):
+            Region("c", *wrong)
+    with Genome(spark, "two", str(root)) as genome:
+        assert genome[Region("chrA", 0, 6, "-")] == "GTACGT" and genome["chrA:8-12"] == "acgt"
+        assert genome.resolve("chrB") == Region("chrB", 0, 8)
+        with pytest.raises(errors.RegionError, match="chrA, chrB"):
+            genome["chrQ:0-1"]
+    with pytest.raises(errors.ClosedGenomeError):
+        genome["chrB"]
+    register_assembly(spark, "axe", f"{root}/two.fa", str(root))
+    both = Genome.chimera(spark, ["two", "axe"], str(root))
+    with pytest.raises(errors.RegionError, match="chrA__axe, chrA__two"):
+        both["chrA:0-4"]
+
+
+def test_sources_of_names(spark, root):
+    table = spark.createDataFrame([("hg", "s3://x/hg.fa", "aa"), ("two", None, None)], "assembly_name string, source_url string, sha256 string")
+    means = lambda name: resolve_source(spark, name, str(root), table)
+    assert means("hg")["url"] == "s3://x/hg.fa" and not means("hg")["derived"] and means("mm")["derived"]
+    assert means("hg_two")["components"] == ["hg", "two"] and means("my_two")["kind"] == "fetch"
+    with pytest.raises(errors.ChimeraNamingError, match="hg_two"):
+        means("two_hg")
+    register_assembly(spark, "hg_two", f"{root}/two.fa", str(root))  # a record is believed before a name
+    assert means("hg_two")["kind"] == "fetch"
+    register_assembly(spark, "axe", f"{root}/two.fa", str(root))
+    assert register(spark, "axe_two", str(root))["details"]
+    assert means("axe_two")["components"] == ["axe", "two"]
+    with pytest.raises(ValueError, match="chimera"):
+        table_row(spark, "axe_two", table, root=str(root))
+    row = table_row(spark, "two", table, f"{root}/two.fa", str(root))
+    assert row == {"assembly_name": "two", "source_url": f"{root}/two.fa", "sha256": hashlib.sha256(TWO.encode()).hexdigest()}
+
+
+def test_half_a_chimera_is_refused(spark, root):
+    place = Place(str(root), "two").path
+    write_record(spark, place, "genome", "two", details={"components": [{"name": "a"}]})
+    with pytest.raises(errors.RegistrationError, match="half"):
+        Genome(spark, "two", str(root))
+
+
+def test_indexes(spark, root):
+    genome = Genome(spark, "two", str(root))
+    with pytest.raises(errors.IndexNotBuiltError):
+        indexes.index_path(genome, "star")
+    place = root / "genome/two/index/star"
+    place.mkdir(parents=True)
+    (place / "SA").write_text("x")
+    with pytest.raises(errors.UnfinishedRegistrationError):
+        indexes.index_path(genome, "star")
+    record = indexes.record_index(genome, "star", {"sjdb_overhang": 99, "many": [1, 2]})
+    assert indexes.index_path(genome, "star") == str(place) and indexes.index_state(genome, "star") == "current"
+    assert "--sjdb_overhang" in json.loads(record["details"])["command"] and indexes.aligner("chromap").flags({"a_b": (1, 2)}) == ["--a-b", "1", "2"]
+    Genome(spark, "two", str(root))  # an index isn't one of the assembly's own files
+    (root / "other.fa").write_text(TWO.replace("GGGG", "GGGA"))
+    register_assembly(spark, "two", f"{root}/other.fa", str(root), force=True)
+    assert indexes.index_state(genome, "star") == "stale"
+    with pytest.raises(errors.RegistrationMismatchError):
+        indexes.index_path(Genome(spark, "two", str(root)), "star")
+    with pytest.raises(LookupError):
+        indexes.aligner("none")
+
+
+def test_gene_list_files(spark, tmp_path):
+    good = {"annotation": "good", "assembly": "two", "categories": {"rRNA": {"description": "d", "source": "s", "gene_ids": ["g1", "g2"]}}}
+    category = lambda **change: json.dumps(good | {"annotation": "x", "categories": {"c": {"description": "d", "source": "s", "gene_ids": ["g"]} | change}})
+    files = {
+        "good": json.dumps(good), "broken": "{", "array": "[1]", "bare": "{}", "renamed": json.dumps(good), "none": json.dumps(good | {"annotation": "none", "categories": {}}),
+        "word": json.dumps(good | {"annotation": "word", "categories": "c"}), "entry": json.dumps(good | {"annotation": "entry", "categories": {"c": 3}}),
+        "prose": category(description=" ", source=4), "ids": category(gene_ids=[]), "number": category(gene_ids=["g", 5, " "]), "twice": category(gene_ids=["g", "g"]),
+        "both": json.dumps(good | {"annotation": "both", "categories": {c: good["categories"]["rRNA"] for c in "ab"}}),
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text.replace('"annotation": "x"', f'"annotation": "{name}"'))
+    found = {}
+    for r in catalog.gene_list_faults(spark, f"{tmp_path}/*.json").collect():
+        found.setdefault(r.file, set()).add(r.error)
+    assert found == {
+        "broken": {"not JSON"}, "array": {"not an object"}, "bare": {"no annotation", "no assembly", "no categories"}, "renamed": {"the file is named for another annotation"}, "none": {"categories are none"},
+        "word": {"categories are none"}, "entry": {"not an object"}, "prose": {"description is blank", "source is blank"}, "ids": {"no genes"}, "number": {"a gene is no text or blank"}, "twice": {"gene repeats: g"},
+        "both": {"g1 is in several categories", "g2 is in several categories"},
+    }
+    assert catalog.checked_gene_lists(spark, f"{tmp_path}/good.json").count() == 2
+    with pytest.raises(errors.CuratedGeneListError, match="twice"):
+        catalog.checked_gene_lists(spark, f"{tmp_path}/twice.json")
+
+
+def test_cli_lists_and_rows(spark, root, capsys):
+    data = ["--data", str(root)]
+    (root / "a.gtf").write_text(THREE)
+    register_assembly(spark, "axe", f"{root}/two.fa", str(root))
+    for name in ("two", "axe"):
+        assert cli.run(spark, [*data, "register-gtf", name, f"{root}/a.gtf", f"a{name}"]) == 0
+        (root / f"a{name}.json").write_text(json.dumps({"annotation": f"a{name}", "assembly": name, "categories": {"rRNA": {"description": "d", "source": "s", "gene_ids": [f"g{name}"]}}}))
+    assert cli.run(spark, [*data, "register", "axe_two"]) == 0
+    capsys.readouterr()
+    assert cli.run(spark, [*data, "gene-categories", "axe_two", "--lists", f"{root}/*.json"]) == 0
+    assert capsys.readouterr().out == "categories of aaxe+atwo of axe_two\nrRNA  2\n"
+    assert cli.run(spark, [*data, "gene-list", "axe_two", "rRNA", "--lists", f"{root}/*.json"]) == 0 and capsys.readouterr().out == "gaxe\ngtwo\n"
+    (root / "none").mkdir()
+    (root / "none/x.json").write_text(json.dumps({"annotation": "x", "assembly": "two", "categories": {"c": {"description": "d", "source": "s", "gene_ids": ["g"]}}}))
+    assert cli.run(spark, [*data, "gene-categories", "two", "--lists", f"{root}/none/*.json"]) == 1
+    capsys.readouterr()
+    assert cli.run(spark, [*data, "annotations", "two"]) == 0 and capsys.readouterr().out == "atwo  registered, not offered\ndefault: atwo\n"
+    assert cli.run(spark, [*data, "verify", "axe_two"]) == 0 and capsys.readouterr().out.endswith("components: unchanged\n")
+    (root / "t.tsv").write_text("assembly_name\tspecies\tsource_url\tsha256\ntwo\tyeast\t\told\n")
+    assert cli.run(spark, [*data, "table-row", "two", "--table", f"{root}/t.tsv", "--source", f"{root}/two.fa"]) == 0
+    assert capsys.readouterr().out == f"two\tyeast\t{root}/two.fa\t{hashlib.sha256(TWO.encode()).hexdigest()}\n"
+    assert cli.run(spark, [*data, "table-row", "axe_two", "--table", f"{root}/t.tsv"]) == 1
+    for f in (root / "genome/axe_two/gtf/aaxe+atwo/features").iterdir():
+        f.unlink()
+    assert Genome(spark, "axe_two", str(root), "aaxe+atwo").default_summary().endswith("is broken here; repair it with `register axe_two --force`")
