@@ -8,7 +8,10 @@ record are the sink's line separator, so the files come from Spark's own committ
 from __future__ import annotations
 
 import gzip
+import io
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,22 +41,29 @@ def _record(kind: str | Column, id_: Column, fields: list[tuple[str, Column]], b
     return F.concat(F.concat_ws("\r\n", *head), F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 6_000) -> None:
+def write(pages: DataFrame, path: str, records_per_file: int = 6_000, file_bytes: int = 128 << 20) -> None:
     """Writes the captures of ``pages`` (page_id, url, html) as gzipped WARC files under ``path``.
 
+    A file holds at most ``records_per_file`` records, and so many that records of mean size fill
+    ``file_bytes``; a reader unpacks it as a stream, whatever single records' sizes. A file is one
+    gzip member, as Spark's sink writes it, where the standard recommends one for each record.
+
     Of pages with equal payloads of at least 100 bytes, the one with the smallest page_id is the
     response and the others revisit it; rows that repeat that page_id with that payload are all
     responses, and where all ids of a payload are null so are they. A null html is empty; a null
-    url has no WARC-Target-URI, and line ends in a url are dropped.
+    url has no WARC-Target-URI, and line ends in a url are dropped. An empty table gives a folder
+    without records. Other columns of ``pages`` don't matter, whatever their names.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
-    known = rows.select("page_id", "bytes", "digest").filter(F.col("bytes") >= REVISIT_BYTES)
-    firsts = checkpointed(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    known = rows.select("page_id", "url", "bytes", "digest").filter(F.col("bytes") >= REVISIT_BYTES)
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("x")
+    firsts = known.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1")
+    firsts = checkpointed(firsts.select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")))
     firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts
     rows = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    id_ = _urn(F.col("page_id"), F.col("digest"))
+    id_ = _urn(F.col("page_id"), F.col("digest"), F.coalesce("url", F.lit("")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     path_of = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]*(/[^\s]*)", 1), F.lit(""))
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/\s]*)", 1), F.lit(""))
@@ -64,7 +74,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = 6_000) -> None:
         _record("request", _urn(F.lit("request"), id_), [target, ("WARC-Concurrent-To", id_), ("Content-Type", F.lit("application/http; msgtype=request"))], request),
         _record(
             F.when(revisit, "revisit").otherwise("response"), id_,
-            [target, ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("WARC-Refers-To", only(_urn(F.col("first"), F.col("digest")))),
+            [target, ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("WARC-Refers-To", only(_urn(F.col("first"), F.col("digest"), F.col("first_url")))),
              ("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
             F.when(revisit, http).otherwise(F.concat(http, "html")),
         ),
@@ -73,61 +83,77 @@ def write(pages: DataFrame, path: str, records_per_file: int = 6_000) -> None:
             F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit("via: locusflow")),
         ),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1_500)).first()[0] or 1.0
+    most = max(3, min(records_per_file, int(3 * file_bytes / mean)))
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 RECORD = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("concurrent_to", T.ArrayType(T.StringType())), T.StructField("refers_to", T.StringType()),
     T.StructField("target_uri", T.StringType()), T.StructField("date", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("http_head", T.StringType()), T.StructField("payload", T.BinaryType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of an archive, one after the other by their Content-Length."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+def parse(stream: BinaryIO) -> Iterator[dict]:
+    """The records of an archive, one after the other by their Content-Length; only one is held at a time."""
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record where {line[:20]!r} stands")
         fields: dict[str, list[str]] = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode(errors="replace").partition(":")
             fields.setdefault(name.lower(), []).append(value.strip())
-        start = head_end + 4
-        block = data[start : start + int(fields["content-length"][0])]
-        at = start + len(block) + 4
         one = lambda name, fields=fields: fields.get(name, [None])[0]
+        length = int(one("content-length") or -1)
+        block = stream.read(max(0, length))
+        if len(block) != length:
+            raise ValueError(f"{one('warc-record-id')} is cut off or has no length")
         http, payload = "", block
         if (one("content-type") or "").startswith("application/http"):
             first, _, payload = block.partition(b"\r\n\r\n")
-            http = first.decode()
+            http = first.decode(errors="replace")
         yield {
             "type": one("warc-type"), "record_id": one("warc-record-id"), "concurrent_to": fields.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"), "target_uri": one("warc-target-uri"),
-            "date": one("warc-date"), "payload_digest": one("warc-payload-digest"), "http_head": http, "payload": payload,
+            "date": one("warc-date"), "payload_digest": one("warc-payload-digest"), "http_head": http, "payload": payload, "error": None,
         }
 
 
-def read(spark: SparkSession, path: str, rows_per_batch: int = 500) -> DataFrame:
-    """The records of all archives under ``path``, gzipped or plain; a file, of which writers bound the records, is read by one task."""
+def read(spark: SparkSession, path: str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The records of all archives under ``path``, gzipped (of any number of members) or plain.
+
+    A file is read by one task, which holds its packed bytes and ``batch_bytes`` of records. What
+    can't be read of a damaged file is one row without type whose ``error`` says why and where; the
+    records before it are given. Records that repeat are given as often as they stand there.
+    """
     import pyarrow as pa
 
-    arrow = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_head", pa.string()), ("payload", pa.binary())])
+    text = ("type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "http_head", "error")
+    arrow = pa.schema([(f.name, pa.string() if f.name in text else pa.binary() if f.name == "payload" else pa.list_(pa.string())) for f in RECORD.fields])
+
+    def records_of(data: bytes, name: str) -> Iterator[dict]:
+        raw = io.BytesIO(data)
+        try:
+            yield from parse(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw)
+        except (ValueError, EOFError, OSError, zlib.error) as wrong:
+            yield dict.fromkeys(arrow.names) | {"error": f"{name}: {wrong}"}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                held: list[dict] = []
-                data = batch.column("content")[i].as_py()
-                for record in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                held, size = [], 0
+                for record in records_of(batch.column("content")[i].as_py(), batch.column("path")[i].as_py()):
                     held.append(record)
-                    if len(held) >= rows_per_batch:
+                    size += len(record["payload"] or b"") + 1_000
+                    if size >= batch_bytes:
                         yield pa.RecordBatch.from_pylist(held, arrow)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(each, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
