@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,18 @@ def running_offsets(df: DataFrame, key: str, n: str, group: int = 1024) -> DataF
         .withColumn("offset", F.col("_before") + F.col("_first"))
         .drop("_run", "_before", "_first")
     )
+
+
+def slices(batch, column: str, most: int) -> Iterator:
+    """Consecutive slices of a batch, each of about ``most`` bytes in ``column`` or of one row."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(n)
+    if start < batch.num_rows:
+        yield batch.slice(start)

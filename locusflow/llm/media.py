@@ -4,22 +4,26 @@ A payload is stored as grey samples, each the level of one 8 x 8 block: with a D
 level comes back exactly, so the codec loses nothing. A frame is 64 samples wide (512 pixels) with a
 restart marker after each row of blocks, which makes rows independent: all rows of a batch are
 decoded in step, one sample of each at a time. The reader follows the RIFF structure and its idx1
-index, never the writer's bookkeeping. Shots are cut where the grey histogram of a frame differs from
-the last one's by more than an adaptive threshold, as published for compressed-domain DC images.
+index, never the writer's bookkeeping; frames of other writers are decoded as baseline pictures,
+whatever their quantisers, codes and components, to the grey of their first component. Shots are cut
+where the grey histogram of a frame differs from the last one's by more than an adaptive threshold,
+as published for compressed-domain DC images.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import slices, without
 
 WIDTH, ROWS = 64, 32  # samples in a row, rows in a full frame
 RATE = 25  # frames a second
@@ -175,28 +179,143 @@ def _tables(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sizes, values
 
 
-def jpeg_rows(picture: bytes) -> tuple[tuple, list[bytes]]:
-    """What decoding a frame takes (width, rows, quantiser, code tables) and its coded rows, unstuffed."""
-    at, tables, width, rows, quantiser = 2, {}, 0, 0, 0
-    while True:
-        marker, length = picture[at + 1], struct.unpack_from(">H", picture, at + 2)[0]
-        body = picture[at + 4 : at + 2 + length]
-        at += 2 + length
-        if marker == 0xDB:
-            quantiser = body[1]
-        elif marker == 0xC0:
-            rows, width = struct.unpack_from(">HH", body, 1)
-        elif marker == 0xC4:
-            tables[body[0]] = (bytes(body[1:17]), bytes(body[17:]))
-        elif marker == 0xDA:
-            break
-    coded, out, start = picture[at:-2], [], 0
-    for i in range(rows // 8 - 1):  # a marker byte is never a stuffed one, so the next marker's bytes are sure
-        end = coded.index(bytes([0xFF, 0xD0 + i % 8]), start)
-        out.append(coded[start:end])
-        start = end + 2
-    out.append(coded[start:])
-    return (width // 8, quantiser, tables[0x00], tables[0x10]), [r.replace(b"\xff\x00", b"\xff") for r in out]
+class Picture:
+    """What the markers of a baseline JPEG say, and its entropy-coded bytes.
+
+    Quantisers stand in zigzag order by table; ``parts`` is (name, across, down, quantiser table) of
+    each component, ``scan`` (name, DC table, AC table). Progressive and arithmetic-coded pictures
+    are refused, and so are frames that leave their code tables to the reader.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG picture")
+        self.quantisers: dict[int, np.ndarray] = {}
+        self.codes: dict[int, tuple[bytes, bytes]] = {}
+        self.restart, self.parts, self.scan, at = 0, [], [], 2
+        while not self.scan:
+            if at + 4 > len(data) or data[at] != 0xFF:
+                raise ValueError("a picture that is cut off")
+            marker, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            body = data[at + 4 : at + 2 + length]
+            at += 2 + length
+            if marker == 0xDB:
+                while body:
+                    wide = 1 + (body[0] >> 4)
+                    self.quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], f">u{wide}").astype(np.int64)
+                    body = body[1 + 64 * wide :]
+            elif marker in (0xC0, 0xC1):
+                self.rows, self.width = struct.unpack_from(">HH", body, 1)
+                self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError(f"a picture of kind {marker:#x}, which isn't baseline")
+            elif marker == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    self.codes[body[0]] = (bytes(body[1:17]), bytes(body[17 : 17 + n]))
+                    body = body[17 + n :]
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body[:2])[0]
+            elif marker == 0xDA:
+                self.scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+        if not self.parts or [p[0] for p in self.parts] != [c[0] for c in self.scan] or any(t not in self.codes for _, d, a in self.scan for t in (d, 0x10 | a)) or any(p[3] not in self.quantisers for p in self.parts):
+            raise ValueError("a picture whose tables or components are missing")
+        end = data.rfind(b"\xff\xd9")
+        self.coded = data[at : end if end > at else len(data)]
+
+    def stretches(self) -> list[bytes]:
+        """The coded bytes between restart markers, unstuffed."""
+        return [r.replace(b"\xff\x00", b"\xff") for r in re.split(rb"\xff[\xd0-\xd7]", self.coded)]
+
+    def levels_only(self) -> bool:
+        """Whether it is of the kind that this module writes: one component, a restart a row, blocks of a level and no more."""
+        return len(self.parts) == 1 and self.restart * 8 == self.width and self.rows % 8 == 0 and self.codes[0x10 | self.scan[0][2]][1] == b"\x00"
+
+
+#: Places of a block's coefficients in the order they are coded: along diagonals, turning at each.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+#: The cosine transform's matrix, frequency by place.
+COSINES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _stretch(data: bytes, scan: list[tuple], tables: list[tuple], units: int, blocks: list[list[list[int]]]) -> None:
+    """Decodes up to ``units`` units of one stretch, each component's blocks of a unit in turn, into ``blocks``."""
+    raw = np.frombuffer(data + b"\xff" * 8, np.uint8).astype(np.uint32)
+    window = ((raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]).tolist()
+    at, last, most = 0, [0] * len(scan), 8 * len(data)
+
+    def bits(n: int) -> int:
+        nonlocal at
+        if at > most:
+            raise ValueError("coded bytes end too early")
+        out = (window[at >> 3] >> (32 - (at & 7) - n)) & ((1 << n) - 1)
+        at += n
+        return out
+
+    def symbol(codes: tuple) -> int:
+        nonlocal at
+        if at > most:
+            raise ValueError("coded bytes end too early")
+        next16 = (window[at >> 3] >> (16 - (at & 7))) & 0xFFFF
+        if not codes[0][next16]:
+            raise ValueError("bits that are no code word")
+        at += codes[0][next16]
+        return codes[1][next16]
+
+    def number(size: int) -> int:
+        value = bits(size) if size else 0
+        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+    for _ in range(units):
+        for i, (n, dc, ac) in enumerate(tables):
+            for _ in range(n):
+                block = [0] * 64
+                last[i] += number(symbol(dc))
+                block[0], k = last[i], 1
+                while k < 64:
+                    run, size = divmod(symbol(ac), 16)
+                    if not size and run != 15:
+                        break
+                    k += run
+                    if size and k < 64:
+                        block[k] = number(size)
+                    k += 1
+                blocks[i].append(block)
+
+
+def decode_picture(picture: Picture) -> np.ndarray:
+    """The grey samples (rows x width) of any baseline picture: those of its first component, enlarged if it is a sparser one."""
+    across, down = max(p[1] for p in picture.parts), max(p[2] for p in picture.parts)
+    alone = len(picture.parts) == 1
+    if alone:  # a component alone is coded block by block
+        across = down = 1
+    wide, high = -(-picture.width // (8 * across)), -(-picture.rows // (8 * down))
+    tables = []
+    for (_, h, v, _), (_, d, a) in zip(picture.parts, picture.scan, strict=True):
+        tables.append((1 if alone else h * v, *[tuple(t.tolist() for t in _tables(*picture.codes[c])) for c in (d, 0x10 | a)]))
+    blocks: list[list[list[int]]] = [[] for _ in picture.parts]
+    left = wide * high
+    for data in picture.stretches():
+        units = min(left, picture.restart or left)
+        _stretch(data, picture.scan, tables, units, blocks)
+        left -= units
+    if left:
+        raise ValueError("a picture with too few coded blocks")
+    _, h, v, table = picture.parts[0]
+    h, v = (1, 1) if alone else (h, v)
+    levels = np.zeros((len(blocks[0]), 64))
+    levels[:, ZIGZAG] = np.array(blocks[0]) * picture.quantisers[table]
+    samples = COSINES.T @ levels.reshape(-1, 8, 8) @ COSINES + 128
+    grid = samples.reshape(high, wide, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(high * v * 8, wide * h * 8)
+    grid = grid.repeat(down // v, axis=0).repeat(across // h, axis=1)[: picture.rows, : picture.width]
+    return np.clip(np.rint(grid), 0, 255).astype(np.uint8)
+
+
+def jpeg_rows(data: bytes | Picture) -> tuple[tuple, list[bytes]]:
+    """What decoding a frame of this module's kind takes (width, quantiser, code tables) and its coded rows, unstuffed."""
+    picture = data if isinstance(data, Picture) else Picture(data)
+    (_, _, _, table), (_, d, a) = picture.parts[0], picture.scan[0]
+    return (picture.width // 8, int(picture.quantisers[table][0]), picture.codes[d], picture.codes[0x10 | a]), picture.stretches()
 
 
 def decode_rows(how: tuple, rows: list[bytes]) -> np.ndarray:
@@ -217,27 +336,32 @@ def decode_rows(how: tuple, rows: list[bytes]) -> np.ndarray:
         level = level + np.where((category > 0) & (extra < (1 << np.maximum(category - 1, 0))), extra - (1 << category) + 1, extra)
         at = at + category
         window = peek(at)
-        if (ac_values[window] != 0).any():
-            raise ValueError("a block with more than its level")
         at = at + ac_sizes[window]
         out[:, i] = level
     return (out * quantiser // 8 + 128).astype(np.uint8)
 
 
-def read_media(files: list[bytes]) -> list[list[np.ndarray]]:
-    """The frames of each AVI file as arrays of samples; rows with the same tables are decoded together."""
+def read_media(files: list[bytes]) -> list[list[np.ndarray] | ValueError]:
+    """The frames of each AVI file as arrays of samples, or why it can't be read; rows with the same tables are decoded together."""
     groups: dict[tuple, list[bytes]] = {}
-    spots: list[list[tuple[tuple, int, int]]] = []
+    spots: list[list[tuple[tuple, int, int] | np.ndarray] | ValueError] = []
     for data in files:
-        own = []
-        for frame in riff_frames(data):
-            how, rows = jpeg_rows(frame)
-            mine = groups.setdefault(how, [])
-            own.append((how, len(mine), len(mine) + len(rows)))
-            mine += rows
-        spots.append(own)
+        try:
+            own: list[tuple[tuple, int, int] | np.ndarray] = []
+            pictures = [Picture(frame) for frame in riff_frames(data)]
+            for picture in pictures:
+                if not picture.levels_only():
+                    own.append(decode_picture(picture))
+                    continue
+                how, rows = jpeg_rows(picture)
+                mine = groups.setdefault(how, [])
+                own.append((how, len(mine), len(mine) + len(rows)))
+                mine += rows
+            spots.append(own if own else ValueError("a file without frames"))
+        except (ValueError, IndexError, struct.error) as wrong:
+            spots.append(ValueError(str(wrong)))
     decoded = {how: decode_rows(how, rows) for how, rows in groups.items()}
-    return [[decoded[how][a:b] for how, a, b in own] for own in spots]
+    return [own if isinstance(own, ValueError) else [x if isinstance(x, np.ndarray) else decoded[x[0]][x[1] : x[2]] for x in own] for own in spots]
 
 
 def shots(frames: list[np.ndarray], span: int = 8, factor: float = 3.0, least: float = 0.15) -> list[tuple[int, int]]:
@@ -256,7 +380,8 @@ def shots(frames: list[np.ndarray], span: int = 8, factor: float = 3.0, least: f
 def store(docs: DataFrame, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with ``media`` (an AVI file) and ``n_bytes`` (of the text, unpadded) in place of the text.
 
-    Null and empty texts are stored as 64 zeros. Frames are as many as a text needs, so very long
+    Each row is stored by itself, repeated ones too, and an empty table gives no rows; columns of
+    ``docs`` named as these two give way. Null and empty texts are stored as 64 zeros. Frames are as many as a text needs, so very long
     ones are one file of many frames. Batches are encoded in slices of ``batch_bytes``.
     """
     import pyarrow as pa
@@ -266,7 +391,7 @@ def store(docs: DataFrame, text_col: str = "text", batch_bytes: int = 4 << 20) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, text_col, batch_bytes):
+            for batch in slices(whole, text_col, batch_bytes):
                 payloads = [padded(t) for t in batch.column(text_col).to_pylist()]
                 more = [pa.array(write_media([p for p, _ in payloads]), pa.binary()), pa.array([n for _, n in payloads], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *more], names=[*(f.name for f in kept), "media", "n_bytes"])
@@ -274,21 +399,6 @@ def store(docs: DataFrame, text_col: str = "text", batch_bytes: int = 4 << 20) -
     return docs.mapInArrow(each, T.StructType([*kept, T.StructField("media", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
 
 
-def _slices(batch, column: str, most: int) -> Iterator:
-    """Consecutive slices of a batch, each of about ``most`` bytes in ``column`` or of one row."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n)
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 CLIP = T.ArrayType(T.StructType([T.StructField("first_frame", T.IntegerType()), T.StructField("n_frames", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
 
 
@@ -296,28 +406,32 @@ def analyse(stored: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """``stored`` with what reading ``media`` back gives: payload digests, clips and a feature, in place of the file.
 
     Adds payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes,
-    media_sha256, ``clips`` (timed shots) and ``feature`` (frames, shots, mean and largest
-    histogram change, mean level). A null file, which :func:`store` never writes, gives nulls.
+    media_sha256, ``clips`` (timed shots), ``feature`` (frames, shots, mean level and its spread)
+    and ``error``. A file that can't be read has its bytes and digest, an error that says why, and
+    nulls else; a null file has nulls. Each row is read by itself, repeated ones too, an empty table
+    gives no rows, and columns of ``stored`` named as those added give way.
     """
     import pyarrow as pa
 
-    added = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("clips", CLIP), T.StructField("feature", T.StringType())])
+    added = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("clips", CLIP), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())])
     stored = without(stored, *added.names)
     kept = [f for f in stored.schema.fields if f.name != "media"]
     clip = pa.list_(pa.struct([("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip, pa.string()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip, pa.string(), pa.string()]
 
-    def described(data: bytes, frames: list[np.ndarray]) -> tuple:
+    def described(data: bytes, frames: list[np.ndarray] | ValueError) -> tuple:
+        if isinstance(frames, ValueError):
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, str(frames)
         payload = b"".join(f.tobytes() for f in frames)
         found = shots(frames)
         means = [float(f.mean()) for f in frames]
         clips = [{"first_frame": a, "n_frames": b - a, "start_s": a / RATE, "end_s": b / RATE} for a, b in found]
         feature = f"frames={len(frames)};shots={len(found)};level={sum(means) / len(means):.3f};spread={max(means) - min(means):.3f}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), clips, feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), clips, feature, None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, "media", batch_bytes):
+            for batch in slices(whole, "media", batch_bytes):
                 files = batch.column("media").to_pylist()
                 read = iter(read_media([f for f in files if f is not None]))
                 rows = [described(f, next(read)) if f is not None else (None,) * len(types) for f in files]
@@ -325,3 +439,8 @@ def analyse(stored: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *added.names])
 
     return stored.mapInArrow(each, T.StructType([*kept, *added.fields]))
+
+
+def clip_rows(analysed: DataFrame, *keep: str) -> DataFrame:
+    """A row for each timed clip of :func:`analyse`'s rows: ``keep``, first_frame, n_frames, start_s, end_s; files without clips give none."""
+    return analysed.select(*[F.col(f"`{c}`") for c in keep], F.explode("clips").alias("_clip")).select(*[F.col(f"`{c}`") for c in keep], "_clip.*")
