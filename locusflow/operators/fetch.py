@@ -51,12 +51,15 @@ def fetch(regions: DataFrame, store: DataFrame, key: str = "rid", tile: int = TI
     wrong = F.col("error").isNotNull() if checked else F.col("size").isNull()
     asked = regions.withColumns({"_a": start, "_b": end, "_wrong": wrong})
     covering = F.when(~F.col("_wrong") & (F.col("_b") > F.col("_a")), F.sequence(F.expr(f"_a div {tile}"), F.expr(f"(_b - 1) div {tile}")))
-    wanted = asked.filter(covering.isNotNull()).select(key, "chrom", "_a", "_b", F.explode(covering).alias("tile"))
-    pieces = wanted.join(store.select("chrom", F.col("tile").cast("long").alias("tile"), "bases"), ["chrom", "tile"])
+    kept = [c for c in asked.columns if c != key]
+    wanted = asked.withColumn("tile", F.explode_outer(covering))
+    found = wanted.join(store.select("chrom", F.col("tile").cast("long").alias("tile"), "bases"), ["chrom", "tile"], "left")
     first = F.greatest(F.col("_a") - F.col("tile") * tile, F.lit(0))
     piece = F.substring("bases", (first + 1).cast("int"), (F.least(F.col("_b") - F.col("tile") * tile, F.lit(tile)) - first).cast("int"))
-    joined = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))), lambda x: x["p"]), "").alias("_found"))
-    bases = F.when(~F.col("_wrong"), F.coalesce("_found", F.lit("")))
+    # Regions travel with their pieces, so that one exchange brings both together.
+    ordered = F.array_sort(F.collect_list(F.when(F.col("bases").isNotNull(), F.struct("tile", piece.alias("p")))))
+    joined = found.groupBy(key).agg(*[F.first(c).alias(c) for c in kept], F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("_found"))
+    bases = F.when(~F.col("_wrong"), F.col("_found"))
     bases = bases if masked else sequence.unmasked(bases)
     strand = F.when(F.col("strand") == "-", sequence.reverse_complement(bases)).otherwise(bases)
-    return asked.join(joined, key, "left").withColumn("bases", strand).drop("_a", "_b", "_wrong", "_found")
+    return joined.withColumn("bases", strand).select(*regions.columns, "bases")
