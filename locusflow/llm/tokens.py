@@ -31,13 +31,17 @@ class PrefixCounter:
     """Counts of a SentencePiece BPE model with byte fallback, at every prefix."""
 
     def __init__(self, model: str) -> None:
+        import ahocorasick
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         lib = self.library
         ordinary = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
         self.scores = {lib.id_to_piece(i): lib.get_score(i) for i in ordinary}
-        self.longest = max(map(len, self.scores))
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.scores:
+            self.automaton.add_word(piece, piece)
+        self.automaton.make_automaton()
         self.cut = self.segments()
         self.lead = len(lib.encode("\n"))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -83,30 +87,47 @@ class PrefixCounter:
         return out
 
     def counts(self, segment: str) -> list[int]:
-        """Tokens of segment[:1], segment[:2], ... by dynamic programming over the last piece of each prefix."""
-        last, count, scores, longest, together, pairs = [""], [0], self.scores, self.longest, self.stand_together, self.pairs
-        for end in range(1, len(segment) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = segment[start:end]
-                if piece in scores or start == end - 1:
-                    fits = pairs.get((last[start], piece))
-                    if together(last[start], piece) if fits is None else fits:
-                        last.append(piece)
-                        count.append(count[start] + (1 if piece in scores else len(piece.encode("utf-8", "replace"))))
-                        break
-            else:  # no piece fits what came before
-                return []
-        return count[1:]
+        """Tokens of segment[:1], segment[:2], ... by dynamic programming over the last piece of each prefix.
+
+        An automaton gives the pieces that end at each character, longest first.
+        """
+        scores, pairs, together = self.scores, self.pairs, self.stand_together
+        last, count, done = [""], [0], 0
+        for at, piece in self.automaton.iter(segment):
+            if at < done:
+                continue
+            if at > done:
+                if not self._alone(segment[done:at], last, count):
+                    return []
+                done = at
+            before = at + 1 - len(piece)
+            fits = pairs.get((last[before], piece))
+            if together(last[before], piece) if fits is None else fits:
+                last.append(piece)
+                count.append(count[before] + 1)
+                done = at + 1
+        return count[1:] if self._alone(segment[done:], last, count) else []
+
+    def _alone(self, characters: str, last: list[str], count: list[int]) -> bool:
+        """Adds characters that end no fitting piece, as bytes; False if one is a piece itself."""
+        for c in characters:
+            if c in self.scores:
+                return False
+            last.append(c)
+            count.append(count[-1] + len(c.encode("utf-8", "replace")))
+        return True
 
     def by_library(self, segment: str) -> int:
         return len(self.library.encode("\n" + segment.replace(MARK, " "))) - self.lead
 
-    def segment(self, segment: str) -> tuple[int, bytes]:
-        """The segment's count and its difference at each character; the library has the last word."""
-        found = self.counts(segment)
-        if not found or found[-1] != self.by_library(segment):
-            found = [self.by_library(segment[:i]) for i in range(1, len(segment) + 1)]
-        return found[-1], pack(f"<{len(found)}h", *map(sub, found, [0, *found]))
+    def learn(self, segments: list[str]) -> None:
+        """Adds the segments' counts and differences at each character to what is known; the library has the last word."""
+        totals = self.library.encode(["\n" + s.replace(MARK, " ") for s in segments], num_threads=1)
+        for segment, ids in zip(segments, totals, strict=True):
+            found = self.counts(segment)
+            if not found or found[-1] != len(ids) - self.lead:
+                found = [self.by_library(segment[:i]) for i in range(1, len(segment) + 1)]
+            self.known[segment] = found[-1], pack(f"<{len(found)}h", *map(sub, found, [0, *found]))
 
     def deltas(self, text: str) -> tuple[int, bytes]:
         """The text's count and, as 16-bit integers, how the count changes with each character.
@@ -119,8 +140,8 @@ class PrefixCounter:
         if len(self.known) >= KEPT:
             self.known.clear()
         known = self.known
-        for part in set(parts).difference(known):
-            known[part] = self.segment(part)
+        if new := list(set(parts).difference(known)):
+            self.learn(new)
         entries = [known[p] for p in parts]
         joined = b"".join([e[1] for e in entries])
         first = np.frombuffer(joined[:4], "<i2").sum().astype("<i2").tobytes()
