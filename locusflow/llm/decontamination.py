@@ -163,7 +163,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int =
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
-    """The documents without any benchmark window, in their own columns."""
+    """The documents without any benchmark window, in their own columns, whatever their names.
+
+    Null and empty texts stay, and so does everything if the benchmark is empty. Repeated rows are
+    judged alike and keep their number; an empty table gives no rows.
+    """
     windows = checkpointed(benchmark_windows(benchmark, n))
     docs = docs.select(text_col, F.struct("*").alias("_record"))
     if windows.count() <= set_windows:
@@ -179,7 +183,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_win
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows: int = 200_000, text_col: str = "text") -> DataFrame:
     """``docs`` with the words of benchmark windows cut out of the text; beyond ``set_windows`` they are verified by a join.
 
-    The gap after a removed word goes with it; all else stays to the letter.
+    The gap after a removed word goes with it; all else stays to the letter. Null and empty texts
+    stay as they are, repeated rows are cut alike and keep their number, an empty table gives no
+    rows, and other columns stay whatever their names.
     """
     windows = checkpointed(benchmark_windows(benchmark, n))
     columns = docs.columns

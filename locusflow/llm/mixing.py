@@ -137,6 +137,8 @@ def mixed_rows(mixed: DataFrame, columns: Sequence[str], text_col: str = "text")
     """The mix itself: ``columns`` of each row once for each whole pass and once for each part taken, cut to it.
 
     A part of all words is the text as it is; a shorter one keeps the white space before its words.
+    Texts without words come once for each whole pass; rows that repeat are taken each as
+    :func:`mix` says, and an empty table gives no rows. ``columns`` may not be named ``_copy``.
     """
     pieces = F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = lambda start, n: F.when(n == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(pieces, start.cast("int") + 1, n.cast("int")), ""))

@@ -214,7 +214,12 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000, id_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted 0, in their own columns: the labelled ones fit the model, then each text is scored where it is."""
+    """``docs`` without those predicted 0, in their own columns, whatever their names.
+
+    The labelled ones fit the model (at most about ``max_rows``), then each text is scored where it
+    is. Null and empty texts are scored like others, repeated rows alike, and rows without an id
+    too; without any label all scores are 0.5, with one kind of label its rate. An empty table gives no rows.
+    """
     import pyarrow as pa
 
     teaching = docs.select(id_col, F.col(text_col).alias("text")).join(labels.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi")
