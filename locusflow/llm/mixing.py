@@ -90,17 +90,17 @@ def mix(
     are more. Rows without words take no part in a shard's order.
 
     A null source is a source, last in order; null texts have size 0 and nothing taken. Repeated
-    rows count each. The seeded order is that of a hash of id, source, text (if there is one) and
-    size, so only rows alike in all of these share a shard for certain, and they are
-    interchangeable. No rows give no rows; sources without words have target 0. Columns of ``docs``
+    rows count each. The seeded order is that of a hash of the id, then size and text (if there is
+    one), and all three choose the shard, so only rows alike in all of these share one for certain,
+    and they are interchangeable. No rows give no rows; sources without words have target 0. Columns of ``docs``
     named as the result's own give way; any other name is free.
     """
     size = word_count("text") if size is None else size
     record = F.struct(*[F.col(f"`{c}`") for c in without(docs, *ADDED).columns])
     content = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     wide = docs.select(record.alias("_record"), F.col(id_col).alias("_id"), source_key(source_col).alias("skey"), size.cast("long").alias("size"), content.alias("_content"))
-    wide = wide.withColumn("_digest", seeded(seed, F.col("_id"), F.col("_content"), F.col("size"))).drop("_id", "_content")
-    narrow = checkpointed(wide.select("skey", "size", "_digest"))
+    wide = wide.withColumn("_digest", seeded(seed, F.col("_id"))).drop("_id")
+    narrow = checkpointed(wide.select("skey", "size", "_digest", "_content"))
     totals = checkpointed(narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("_rows")))
     sources = checkpointed(targets(totals.select("skey", "source_size"), weights, share, cap).join(totals.select("skey", "_rows"), "skey"))
     least, total, n_sources = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target"), F.count("*")).first()
@@ -110,7 +110,7 @@ def mix(
     sources = apportion(sources.withColumns({"_seats": F.lit(seats), "_parts": parts}), [], "skey", "target", "_seats").withColumnRenamed("quota", "_seats2").drop("_seats", "_rows")
     sources = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
 
-    into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(number_of(F.col("_digest")), F.col("_parts")))
+    into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(F.xxhash64("_digest", "_content", "size"), F.col("_parts")))
     cells = into(narrow).groupBy("skey", "shard").agg(F.sum("size").alias("cell"), F.max("_seats2").alias("_seats2"))
     cells = apportion(cells, ["skey"], "shard", "cell", "_seats2")
     n = F.ceil(F.col("cell") / block)
@@ -122,7 +122,7 @@ def mix(
     )
 
     spread = F.when(F.col("size") > 0, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4_096)))  # their sums are 0 in any order
-    order = W.partitionBy("skey", "shard", "_spread").orderBy("_digest").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("skey", "shard", "_spread").orderBy("_digest", "size", "_content").rowsBetween(W.unboundedPreceding, -1)
     placed = into(wide).withColumn("_spread", spread).withColumn("_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
     both = placed.join(checkpointed(cells), ["skey", "shard"])
     start, end = F.col("_from"), F.col("_from") + F.col("size")
