@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..operators.fetch import pieces
-
 #: The numbers of so many records (some 10 MB) are sent to every task; more are joined by shuffle.
 BROADCAST_RECORDS = 100_000
 SIZES = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("length", T.LongType())])
@@ -58,12 +56,6 @@ def extend_headers(lines: DataFrame, component: str, separator: str) -> DataFram
     return lines.withColumn("value", F.when(F.startswith("value", F.lit(">")), F.when(head != "", extended).otherwise(F.raise_error(F.lit("a header without a name")))).otherwise(F.col("value")))
 
 
-def fasta_lines(found: DataFrame, component_ord: int) -> DataFrame:
-    """(component_ord, place, line, value): a record's header and bases, wrapped at its own width."""
-    rows = F.concat(F.array(F.concat(F.lit(">"), "header")), pieces(F.col("seq"), F.greatest("width", F.lit(1))))
-    return found.select(F.lit(component_ord).alias("component_ord"), "place", F.posexplode(rows).alias("line", "value"))
-
-
 def concatenated(parts: list[tuple[str, DataFrame]], separator: str) -> DataFrame:
     """(part, at, value): the lines (at, value) of components, sorted by name, to the byte but for the suffixes of their headers."""
     every = None

@@ -16,7 +16,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(found: DataFrame) -> DataFrame:
-    """Typed features of data lines; attribute values are sorted and distinct, as the reference's database keeps them."""
+    """Typed features of data lines; attribute values are sorted and distinct, as the reference's database keeps them. Coordinates that are no numbers are null, with an ``error``."""
     parts = F.split("value", "\t")
     cell = lambda i: F.try_element_at(parts, F.lit(i))
     keys, values = (F.regexp_extract_all(cell(9), F.lit(ATTRIBUTE), F.lit(g)) for g in (1, 2))
@@ -25,6 +25,7 @@ def features(found: DataFrame) -> DataFrame:
     return data_lines(found).select(
         cell(1).alias("seqname"), cell(2).alias("source"), cell(3).alias("feature"), (cell(4).try_cast("bigint") - 1).alias("start"), cell(5).try_cast("bigint").alias("end"), cell(6).alias("score"), cell(7).alias("strand"), cell(8).alias("frame"),
         F.coalesce(attributes, F.expr("map()").cast("map<string,array<string>>")).alias("attributes"), "line_ord",
+        F.when(cell(4).try_cast("bigint").isNull() | cell(5).try_cast("bigint").isNull(), "a coordinate is no number").alias("error"),
     )
 
 

@@ -184,6 +184,23 @@ def test_stream(spark, root):
     assert len(good) == 2 and [r.seqname for r in bad] == ["B"]
 
 
+def test_coordinates_that_are_no_numbers(spark, root):
+    (root / "odd.gtf").write_text(THREE.replace("exon\t12", "exon\tx12"))
+    rows = [(r.feature, r.start, r.error) for r in gtf.read(spark, f"{root}/odd.gtf").collect()]
+    assert rows == [("exon", 0, None), ("exon", None, "a coordinate is no number"), ("CDS", 1, None)]
+
+
+def test_loci_of_a_stream(spark, root):
+    (root / "loci").mkdir()
+    (root / "loci/a.csv").write_text("1,chrA:0-4\n2,chrA:0-99\n3,x:y\n4,chrB\n")
+    sizes = Genome(spark, "two", str(root)).sizes.select("chrom", "size")
+    loci = spark.readStream.schema("rid long, locus string").csv(f"{root}/loci")
+    found = []
+    query = ingest.resolve_loci(loci, sizes).writeStream.option("checkpointLocation", f"{root}/cp2").trigger(availableNow=True).foreachBatch(lambda d, _: found.extend(d.collect())).start()
+    query.awaitTermination(60)
+    assert sorted((r.rid, r.start, r.end, r.error) for r in found) == [(1, 0, 4, None), (2, 0, 99, "end exceeds chromosome length"), (3, 0, None, "malformed region"), (4, 0, 8, None)]
+
+
 def test_no_record_is_none(spark, tmp_path):
     assert read_record(spark, Place(str(tmp_path), "x").path) is None
 
