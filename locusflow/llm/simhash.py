@@ -206,12 +206,12 @@ def wide_fingerprint(text: str | None) -> tuple[int, np.ndarray]:
     hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
     ones = np.zeros(64 * LONGS, np.int64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 4096):
-            z = hashes[at : at + 4096, None] + _STEPS[None, :]
+        for at in range(0, len(hashes), 255):  # as many as a byte can count
+            z = hashes[at : at + 255, None] + _STEPS[None, :]
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
             z ^= z >> np.uint64(31)
-            ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            ones += np.add.reduce(np.unpackbits(z.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), np.packbits(2 * ones > len(hashes)).view(np.int64)
 
 
@@ -235,6 +235,7 @@ def segment_keys(nodes: DataFrame) -> DataFrame:
     per, mask = 64 // WIDTH, (1 << WIDTH) - 1
     cuts = ", ".join(f"cast(shiftrightunsigned(b{s // per}, {WIDTH * (s % per)}) & {mask}L as int)" for s in range(SEGMENTS))
     masks = ", ".join(str(mask ^ (1 << b)) for b in range(WIDTH))
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # 320 rows come of each
     variants = f"transform(array({cuts}), (c, s) -> transform(array({masks}), (m, b) -> (c & m) | shiftleft(s * {WIDTH} + b, {WIDTH})))"
     return nodes.select(F.explode(F.flatten(F.expr(variants))).alias("key"), "node", F.col(f"b{LONGS - 1}").alias("near"))
 
