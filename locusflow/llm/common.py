@@ -54,6 +54,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.place}/{name}")
         return self.spark.read.parquet(f"{self.place}/{name}")
 
+    def close(self) -> None:
+        """Drops all that is left."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         for name in names:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{name}")

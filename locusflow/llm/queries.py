@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontamination, media, mixing, quality, secrets, sharding, simhash, tokens, warc
+from . import chaining, collocations, decontamination, media, mixing, quality, secrets, sharding, simhash, tokens, warc
 from .common import checkpoint_dir, checkpointed, documents, text_or_empty, word_count
 from .sql import ORACLES
 
@@ -82,6 +82,11 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "keep_chars")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of 2 to 3 words over the whole texts of all documents."""
+    return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op4_passages, op5_warc, op6_sharding, op7_simhash, op8_decontamination, op9_quality, op10_tokens)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op4_passages, op5_warc, op6_sharding, op7_simhash, op8_decontamination, op9_quality, op10_tokens, op11_collocations)
 }

@@ -57,6 +57,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND p
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+o AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+t AS (SELECT c.*, x.a AS l, y.a AS r, CAST((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+u AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(a) AS within FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM b WHERE k > 2)) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b LEFT JOIN u USING (lang, phrase) WHERE within IS NULL OR 100 * within < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN s USING (lang) WHERE rank <= 2000
+"""
+
+
 def op2() -> str:
     """Spans of every rule as the query has them: text before a match and the matches before it add up to where it starts."""
     steps, lists = [], []
@@ -76,4 +92,4 @@ SELECT doc_id, {counts}, sha256({spelled(f"[y FOR y IN a IF y.n IN ({base})]")})
 """
 
 
-ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op5_warc": OP5, "op8_decontamination": OP8}
+ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op5_warc": OP5, "op8_decontamination": OP8, "op11_collocations": OP11}
