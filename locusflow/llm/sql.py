@@ -73,6 +73,23 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN s USING (lang) WHERE ra
 """
 
 
+OP13 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+c AS (SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM o WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(x, i, 2) AS BIGINT) FOR i IN range(1, length(x), 2)]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT word, n, near, near_n FROM (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION ALL SELECT e.word, e.n, w.word, w.n FROM e JOIN w ON e.cut = w.word UNION ALL SELECT w.word, w.n, e.word, e.n FROM e JOIN w ON e.cut = w.word)),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, encode(near))) AS near FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN near END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
+
+
 def op2() -> str:
     """Spans of every rule as the query has them: text before a match and the matches before it add up to where it starts."""
     steps, lists = [], []
@@ -92,4 +109,4 @@ SELECT doc_id, {counts}, sha256({spelled(f"[y FOR y IN a IF y.n IN ({base})]")})
 """
 
 
-ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op5_warc": OP5, "op8_decontamination": OP8, "op11_collocations": OP11}
+ORACLES = {"op1_mixing": OP1, "op2_secrets": op2(), "op5_warc": OP5, "op8_decontamination": OP8, "op11_collocations": OP11, "op13_spelling": OP13}
