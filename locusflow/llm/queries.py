@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, collocations, decontamination, media, mixing, quality, secrets, sharding, simhash, spelling, tokens, warc
+from . import chaining, collocations, decontamination, media, mixing, quality, secrets, sharding, simhash, spelling, tokens, toxicity, warc
 from .common import checkpoint_dir, checkpointed, documents, text_or_empty, word_count
 from .sql import ORACLES
 
@@ -87,11 +87,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score over its whole text, learnt from labels outside the held-out fold."""
+    found = toxicity.classify(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, table="labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents' whole texts with its near words, form and root."""
     return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op4_passages, op5_warc, op6_sharding, op7_simhash, op8_decontamination, op9_quality, op10_tokens, op11_collocations, op13_spelling)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_media, op4_passages, op5_warc, op6_sharding, op7_simhash, op8_decontamination, op9_quality, op10_tokens, op11_collocations, op12_toxicity, op13_spelling)
 }
