@@ -116,8 +116,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, subsumed: i
     ``docs``, whatever their names, take no part.
     """
     scratch = Scratch(docs.sparkSession, "collocations")
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), tokens(text_or_empty(F.col(text_col))).alias("words"))
-    named, sums = levels(texts, scratch, longest, least)
+    spelled = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.array_join(tokens(text_or_empty(F.col(text_col))), " ").alias("spelled"))
+    spelled = scratch.table(spelled, "spelled")  # each level reads the texts anew; their words are found once
+    named, sums = levels(spelled.select("lang", F.split("spelled", " ").alias("words")), scratch, longest, least)
 
     score = F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     cuts = _cuts(named, longest).join(named.select("id", "a"), "id").withColumn("score", score)
