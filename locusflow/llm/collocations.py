@@ -102,6 +102,11 @@ def _cuts(named: DataFrame, longest: int) -> DataFrame:
     return heads.join(ends("q", "r").select("id", (F.col("k") - F.col("m")).alias("cut"), "r"), ["id", "cut"])
 
 
+def score() -> Column:
+    """floor(1000000 a a / (l r)) of the columns a, l and r, in decimals of 38 digits."""
+    return F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, subsumed: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` (15 at most) words of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -120,8 +125,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, subsumed: i
     spelled = scratch.table(spelled, "spelled")  # each level reads the texts anew; their words are found once
     named, sums = levels(spelled.select("lang", F.split("spelled", " ").alias("words")), scratch, longest, least)
 
-    score = F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(16,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    cuts = _cuts(named, longest).join(named.select("id", "a"), "id").withColumn("score", score)
+    cuts = _cuts(named, longest).join(named.select("id", "a"), "id").withColumn("score", score())
     best = cuts.groupBy("id").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
     # Of the longer phrases around one, those of one word more are the most frequent.
     around = named.filter("k >= 3").select(F.explode(F.array("p", "q")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("within"))
