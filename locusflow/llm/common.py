@@ -108,6 +108,19 @@ def running_offsets(df: DataFrame, key: str, n: str, group: int = 1024) -> DataF
     )
 
 
+def numbered(df: DataFrame, keys: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``, the number (long, from 0 without gaps) of each row among those of equal ``keys``, in no particular order.
+
+    Rows are numbered within the tasks that write them, and tasks' numbers follow each other, so
+    that no key, however frequent, meets in one task. The rows are written, for their numbers to stay.
+    """
+    held = scratch.table(df.withColumn("_at", F.monotonically_increasing_id()), f"numbered-{name}").withColumn("_part", F.shiftright("_at", 33))
+    counts = held.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = held.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_at")) - 1)
+    return own.join(before, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part", "_at")
+
+
 def slices(batch, column: str, most: int) -> Iterator:
     """Consecutive slices of a batch, each of about ``most`` bytes in ``column`` or of one row."""
     import pyarrow.compute as pc

@@ -4,8 +4,8 @@ Pass one hashes every record with a seed into buckets that fit in memory and cou
 fixes where each bucket starts in the shuffled order. Pass two brings each bucket's records
 together, permutes them by Spark's ``shuffle`` (an inside-out Fisher-Yates) and numbers them.
 Numbers are cut into runs of equal length, one for each shard, so counts are at most one apart.
-Records that repeat in full would all hash alike: where they overfill a bucket, one of them travels
-with their number, which is dealt to buckets in chunks.
+Records that repeat in full would all hash alike: where they overfill a bucket, they are numbered
+and dealt to buckets in chunks of their numbers. Every record travels itself, whatever it is alike to.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, running_offsets, text_or_empty, without
+from .common import Scratch, checkpointed, numbered, running_offsets, text_or_empty, without
 
 #: There are at most so many buckets, larger ones beyond: their (bucket, offset, n), 24 bytes each, are sent to every task that permutes indices.
 MOST_BUCKETS = 1_000_000
@@ -32,17 +32,21 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, bucket_bytes: int
     The law is ``rows``: shards' counts are at most one apart, in a seeded random order. Reruns on
     the same records agree, whatever the files or partitions they come in.
 
-    Nulls in any column are records like others. Rows repeated in full are kept as often as they
-    come; as they can't be told apart, any of them has any of their places. Map columns take no
-    part in the order, so rows that differ in these alone may change places between runs. Empty
+    Nulls in any column, and within lists, structs and maps, are values like others, and so is -0.0.
+    Rows repeated in full are kept as often as they come; as they can't be told apart, any of them
+    has any of their places. Maps of the same entries in another order count as different. Empty
     input gives no rows; with fewer rows than shards, some shards stay empty. Columns of ``docs``
     named ``shard`` or ``slot`` give way to the result's; any other name is free.
     """
     spark = docs.sparkSession
     docs = without(docs, "shard", "slot")
     columns = [F.col(f"`{f.name}`") for f in docs.schema.fields]
-    hashed = [c for c, f in zip(columns, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
-    digest = lambda n: F.xxhash64(F.lit(n), *[c.isNull() for c in hashed], *hashed)
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+    hashed = [c for c, kind in zip(columns, kinds, strict=True) if "map<" not in kind]
+    # A hash takes nulls within values as absent, zeros as one and no maps at all: such columns are spelled out as well.
+    deep = [c for c, kind in zip(columns, kinds, strict=True) if "<" in kind or kind in ("float", "double")]
+    spelled = [F.to_json(F.struct(*deep), {"ignoreNullFields": "false"}), F.struct(*deep).cast("string")] if deep else []
+    digest = lambda n: F.xxhash64(F.lit(n), *[c.isNull() for c in hashed], *hashed, *spelled)
     size = record_size(F.col(text_col))
     keyed = docs.select(F.struct(digest(seed).alias("a"), digest(~seed).alias("b")).alias("key"), size.alias("size"), F.struct(*columns).alias("record"))
     bytes_, rows = docs.agg(F.sum(size), F.count("*")).first()
@@ -55,12 +59,10 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, bucket_bytes: int
     often = keyed.join(F.broadcast(full), "bucket").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
     often = checkpointed(often.filter((F.col("held") > most) & (F.col("n") > 1)).withColumn("run", F.greatest(F.lit(1), F.floor(F.lit(most) * F.col("n") / F.col("held"))).cast("long")))
     if often.limit(1).count():
-        mine = keyed.join(F.broadcast(often.select("key", F.lit(True).alias("hot"))), "key", "left")  # at most one for each bucket's bytes
-        one = mine.filter("hot").groupBy("key").agg(F.first("record").alias("record"), F.first("size").alias("size")).join(often.select("key", "n", "run"), "key")
-        chunks = one.withColumn("chunk", F.explode(F.expr("sequence(0L, (n - 1) div run)")))
-        chunks = chunks.withColumns({"bucket": into(F.col("key"), F.col("chunk")), "copies": F.least("run", F.col("n") - F.col("chunk") * F.col("run"))})
-        again = chunks.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("key", "size", "record", "bucket")
-        keyed = mine.filter("hot IS NULL").select("key", "size", "record", "bucket").unionByName(again)
+        mine = keyed.join(F.broadcast(often.select("key", "run")), "key", "left")  # at most one for each bucket's bytes
+        copies = numbered(mine.filter("run IS NOT NULL"), ["key"], "copy", Scratch(spark, "sharding"))
+        again = copies.withColumn("bucket", into(F.col("key"), F.expr("copy div run")))
+        keyed = mine.filter("run IS NULL").select("key", "size", "record", "bucket").unionByName(again.select("key", "size", "record", "bucket"))
 
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = checkpointed(running_offsets(counts, "bucket", "n"))
