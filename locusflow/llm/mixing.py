@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, without, word_count
+from .common import Scratch, checkpointed, numbered, without, word_count
 
 ADDED = ("size", "source_size", "target", "taken", "passes", "head_words", "part_from", "part_words", "shard", "skey")
 
@@ -76,9 +76,26 @@ def number_of(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+#: Up to so many sets of rows alike (some 20 MB) are sent to every task; more are joined by shuffle.
+BROADCAST_ALIKE = 100_000
+
+
+def _runs(rows: DataFrame, repeats: int) -> DataFrame:
+    """``rows`` (skey, _digest, size, ...) with ``_run``: the number of each among those alike, div ``repeats``."""
+    alike = ["skey", "_digest", "size"]
+    often = checkpointed(rows.filter("size > 0").groupBy(*alike).agg(F.count("*").alias("_n")).filter(F.col("_n") > repeats).select(*alike))
+    n = often.limit(BROADCAST_ALIKE + 1).count()
+    if not n:
+        return rows.withColumn("_run", F.lit(0).cast("long"))
+    often = F.broadcast(often) if n <= BROADCAST_ALIKE else often
+    counted = numbered(rows.join(often, alike, "left_semi"), alike, "_run", Scratch(rows.sparkSession, "mixing"))
+    others = rows.join(often, alike, "left_anti").withColumn("_run", F.lit(0).cast("long"))
+    return others.unionByName(counted.withColumn("_run", F.expr(f"_run div {repeats}")))
+
+
 def mix(
     docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11,
-    block_words: int = 256, shard_words: int = 2_000_000, shard_rows: int = 4_096, id_col: str = "doc_id", source_col: str = "source",
+    block_words: int = 256, shard_words: int = 2_000_000, shard_rows: int = 4_096, repeats: int = 1_024, id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
     """Every row of ``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and what is taken.
 
@@ -90,17 +107,18 @@ def mix(
     are more. Rows without words take no part in a shard's order.
 
     A null source is a source, last in order; null texts have size 0 and nothing taken. Repeated
-    rows count each. The seeded order is that of a hash of the id, then size and text (if there is
-    one), and all three choose the shard, so only rows alike in all of these share one for certain,
-    and they are interchangeable. No rows give no rows; sources without words have target 0. Columns of ``docs``
-    named as the result's own give way; any other name is free.
+    rows count each. The seeded order is that of a digest of the id and the text (if there is one),
+    then size; both choose the shard, and so does the number of a row among those alike, in runs of
+    ``repeats``: alike rows are interchangeable, and no shard gets all of them. No rows give no rows;
+    sources without words have target 0. Columns of ``docs`` named as the result's own give way; any
+    other name is free.
     """
     size = word_count("text") if size is None else size
     record = F.struct(*[F.col(f"`{c}`") for c in without(docs, *ADDED).columns])
-    content = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    wide = docs.select(record.alias("_record"), F.col(id_col).alias("_id"), source_key(source_col).alias("skey"), size.cast("long").alias("size"), content.alias("_content"))
-    wide = wide.withColumn("_digest", seeded(seed, F.col("_id"))).drop("_id")
-    narrow = checkpointed(wide.select("skey", "size", "_digest", "_content"))
+    content = [F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.col("text").isNull()] if "text" in docs.columns else []
+    wide = docs.select(record.alias("_record"), source_key(source_col).alias("skey"), size.cast("long").alias("size"), seeded(seed, F.col(id_col), *content).alias("_digest"))
+    wide = _runs(wide, repeats)
+    narrow = checkpointed(wide.select("skey", "size", "_digest", "_run"))
     totals = checkpointed(narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("_rows")))
     sources = checkpointed(targets(totals.select("skey", "source_size"), weights, share, cap).join(totals.select("skey", "_rows"), "skey"))
     least, total, n_sources = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target"), F.count("*")).first()
@@ -110,7 +128,7 @@ def mix(
     sources = apportion(sources.withColumns({"_seats": F.lit(seats), "_parts": parts}), [], "skey", "target", "_seats").withColumnRenamed("quota", "_seats2").drop("_seats", "_rows")
     sources = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
 
-    into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(F.xxhash64("_digest", "_content", "size"), F.col("_parts")))
+    into = lambda df: df.join(sources, "skey").withColumn("shard", F.pmod(number_of(F.md5(F.concat_ws("|", "_digest", "size", "_run"))), F.col("_parts")))
     cells = into(narrow).groupBy("skey", "shard").agg(F.sum("size").alias("cell"), F.max("_seats2").alias("_seats2"))
     cells = apportion(cells, ["skey"], "shard", "cell", "_seats2")
     n = F.ceil(F.col("cell") / block)
@@ -122,7 +140,7 @@ def mix(
     )
 
     spread = F.when(F.col("size") > 0, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4_096)))  # their sums are 0 in any order
-    order = W.partitionBy("skey", "shard", "_spread").orderBy("_digest", "size", "_content").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("skey", "shard", "_spread").orderBy("_digest", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = into(wide).withColumn("_spread", spread).withColumn("_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
     both = placed.join(checkpointed(cells), ["skey", "shard"])
     start, end = F.col("_from"), F.col("_from") + F.col("size")

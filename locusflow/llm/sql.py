@@ -7,29 +7,30 @@ WITH d AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5('11|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS dg
   FROM documents),
-s0 AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
+s0 AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS full_rows FROM d GROUP BY skey),
 s1 AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS INT)]::DOUBLE AS w, source_size * 2.0::DOUBLE AS lim FROM s0),
 s2 AS (SELECT *, lim / w AS ratio FROM s1),
 s3 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(lim) OVER b, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
   FROM s2 WINDOW b AS (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s4 AS (SELECT skey, source_size, coalesce(least(lim, (SELECT arg_min(level, (ratio, skey)) FROM s3 WHERE level <= ratio) * w), lim) AS target FROM s3),
+s4 AS (SELECT skey, source_size, full_rows, coalesce(least(lim, (SELECT arg_min(level, (ratio, skey)) FROM s3 WHERE level <= ratio) * w), lim) AS target FROM s3),
 k AS (SELECT greatest(1, least(256, CAST(floor(coalesce(min(target) FILTER (WHERE target > 0), 0) / 1000) AS BIGINT))) AS block, sum(target) AS total, count(*) AS n FROM s4),
 k2 AS (SELECT block, total, CAST(floor(total / block + 0.5) AS BIGINT) AS seats FROM k),
 q1 AS (SELECT skey, unnest(range(CAST(ceil(target / block) AS BIGINT) + 2)) AS seat, target FROM s4, k2 WHERE target > 0),
 q2 AS (SELECT skey, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, skey, seat) AS r FROM q1),
-s5 AS (SELECT s4.*, greatest(1, CAST(ceil(source_size / 4000000) AS BIGINT)) AS parts, (SELECT count(*) FROM q2, k2 WHERE q2.skey = s4.skey AND q2.r <= k2.seats) AS seats FROM s4),
-e AS (SELECT d.*, source_size, target, seats, CAST('0x' || substr(dg, 1, 8) AS BIGINT) % parts AS shard FROM d JOIN s5 USING (skey)),
+s5 AS (SELECT s4.*, greatest(1, CAST(ceil(source_size / 2000000) AS BIGINT), CAST(ceil(full_rows / 4096) AS BIGINT)) AS parts, (SELECT count(*) FROM q2, k2 WHERE q2.skey = s4.skey AND q2.r <= k2.seats) AS seats FROM s4),
+d2 AS (SELECT *, CASE WHEN size > 0 THEN (row_number() OVER (PARTITION BY skey, dg, size) - 1) // 1024 ELSE 0 END AS run FROM d),
+e AS (SELECT d2.*, source_size, target, seats, CAST('0x' || substr(md5(dg || '|' || size || '|' || run), 1, 8) AS BIGINT) % parts AS shard FROM d2 JOIN s5 USING (skey)),
 c0 AS (SELECT skey, shard, CAST(sum(size) AS BIGINT) AS cell, max(seats) AS seats FROM e GROUP BY skey, shard),
 c1 AS (SELECT skey, shard, cell, c0.seats, unnest(range(CAST(ceil(2 * cell / block) AS BIGINT) + 3)) AS seat FROM c0, k2 WHERE cell > 0),
 c2 AS (SELECT skey, shard, seats, row_number() OVER (PARTITION BY skey ORDER BY cell / (2 * seat + 1) DESC, shard, seat) AS r FROM c1),
 c3 AS (SELECT skey, shard, count(*) AS won FROM c2 WHERE r <= seats GROUP BY skey, shard),
 c4 AS (SELECT c0.skey, c0.shard, cell, CAST(ceil(cell / block) AS BIGINT) AS n, block, coalesce(won, 0) AS won FROM c0 LEFT JOIN c3 ON c0.skey = c3.skey AND c0.shard = c3.shard, k2),
 c5 AS (SELECT *, least(won, 2 * n) AS quota FROM c4),
-c6 AS (SELECT skey, shard, cell, block, n, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS run,
+c6 AS (SELECT skey, shard, cell, block, n, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS blocks,
   CASE WHEN n > 0 THEN CAST('0x' || substr(md5('11|' || skey || '|' || shard), 1, 8) AS BIGINT) % n ELSE 0 END AS a FROM c5),
 f AS (SELECT e.*, coalesce(sum(size) OVER (PARTITION BY skey, shard ORDER BY dg, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM e)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(p + size, least(cell, (a + run) * block)) - greatest(p, a * block))
-  + greatest(0, least(p + size, greatest(0, (a + run - n) * block)) - p) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(p + size, least(cell, (a + blocks) * block)) - greatest(p, a * block))
+  + greatest(0, least(p + size, greatest(0, (a + blocks - n) * block)) - p) AS BIGINT) AS taken
 FROM f JOIN c6 USING (skey, shard)
 """
 
