@@ -1,30 +1,30 @@
 """The scalar facade: an assembly by name in a data folder, whose answers come from the bulk operators.
 
-Layout below ``<data>/genome/<assembly>``: ``store`` (tiles), ``sizes`` (ordered), ``fasta`` (its
-lines to the byte; text of a chimera), ``record``, ``gtf/<annotation>`` with ``lines`` (or the
-``merged`` file of a chimera), ``features`` and its own record, and ``index/<aligner>`` likewise. A
-build is finished when its record says so; the record is written last.
+Below ``<data>/genome/<assembly>`` are an assembly's registration, ``gtf/<annotation>`` with one for
+each annotation, and ``index/<aligner>`` likewise. The parts of an assembly are ``store`` (tiles),
+``sizes`` (ordered) and ``fasta`` (its lines to the byte; text of a chimera), those of an annotation
+``lines`` (or the ``merged`` file of a chimera) and ``features``; see :mod:`locusflow.publication`.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import __version__, errors
+from . import errors, publication
 from .functions import cells, names, region, sequence
 from .operators import annotation as annotation_ops
 from .operators import fetch, genes, naming, resolve, shape
+from .operators import records as record_ops
+from .publication import Build, check_registration, read_record, write_record
 from .regions import Region, parse
 from .sources import catalog, fasta, gtf
 
-SEQUENCES, SIZES, FASTA, RECORD, FEATURES, LINES, MERGED = "store", "sizes", "fasta", "record", "features", "lines", "merged"
-OWN_RECORDS = ("gtf", "index")  # folders whose children have records of their own
+SEQUENCES, SIZES, FASTA, FEATURES, LINES, MERGED = "store", "sizes", "fasta", "features", "lines", "merged"
+__all__ = ["Genome", "Place", "check_registration", "data_dir", "read_record", "register", "register_assembly", "resolve_source", "reverse_complement", "table_row", "verify_assembly", "write_record"]
 
 
 def data_dir(spark: SparkSession) -> str:
@@ -47,75 +47,43 @@ class Place:
         return f"{self.path}/gtf/{name}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    if not _exists(spark, path):
-        return []
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return sorted(s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place))
-
-
-def write_record(spark: SparkSession, path: str, kind: str, name: str, source_url: str | None = None, sha256: str | None = None, details: dict | None = None) -> dict:
-    """Writes a record of the files now below ``path``; the last step of a build."""
-    claimed = {r.path.partition(f"{path}/")[2]: r.length for r in catalog.files_below(spark, path).collect()}
-    claimed = {f: n for f, n in claimed.items() if f.partition("/")[0] not in (*OWN_RECORDS, RECORD)}
-    record = {
-        "kind": kind, "name": name, "files": claimed, "source_url": source_url, "sha256": sha256, "tool_versions": {"spark": spark.version}, "package_version": __version__,
-        "completed_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "details": json.dumps(details or {}),
-    }
-    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{RECORD}")
-    return record
-
-
-def read_record(spark: SparkSession, path: str) -> dict | None:
-    """A folder's record; one that is absent or can't be read is none."""
-    if not _exists(spark, f"{path}/{RECORD}/_SUCCESS"):
-        return None
-    found = catalog.records(spark, f"{path}/{RECORD}").first()
-    return None if found is None else found.asDict(recursive=True) | {"details": json.loads(found.details or "{}")}
-
-
-def check_registration(spark: SparkSession, path: str, repair: str) -> dict | None:
-    """The record of a finished build, None where nothing is; raises on leftovers and on files that disagree."""
-    record = read_record(spark, path)
-    if record is None:
-        left = [c for c in _children(spark, path) if c not in OWN_RECORDS]
-        if left:
-            raise errors.UnfinishedRegistrationError(f"{path} holds {', '.join(left[:5])} but no record; register it again with `{repair}`")
-        return None
-    there = {r.path.partition(f"{path}/")[2]: r.length for r in catalog.files_below(spark, path).collect()}
-    wrong = sorted(f for f, n in record["files"].items() if there.get(f) != n)
-    if wrong:
-        raise errors.RegistrationMismatchError(f"{path} disagrees with its record in {', '.join(wrong[:5])}; register it again with `{repair}`")
-    return record
+def write_store(cut: DataFrame, path: str) -> None:
+    """Tiles (chrom, tile, bases, ...) in two bits a base, sorted, in row groups so small that a lookup reads little."""
+    ordered = fetch.packed_tiles(cut).repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile")
+    ordered.write.option("parquet.block.size", fetch.ROW_GROUP).parquet(path)
 
 
 def register_assembly(spark: SparkSession, assembly: str, source: str, root: str | None = None, sha256: str | None = None, force: bool = False) -> dict:
-    """Ingests a FASTA (plain or gzipped) as tiles and sizes, proves its digest if one is given, and records it."""
+    """Ingests a FASTA (plain or gzipped) as tiles, sizes and lines, proves its digest if one is given, and records it.
+
+    What is registered stays until all is built. With ``force`` and the digest that the record
+    has, what is there to the byte is kept, only the rest is built, and the source is read only if that
+    takes it.
+    """
     place = Place(root or data_dir(spark), assembly)
     if not force and (done := check_registration(spark, place.path, f"register {assembly} --force")):
         return done
-    digest = catalog.content_sha256(spark, source)
-    if sha256 and digest != sha256:
-        raise errors.ChecksumMismatchError(f"{source}: expected {sha256}, got {digest}")
-    for part in (RECORD, SEQUENCES, SIZES, FASTA):
-        _remove(spark, f"{place.path}/{part}")
-    # Each sequence is read and cut once; what describes it goes with its tiles, from which the sizes are read.
-    cut = fetch.tiles(fasta.records(spark, source), keep=("place", "header", "width"))
-    cut.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
-    first = spark.read.parquet(f"{place.path}/{SEQUENCES}").filter("tile = 0")
-    first.select(F.col("place").alias("ord"), "chrom", "size", F.length("header").alias("header_bytes"), "width", "header").write.parquet(f"{place.path}/{SIZES}")
-    fasta.lines(spark, source).write.parquet(f"{place.path}/{FASTA}")
-    return write_record(spark, place.path, "genome", place.assembly, source, digest)
+    old = read_record(spark, place.path)
+    proven = bool(force and sha256 and old and old["sha256"] == sha256)
+    build = Build(spark, place.path, publication.intact(spark, place.path, old) if proven else None)
+    digest = sha256
+    if not (SEQUENCES in build and FASTA in build):
+        digest = catalog.content_sha256(spark, source)
+        if sha256 and digest != sha256:
+            raise errors.ChecksumMismatchError(f"{source}: expected {sha256}, got {digest}")
+    if SEQUENCES not in build:
+        build.kept.pop(SIZES, None)
+        pieces = f"{build.part('pieces')}"
+        # Pieces of lines are written once and then dealt to their tiles; what describes a sequence goes with its tiles.
+        write_store(fasta.tiles(fasta.fragments(spark, source, pieces), fetch.TILE), build.part(SEQUENCES))
+        del build.made["pieces"]
+        publication.remove(spark, pieces)
+    if SIZES not in build:
+        first = spark.read.parquet(build.part(SEQUENCES)).filter("tile = 0")
+        first.select(F.col("place").alias("ord"), "chrom", "size", F.length("header").alias("header_bytes"), "width", "header").write.parquet(build.part(SIZES))
+    if FASTA not in build:
+        fasta.lines(spark, source).write.parquet(build.part(FASTA))
+    return build.publish("genome", place.assembly, source, digest)
 
 
 def resolve_source(spark: SparkSession, assembly: str, root: str | None = None, listed: DataFrame | None = None) -> dict:
@@ -152,7 +120,7 @@ class Genome:
     def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None, metadata: dict | None = None) -> None:
         """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default); ``metadata`` stands in for the assembly's row of the curated table."""
         self.spark, self.place, self._explicit, self.offered = spark, Place(root or data_dir(spark), assembly), default, offered
-        self.metadata, self.closed = metadata or {"assembly_name": assembly}, False
+        self.metadata, self.closed, self._known = metadata, False, None
         self.record = check_registration(spark, self.place.path, f"register {assembly} --force")
         if self.record is None:
             raise errors.RegistrationError(f"{assembly} isn't registered; register it with `register {assembly} --source FASTA`")
@@ -175,7 +143,19 @@ class Genome:
     @property
     def sizes(self) -> DataFrame:
         """(ord, chrom, size) in the assembly's order."""
-        return self.spark.read.parquet(f"{self.place.path}/{SIZES}").select("ord", "chrom", "size")
+        return self.spark.read.parquet(self.part(SIZES)).select("ord", "chrom", "size")
+
+    def part(self, name: str) -> str:
+        """Where a part of the assembly is: ``store``, ``sizes`` or ``fasta``."""
+        return publication.part(self.record, self.place.path, name)
+
+    def annotation_part(self, name: str, annotation: str | None = None) -> str:
+        """Where a part of an annotation is, by default of the default one: ``lines`` (``merged`` if it is that) or ``features``."""
+        annotation = annotation or self.default_annotation
+        record = annotation and read_record(self.spark, self.place.annotation(annotation))
+        if not record:
+            raise errors.AnnotationNotRegisteredError(annotation)
+        return publication.part(record, self.place.annotation(annotation), name)
 
     @property
     def chromosomes(self) -> list[str]:
@@ -185,12 +165,12 @@ class Genome:
     def store(self) -> DataFrame:
         if self.closed:
             raise errors.ClosedGenomeError(f"{self.place.assembly} is closed")
-        return self.spark.read.parquet(f"{self.place.path}/{SEQUENCES}").select("chrom", "size", "tile", "bases")
+        return self.spark.read.parquet(self.part(SEQUENCES)).select("chrom", "size", "tile", "packed", "other", "masked", "bases")
 
     @property
     def fasta_lines(self) -> DataFrame:
         """(at, value): the lines of the assembly's FASTA to the byte, ordered by ``at``."""
-        place = f"{self.place.path}/{FASTA}"
+        place = self.part(FASTA)
         return fasta.lines(self.spark, place) if self.components else self.spark.read.parquet(place)
 
     def fetch(self, regions: DataFrame, masked: bool = True, checked: bool = True) -> DataFrame:
@@ -234,7 +214,7 @@ class Genome:
 
     def fai(self) -> DataFrame:
         """The index of the assembly's FASTA as it was read."""
-        rows = self.spark.read.parquet(f"{self.place.path}/{SIZES}").filter("size > 0")
+        rows = self.spark.read.parquet(self.part(SIZES)).filter("size > 0")
         return shape.fai(rows.withColumns({"component": F.lit(self.place.assembly), "header_bytes": F.col("header_bytes") + 1}))
 
     # --- chimeras ---
@@ -281,26 +261,26 @@ class Genome:
         chrom, component = names.split_suffixed(names.suffixed(F.col("chrom"), F.col("component"), F.lit(sep)), F.lit(sep))
         if bad := every.filter(~(chrom.eqNullSafe(F.col("chrom")) & component.eqNullSafe(F.col("component")))).select("chrom").limit(5).collect():
             raise errors.ChimeraNamingError(f"names don't come apart again: {', '.join(r.chrom for r in bad)}")
-        for part in (RECORD, SEQUENCES, SIZES, FASTA):
-            _remove(spark, f"{place.path}/{part}")
+        build = Build(spark, place.path)
         store, sizes, before = None, None, 0
         for p in parts:
             suffix = F.concat("chrom", F.lit(f"{sep}{p.place.assembly}"))
             mine = p.store.withColumn("chrom", suffix)
-            own = spark.read.parquet(f"{p.place.path}/{SIZES}")
+            own = spark.read.parquet(p.part(SIZES))
             extended = F.col("header_bytes") + len(sep) + len(p.place.assembly)
             rows = own.withColumns({"ord": F.col("ord") + before, "chrom": suffix, "header_bytes": extended.cast("int"), "header": F.concat(F.regexp_extract("header", r"\A(\s*\S+)", 1), F.lit(f"{sep}{p.place.assembly}"), F.regexp_extract("header", r"\A\s*\S+((?s).*)\z", 1))})
             before += own.count()
             store, sizes = (mine, rows) if store is None else (store.unionByName(mine), sizes.unionByName(rows))
-        store.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile").write.parquet(f"{place.path}/{SEQUENCES}")
-        sizes.write.parquet(f"{place.path}/{SIZES}")
-        fasta.write_concatenated([(p.place.assembly, p.fasta_lines) for p in parts], f"{place.path}/{FASTA}", sep)
-        for old in _children(spark, f"{place.path}/gtf"):  # merged by an earlier build
-            if ((read_record(spark, place.annotation(old)) or {}).get("details") or {}).get("merged_from"):
-                _remove(spark, place.annotation(old))
+        ordered = store.repartitionByRange("chrom", "tile").sortWithinPartitions("chrom", "tile")
+        ordered.write.option("parquet.block.size", fetch.ROW_GROUP).parquet(build.part(SEQUENCES))
+        sizes.write.parquet(build.part(SIZES))
+        fasta.write_concatenated([(p.place.assembly, p.fasta_lines) for p in parts], build.part(FASTA), sep)
         given = lambda c: {"annotation": giving[c][0], "annotation_sha256": giving[c][1]} if giving[c] else {}
         details = {"separator": sep, "components": [{"name": p.place.assembly, "sha256": p.record["sha256"], **given(p.place.assembly)} for p in parts]}
-        write_record(spark, place.path, "genome", place.assembly, sha256=catalog.content_sha256(spark, f"{place.path}/{FASTA}"), details=details)
+        build.publish("genome", place.assembly, sha256=catalog.content_sha256(spark, build.part(FASTA)), details=details)
+        for old in publication.children(spark, f"{place.path}/gtf"):  # merged by an earlier build
+            if ((read_record(spark, place.annotation(old)) or {}).get("details") or {}).get("merged_from"):
+                publication.remove(spark, place.annotation(old))
         built = cls(spark, place.assembly, root)
         if sources := [(p, giving[p.place.assembly][0]) for p in parts if giving[p.place.assembly]]:
             built._register_merged(sources, sep)
@@ -321,15 +301,14 @@ class Genome:
     def _register_merged(self, sources: list[tuple[Genome, str]], sep: str) -> dict:
         """The components' lines as one GTF, its names held to the chimera's, its features, and a record of who contributed."""
         name = "+".join(n for _, n in sources)
-        place = self.place.annotation(name)
-        _remove(self.spark, place)
-        lines = [(p.place.assembly, self.spark.read.parquet(f"{p.place.annotation(n)}/{LINES}")) for p, n in sources]
-        gtf.write_merged(lines, f"{place}/{MERGED}", sep)
-        found = gtf.read(self.spark, f"{place}/{MERGED}")
+        build = Build(self.spark, self.place.annotation(name))
+        lines = [(p.place.assembly, self.spark.read.parquet(p.annotation_part(LINES, n))) for p, n in sources]
+        gtf.write_merged(lines, build.part(MERGED), sep)
+        found = gtf.read(self.spark, build.part(MERGED))
         self._check_names(found)
-        found.drop("line_ord").write.parquet(f"{place}/{FEATURES}")
+        annotation_ops.unique_ids(found).drop("line_ord", "file").write.parquet(build.part(FEATURES))
         merged_from = [{"assembly": p.place.assembly, "annotation": n} for p, n in sources]
-        return write_record(self.spark, place, "annotation", name, None, catalog.content_sha256(self.spark, f"{place}/{MERGED}"), {"chromosomes_checked": True, "merged_from": merged_from})
+        return build.publish("annotation", name, None, catalog.content_sha256(self.spark, build.part(MERGED)), {"chromosomes_checked": True, "merged_from": merged_from})
 
     @property
     def component_annotations(self) -> dict[str, str | None] | None:
@@ -367,25 +346,33 @@ class Genome:
         place = self.place.annotation(name)
         if not force and (done := check_registration(self.spark, place, f"register-gtf {self.place.assembly} {path} {name} --force")):
             return done
-        digest = catalog.content_sha256(self.spark, path)
-        if sha256 and digest != sha256:
-            raise errors.ChecksumMismatchError(f"{path}: expected {sha256}, got {digest}")
-        _remove(self.spark, place)
-        lines = gtf.lines(self.spark, path)
+        old = read_record(self.spark, place)
+        proven = bool(force and sha256 and old and old["sha256"] == sha256)
+        kept = publication.intact(self.spark, place, old) if proven else {}
+        build = Build(self.spark, place, {p: kept[p] for p in (LINES,) if p in kept})  # features depend on how they are asked for
+        digest = sha256
+        if LINES in build:
+            lines = self.spark.read.parquet(build.part(LINES))
+        else:
+            digest = catalog.content_sha256(self.spark, path)
+            if sha256 and digest != sha256:
+                raise errors.ChecksumMismatchError(f"{path}: expected {sha256}, got {digest}")
+            lines = gtf.lines(self.spark, path)
         found = gtf.features(lines)
         if check_chromosomes:
             self._check_names(found)
-        rows = found.drop("line_ord")
+        rows = annotation_ops.unique_ids(found).drop("line_ord", "file")
         wanted = ("transcript", "gene") if infer is True else infer or ()
         exons = rows.filter("feature = 'exon'").withColumns({i: F.element_at(F.col("attributes")[i], 1) for i in ("transcript_id", "gene_id")})
         for feature in wanted:
             id_col = f"{feature}_id"
-            extent = annotation_ops.inferred(exons, feature, id_col).withColumn("attributes", F.create_map(F.lit(id_col), F.array(id_col)))
+            extent = annotation_ops.inferred(exons, feature, id_col).withColumns({"attributes": F.create_map(F.lit(id_col), F.array(id_col)), "id": F.col(id_col)})
             rows = rows.unionByName(extent.drop(id_col), allowMissingColumns=True)
-        lines.select("line_ord", "value").write.parquet(f"{place}/{LINES}")
-        rows.write.parquet(f"{place}/{FEATURES}")
+        if LINES not in build:
+            lines.select("line_ord", "value").write.parquet(build.part(LINES))
+        rows.write.parquet(build.part(FEATURES))
         checked = {"chromosomes_checked": True} if check_chromosomes else {"chromosomes_unchecked_because": "caller-override"}
-        return write_record(self.spark, place, "annotation", name, path, digest, checked)
+        return build.publish("annotation", name, path, digest, checked)
 
     def register_annotation(self, name: str, check_chromosomes: bool = True, infer: bool | tuple[str, ...] = False, force: bool = False) -> dict:
         """Registers an offered annotation from its ``url``, a path that Spark reads, held to its ``sha256``."""
@@ -395,20 +382,34 @@ class Genome:
         return self.register_gtf(name, row.url, check_chromosomes, infer, force, row.sha256)
 
     def features(self, name: str | None = None) -> DataFrame:
-        name = name or self.default_annotation
-        if name is None or read_record(self.spark, self.place.annotation(name)) is None:
-            raise errors.AnnotationNotRegisteredError(name)
-        return self.spark.read.parquet(f"{self.place.annotation(name)}/{FEATURES}")
+        return self.spark.read.parquet(self.annotation_part(FEATURES, name))
+
+    def registry(self) -> dict[str, str]:
+        """The state of each annotation's folder: finished, unfinished, mismatch or fresh.
+
+        All records and all files are read by one query, whatever their number, and remembered until a folder is changed.
+        """
+        place = f"{self.place.path}/gtf"
+        stamps = publication.children(self.spark, place)
+        if self._known is None or self._known[0] != stamps:
+            self._known = (stamps, self._gated(place, list(stamps)))
+        return self._known[1]
+
+    def _gated(self, place: str, names_: list[str]) -> dict[str, str]:
+        if not names_:
+            return {}
+        folders = self.spark.createDataFrame([(n,) for n in names_], "name string")
+        below = F.substring_index("path", f"{self.place.path.rpartition(':')[2]}/gtf/", -1)
+        name = F.substring_index(below, "/", 1)
+        found = catalog.files_below(self.spark, place).select(name.alias("name"), F.substring(below, F.length(name) + 2, F.length(below)).alias("file"), F.col("length").alias("actual"))
+        recorded = catalog.records(self.spark, f"{place}/*/{catalog.RECORD_NAME}") if any(publication.exists(self.spark, f"{place}/{n}/{catalog.RECORD_NAME}") for n in names_) else None
+        none = self.spark.createDataFrame([], "name string, file string, expected long")
+        claimed = none if recorded is None else recorded.select("name", F.explode_outer("files").alias("file", "expected"))
+        return {r.name: r.state for r in record_ops.gate(folders, claimed, found, "name", "file").collect()}
 
     def annotation_status(self, offered: DataFrame | None = None) -> DataFrame:
         """(assembly, name, ord, offered, registered, broken, state) of what is offered and what is here."""
-        mine: list[tuple[str, bool]] = []
-        for name in _children(self.spark, f"{self.place.path}/gtf"):
-            try:
-                mine.append((name, check_registration(self.spark, self.place.annotation(name), "") is None))
-            except errors.RegistrationError:
-                mine.append((name, True))
-        here = self.spark.createDataFrame([(self.place.assembly, n, b) for n, b in mine], "assembly string, name string, wrong boolean")
+        here = self.spark.createDataFrame([(self.place.assembly, n, state != "finished") for n, state in self.registry().items()], "assembly string, name string, wrong boolean")
         offered = self.offered if offered is None else offered
         offered = self.spark.createDataFrame([], "assembly string, name string, ord int") if offered is None else offered.filter(F.col("assembly") == self.place.assembly).select("assembly", "name", "ord")
         return annotation_ops.status(offered, here.filter("NOT wrong"), here.filter("wrong"))
@@ -506,7 +507,7 @@ def verify_assembly(spark: SparkSession, assembly: str, fasta_path: str | None =
     want = expected or record.get("sha256")
     if fasta_path is None and not record:
         raise errors.RegistrationError(f"{assembly} isn't registered")
-    held = fasta_path or (f"{place.path}/{FASTA}" if record["details"].get("components") else record["source_url"])
+    held = fasta_path or (publication.part(record, place.path, FASTA) if record["details"].get("components") else record["source_url"])
     got = catalog.content_sha256(spark, held)
     if want and got != want:
         raise errors.ChecksumMismatchError(f"{held}: expected {want}, got {got}")

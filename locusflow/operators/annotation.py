@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, names
+from . import order
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -33,6 +34,26 @@ def merged_lines(lines: DataFrame, sep: Column) -> DataFrame:
     return data_lines(lines).select("component", "ord", F.concat(names.suffixed(first, F.col("component"), sep), F.substring("value", F.length(first) + 1, F.length("value"))).alias("value"))
 
 
+def numbered_ids(rows: DataFrame, part: Column, within: list[str | Column]) -> DataFrame:
+    """``rows`` (feature, named, ...) with a unique ``id``: ``named``, from its second row on with ``_1``, ``_2``, ..., in order.
+
+    Rows that nothing names are called after their feature, with a number from 1. ``part`` and
+    ``within`` are the order, see :func:`locusflow.operators.order.numbered`.
+    """
+    called = rows.withColumns({"_nameless": F.col("named").isNull(), "_stem": F.coalesce("named", "feature", F.lit(""))})
+    counted = order.numbered(called, ["_nameless", "_stem"], part, within, "_k")
+    number = F.when(F.col("_nameless"), F.concat_ws("_", "_stem", F.col("_k") + 1)).when(F.col("_k") == 0, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "_k"))
+    return counted.withColumn("id", number).drop("_nameless", "_stem", "_k")
+
+
+def unique_ids(found: DataFrame) -> DataFrame:
+    """GTF features (feature, attributes, line_ord) with unique ids in the order of their lines: a gene's ``gene_id``, a transcript's ``transcript_id``."""
+    value = lambda name: F.element_at(F.try_element_at("attributes", F.lit(name)), 1)
+    named = F.when(F.col("feature") == "gene", value("gene_id")).when(F.col("feature") == "transcript", value("transcript_id"))
+    split = F.struct(F.col("line_ord.block"), F.shiftright("line_ord.id", 33))  # the split of a file that a task read
+    return numbered_ids(found.withColumn("named", named), split, ["line_ord"]).drop("named")
+
+
 def inferred(exons: DataFrame, feature: str, id_col: str) -> DataFrame:
     """The extent of each transcript or gene over its exons."""
     return exons.groupBy("seqname", "strand", id_col).agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("feature", F.lit(feature))

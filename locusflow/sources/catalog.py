@@ -93,22 +93,39 @@ def files_below(spark: SparkSession, path: str) -> DataFrame:
 def content_sha256(spark: SparkSession, path: str) -> str:
     """The digest of what is at ``path``, gzipped files unpacked, of any size; of a folder, that of its files one after the other.
 
-    A digest depends on the order of all bytes, so they stream through one task in the order of
-    files and lines; it holds a batch of lines at a time. A gzipped file is taken to end in a line
-    end, which its packed size doesn't tell, unless it is small enough to be unpacked whole.
+    A digest depends on the order of all bytes, so one task reads the files' splits one after the
+    other, as they are listed, a batch of lines at a time; nothing is shuffled or sorted. Should the
+    splits ever come out of order, that is an error.
     """
     files = [r for r in files_below(spark, path).orderBy("path").collect() if not r.path.rpartition("/")[2].startswith(("_", "."))]
     packed = [r for r in files if r.path.endswith(".gz") and r.length <= WHOLE_BYTES]
     if len(files) == len(packed) == 1:
         return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unpacked_sha256, "sha256 string").first().sha256
-    raw = spark.read.option("lineSep", "\n").text([r.path for r in files] or path)
-    name = F.col("_metadata.file_path")
-    size = F.when(~F.endswith(name, F.lit(".gz")), F.col("_metadata.file_size"))
-    rows = raw.select(name.alias("file"), size.alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
-    digest = rows.repartition(1).sortWithinPartitions("file", "block", "id").select("file", "size", "value").mapInArrow(_line_sha256, "sha256 string").first()
+    rows = None
+    for i, file in enumerate(files):
+        raw = spark.read.option("lineSep", "\n").text(file.path)
+        closed = F.lit(_ends_a_line(spark, file.path) if file.path.endswith(".gz") else None).cast("boolean")
+        size = F.when(closed.isNull(), F.col("_metadata.file_size"))
+        mine = raw.select(F.lit(i).alias("file"), size.alias("size"), closed.alias("closed"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+        rows = mine if rows is None else rows.union(mine)
+    digest = rows.coalesce(1).mapInArrow(_line_sha256, "sha256 string").first() if files else None
     return digest.sha256 if digest else hashlib.sha256().hexdigest()
 
 
+def _ends_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether a gzipped file of any size ends in a line end: split at either of two letters, its last piece does.
+
+    A piece loses the letter it ends in, so after a last letter A the pieces cut at A may seem to end
+    a line, but not those cut at C.
+    """
+    def last(letter: str) -> bool:
+        pieces = spark.read.option("lineSep", letter).text(path).select(F.monotonically_increasing_id().alias("id"), F.endswith("value", F.lit("\n")).alias("closed"))
+        row = pieces.agg(F.max_by("closed", "id")).first()
+        return bool(row[0])
+
+    return last("A") and last("C")
+
+
 #: A gzipped file of so many bytes is held packed by the task that unpacks it.
 WHOLE_BYTES = 1_000_000_000
 
@@ -124,18 +141,21 @@ def _unpacked_sha256(batches: Iterator) -> Iterator:
 
 
 def _line_sha256(batches: Iterator) -> Iterator:
-    """Hashes sorted lines (file, size, value); a file's last line gets its end if the file's size, where known, says there is one."""
+    """Hashes lines (file, size, closed, block, value) in order; a file's last line gets its end if the file's size, or else ``closed``, says there is one."""
     import pyarrow as pa
 
-    digest, now, known, n = hashlib.sha256(), None, None, 0
-    last = lambda: b"\n" if now is not None and (known is None or n <= known) else b""
+    digest, now, known, ended, n = hashlib.sha256(), (-1, -1), None, None, 0
+    last = lambda: b"\n" if now[0] >= 0 and (ended if known is None else n <= known) else b""
     for batch in batches:
-        for file, size, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            digest.update(last() if file != now else b"\n")
-            if file != now:
-                now, known, n = file, size, 0
+        for file, size, closed, block, value in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if (file, block) < now:
+                raise RuntimeError("the splits of a file came out of order")
+            digest.update(last() if file != now[0] else b"\n")
+            if file != now[0]:
+                known, ended, n = size, closed, 0
+            now = (file, block)
             digest.update(value)
             n += len(value) + 1
-    if now is not None:
+    if now[0] >= 0:
         digest.update(last())
         yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["sha256"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,104 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("file", "place", "header", F.regexp_extract("header", r"\A\s*(\S*)", 1).alias("chrom"), F.regexp_replace("body", r"\s+", "").alias("seq"), F.length(F.regexp_extract("body", r"\A([^\r\n]*)", 1)).alias("width"))
 
 
+#: Bases of a fragment, unless a line alone has more.
+FRAGMENT = 1 << 20
+FRAGMENTS = T.StructType([
+    T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("k", T.LongType()), T.StructField("header", T.StringType()),
+    T.StructField("width", T.IntegerType()), T.StructField("bases", T.StringType()),
+])
+
+
+def _cut(batches: Iterator) -> Iterator:
+    """Arrow batches of lines (file, block, value) as fragments: a row for each header, and for each run of lines between, their bases."""
+    import numpy as np
+    import pyarrow as pa
+
+    now, k = (None, None), 0
+    for batch in batches:
+        n, out = batch.num_rows, []
+        values, blocks, files = batch.column("value").cast(pa.large_binary()), batch.column("block").to_numpy(zero_copy_only=False), batch.column("file")
+        ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
+        data = values.buffers()[2] or pa.py_buffer(b"")
+        bytes_ = np.frombuffer(data, np.uint8)
+        full = np.flatnonzero(np.diff(ends) > 0)
+        heads = full[bytes_[ends[full]] == ord(">")]
+        names = pa.compute.dictionary_encode(files)
+        codes = names.indices.to_numpy(zero_copy_only=False)
+        changed = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        long = np.searchsorted(ends, np.arange(ends[0] + FRAGMENT, ends[-1], FRAGMENT)) if n else []
+        cuts = np.unique(np.concatenate([[0, n], heads, heads + 1, changed, long]).astype(int))
+        is_head = set(heads.tolist())
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = (names.dictionary[int(codes[a])].as_py(), int(blocks[a]))
+            now, k = (now, k) if here == now else (here, 0)
+            text = data[int(ends[a]) : int(ends[b])].to_pybytes()
+            if a in is_head:
+                out.append((*here, k, text[1:].rstrip(b"\r"), None, None))
+            else:
+                out.append((*here, k, None, int(ends[a + 1] - ends[a]) - int(data[int(ends[a]) : int(ends[a + 1])].to_pybytes().endswith(b"\r")), text.translate(None, b" \t\r\x0b\x0c")))
+            k += 1
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        made = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+        made[3], made[5] = (c.cast(pa.string()) for c in (made[3], made[5]))
+        yield pa.RecordBatch.from_arrays(made, names=[f.name for f in FRAGMENTS.fields])
+
+
+def fragments(spark: SparkSession, path: str, place: str) -> DataFrame:
+    """(file, block, k, header, width, bases): plain or gzipped FASTA files as headers and bounded runs of bases between them, written to ``place``.
+
+    Lines are read wherever a file's splits are, so that one long record is read by all cores; ``k``
+    orders the fragments of a split. Only a line itself is never cut.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").cast("binary").alias("value"))
+    raw.mapInArrow(_cut, FRAGMENTS).write.parquet(place)
+    return spark.read.parquet(place)
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(file, block, k, place, offset, n) of fragments: which record of its file each belongs to, and how many of its bases come before.
+
+    Prefix sums in two levels, over a split's fragments and over the splits; what stands before a file's first header has place -1.
+    """
+    n = F.coalesce(F.length("bases"), F.lit(0)).cast("long")
+    rows = found.select("file", "block", "k", F.col("header").isNotNull().alias("head"), n.alias("n"))
+    local = W.partitionBy("file", "block").orderBy("k")
+    rows = rows.withColumns({"rec": F.sum(F.col("head").cast("int")).over(local), "pos": F.coalesce(F.sum("n").over(local.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    rows = rows.withColumn("from", F.max(F.when(F.col("head"), F.col("pos"))).over(local.rowsBetween(W.unboundedPreceding, 0)))
+    splits = rows.groupBy("file", "block").agg(F.sum(F.col("head").cast("int")).alias("heads"), F.sum("n").alias("bases"), F.max("from").alias("last"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumns({"heads_before": F.coalesce(F.sum("heads").over(earlier), F.lit(0)), "bases_before": F.coalesce(F.sum("bases").over(earlier), F.lit(0))})
+    opened = F.coalesce(F.last(F.col("bases_before") + F.col("last"), ignorenulls=True).over(earlier), F.lit(0))
+    splits = splits.withColumn("open", F.col("bases_before") - opened).select("file", "block", "heads_before", "open")
+    offset = F.when(F.col("rec") > 0, F.col("pos") - F.col("from")).otherwise(F.col("open") + F.col("pos"))
+    return rows.join(splits, ["file", "block"]).select("file", "block", "k", (F.col("heads_before") + F.col("rec") - 1).cast("int").alias("place"), offset.alias("offset"), "n")
+
+
+def tiles(found: DataFrame, tile: int) -> DataFrame:
+    """(chrom, size, tile, bases, place, header, width) of fragments, each of which goes in pieces to the tiles it covers; a record without bases has one empty tile.
+
+    No row is longer than a tile or a fragment. Bases before a file's first header are an error.
+    """
+    key = ["file", "block", "k"]
+    where = placed(found)
+    small = where.limit(BROADCAST_RECORDS + 1).count() <= BROADCAST_RECORDS
+    hint = F.broadcast if small else (lambda df: df)
+    both = found.join(hint(where), key)
+    sums = both.groupBy("file", "place").agg(F.sum("n").alias("size"), F.max("header").alias("header"), F.min(F.when(F.col("width").isNotNull(), F.struct("block", "k", "width")))["width"].alias("width"))
+    checked = F.when((F.col("place") < 0) & (F.col("size") > 0), F.raise_error(F.lit("bases before the first header"))).otherwise(F.col("size"))
+    records_ = sums.withColumn("size", checked).filter("place >= 0").withColumns({"chrom": F.regexp_extract("header", r"\A\s*(\S*)", 1), "width": F.coalesce("width", F.lit(0))})
+    covered = F.explode(F.sequence(F.expr(f"offset div {tile}"), F.expr(f"(offset + n - 1) div {tile}")))
+    at = F.greatest(F.col("offset"), F.col("tile") * tile)
+    piece = F.substring("bases", (at - F.col("offset") + 1).cast("int"), (F.least(F.col("offset") + F.col("n"), (F.col("tile") + 1) * tile) - at).cast("int"))
+    pieces = both.filter("n > 0 AND place >= 0").withColumn("tile", covered).select("file", "place", "tile", F.struct(at.alias("at"), piece.alias("piece")).alias("x"))
+    joined = pieces.groupBy("file", "place", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("bases"))
+    empty = records_.filter("size = 0").select("file", "place", F.lit(0).cast("long").alias("tile"), F.lit("").alias("bases"))
+    known = records_.select("file", "place", "chrom", "size", "header", "width")
+    known = F.broadcast(known) if small else known
+    return joined.unionByName(empty).join(known, ["file", "place"]).select("chrom", "size", F.col("tile").cast("int").alias("tile"), "bases", "place", "header", "width")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(at, value): every line to the byte, carriage returns and blank ones too, and what orders them."""
     raw = spark.read.option("lineSep", "\n").text(path)
