@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checkpointed, without
+from .common import Scratch, checkpointed, slices, without
 
 SEED = 42
 #: The bits set in each byte value, as rows of eight.
@@ -220,7 +220,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
             texts = batch.column("text").to_pylist()
             found = [wide_fingerprint(t) for t in texts]
             bits = np.array([f[1] for f in found], np.int64).reshape(-1, LONGS)
@@ -318,21 +318,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     sides = [held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("v", "u")]
 
     def each(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         last, mine = None, set()
-        for batch in batches:
+        for batch in (part for whole in batches for half in slices(whole, "text_u", 4 << 20) for part in slices(half, "text_v", 4 << 20)):
             out = []
-            for u, v, left, right in zip(batch["u"], batch["v"], batch["text_u"], batch["text_v"], strict=True):
+            for u, v, left, right in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v")), strict=True):
                 if u != last:
                     last, mine = u, shingles(left)
                 other = shingles(right)
                 same = len(mine & other)
                 if same / (len(mine) + len(other) - same) >= similarity:
                     out.append((u, v))
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return scratch.table(pairs.join(sides[0], "v").join(sides[1], "u").select("u", "v", "text_u", "text_v").mapInPandas(each, "u long, v long"), name)
+    return scratch.table(pairs.join(sides[0], "v").join(sides[1], "u").select("u", "v", "text_u", "text_v").mapInArrow(each, "u long, v long"), name)
 
 
 def _small(rows: DataFrame) -> DataFrame:

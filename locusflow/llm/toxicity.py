@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checkpointed, text_or_empty, without
+from .common import Scratch, checkpointed, slices, text_or_empty, without
 from .quality import isotonic
 
 FOLDS, HELD, CALIBRATING = 4, 2, 3
 THRESHOLD = 0.3
 #: Letters that a word's beginnings have: words inflected or spelled anew share these.
 BEGINNINGS = (7, 6, 5, 4)
-#: Words whose score a worker remembers before it starts anew (some 50 MB).
-KEPT = 500_000
+#: Words whose score a worker remembers before it starts anew (some 20 MB).
+KEPT = 200_000
 #: Evidence sums are told apart to 1 / STEPS, up to MOST, when calibrated.
 STEPS, MOST = 4, 64
 
@@ -128,7 +128,7 @@ def _marked(rows: DataFrame, model: Model, text: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Remembered(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text, 8 << 20)):
             counts, places, values = [], [], []
             for words in batch.column(text).to_pylist():
                 found = np.fromiter(map(known.__getitem__, words.split()), np.float64)
