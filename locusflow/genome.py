@@ -117,15 +117,23 @@ def register(spark: SparkSession, assembly: str, root: str | None = None, listed
 class Genome:
     """A registered assembly. Loci are 0-based, half-open; case is kept; a minus strand is reverse-complemented."""
 
-    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None, metadata: dict | None = None) -> None:
-        """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default); ``metadata`` stands in for the assembly's row of the curated table."""
+    def __init__(self, spark: SparkSession, assembly: str, root: str | None = None, default: str | None = None, offered: DataFrame | None = None, metadata: dict | None = None, listed: DataFrame | None = None) -> None:
+        """``default`` names the default annotation; ``offered`` is the table of annotations (assembly, name, ord, url, sha256, default); ``metadata`` stands in, whole, for the assembly's row of the curated table ``listed``."""
         self.spark, self.place, self._explicit, self.offered = spark, Place(root or data_dir(spark), assembly), default, offered
-        self.metadata, self.closed, self._known = metadata, False, None
+        self.metadata, self.listed, self.closed, self._known = metadata, listed, False, None
         self.record = check_registration(spark, self.place.path, f"register {assembly} --force")
         if self.record is None:
             raise errors.RegistrationError(f"{assembly} isn't registered; register it with `register {assembly} --source FASTA`")
         _component_entries(self.record, assembly)
 
+    def assembly_metadata(self) -> dict:
+        """What is known of the assembly: the metadata given at opening, else its curated row, else its name alone."""
+        if self.metadata is not None:
+            return dict(self.metadata)
+        name = self.place.assembly
+        row = None if self.listed is None else self.listed.filter(F.col("assembly_name") == name).drop("ord", "error").first()
+        return row.asDict() if row is not None else {"assembly_name": name}
+
     def close(self) -> None:
         """After this, sequences can't be asked for any more."""
         self.closed = True

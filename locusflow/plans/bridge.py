@@ -19,6 +19,17 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters of documents and the bases they stand for, each case for itself.
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
+
+
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' letters as bases, digits as runs of N, all else left out."""
+    text = F.regexp_replace(F.regexp_replace("text", "[0-9]", "N"), "[^A-Za-z]", "")
+    bases = F.translate(text, _LETTERS + _LETTERS.upper().replace("N", ""), _BASES + "".join(b for a, b in zip(_LETTERS, _BASES.upper(), strict=True) if a != "n"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("chr"), F.col("doc_id").cast("string")).alias("chrom"), bases.alias("seq"))
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("ord", "component", "chrom", "size")
 
@@ -60,6 +71,13 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("dated")
 
 
+def named_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as lines of genes (their orders): the first is called by its part, of which there are few, the second by its supplier, the others by nothing."""
+    n = F.col("l_linenumber")
+    named = F.when(n == 1, F.concat(F.lit("g"), (F.col("l_partkey") % 50).cast("string"))).when(n == 2, F.concat(F.lit("t"), F.col("l_suppkey").cast("string")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gene"), n.cast("long").alias("line"), F.when(n == 1, "gene").when(n == 2, "transcript").otherwise("exon").alias("feature"), named.alias("named"))
+
+
 def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as GTF lines of components (their nations), some comments and some without tabs among them."""
     s = table(spark, sf_dir, "supplier")
@@ -149,6 +167,10 @@ SQL = {
     "entries": "SELECT c_custkey // 4 AS chimera, c_custkey % 97 AS component, CASE WHEN c_custkey % 11 <> 0 THEN md5(CASE WHEN c_custkey % 13 = 0 THEN 'x' ELSE CAST(c_custkey % 97 AS VARCHAR) END) END AS sha256 FROM customer",
     "digests": "SELECT range AS component, CASE WHEN range % 23 <> 5 THEN md5(CAST(range AS VARCHAR)) END AS sha256 FROM range(97) WHERE range % 19 <> 3",
 }
+SQL["dna"] = f"""SELECT chrom, seq, length(seq) AS size FROM (SELECT 'chr' || doc_id AS chrom, translate(regexp_replace(regexp_replace(text, '[0-9]', 'N', 'g'), '[^A-Za-z]', '', 'g'), '{_LETTERS}{_LETTERS.upper().replace("N", "")}',
+  '{_BASES}{"".join(b for a, b in zip(_LETTERS, _BASES.upper(), strict=True) if a != "n")}') AS seq FROM documents)"""
+SQL["named_features"] = """SELECT l_orderkey AS gene, CAST(l_linenumber AS BIGINT) AS line, CASE l_linenumber WHEN 1 THEN 'gene' WHEN 2 THEN 'transcript' ELSE 'exon' END AS feature,
+  CASE l_linenumber WHEN 1 THEN 'g' || (l_partkey % 50) WHEN 2 THEN 't' || l_suppkey END AS named FROM lineitem"""
 #: What each expression needs before it.
 NEEDS = {"loci": ["regions"]}
 

@@ -90,6 +90,19 @@ add("fetch_sequence_unchecked", lambda s, d: _fetched(s, d, checked=False).selec
 add("fetch_unmasked", lambda s, d: _fetched(s, d, masked=False).filter("error IS NULL").select("rid", "bases"), ["regions", "sequences"],
     f"""SELECT rid, {_BASES.format(_UPPERED)} AS bases FROM {_JOINED} WHERE ({_ERROR}) IS NULL""")
 
+
+
+def fetch_packed(s: SparkSession, d: str) -> DataFrame:
+    """The loci over documents turned into bases, kept in two bits each."""
+    dna = b.dna(s, d)
+    store = fetch.packed_tiles(fetch.tiles(dna, TILE))
+    found = fetch.fetch(fetch.resolved(b.regions(s, d), dna.select("chrom", F.length("seq").cast("long").alias("size"))), store, "rid", TILE)
+    return found.select("rid", "error", "bases")
+
+
+add("fetch_packed", fetch_packed, ["regions", "dna"],
+    f"""SELECT rid, {_ERROR} AS error, CASE WHEN ({_ERROR}) IS NULL THEN {_BASES.format('substring(seq, start + 1, "end" - start)')} END AS bases FROM regions LEFT JOIN dna USING (chrom)""")
+
 # --- sizes and names ---
 add("chrom_sizes", lambda s, d: b.sizes(s, d).select("ord", "chrom", F.col("size").alias("length")), ["sizes"], "SELECT ord, chrom, size AS length FROM sizes")
 add("chrom_components", lambda s, d: b.suffixed_sizes(s, d).select("chrom", names.component_of(F.col("chrom"), F.lit(SEP), F.lit("asm")).alias("component")), ["suffixed"], "SELECT chrom, component FROM suffixed")
@@ -148,6 +161,18 @@ add("gtf_data_lines", lambda s, d: annotation.data_lines(b.gtf_lines(s, d)).sele
 add("annotation_merge", lambda s, d: annotation.merged_lines(b.gtf_lines(s, d), F.lit(SEP)), ["gtf"],
     "SELECT component, ord, string_split(value, chr(9))[1] || '__' || component || substring(value, strpos(value, chr(9))) AS value FROM gtf WHERE NOT starts_with(value, '#') AND contains(value, chr(9))")
 add("features_by_type", lambda s, d: b.features(s, d).filter("feature = 'CDS'"), ["features"], "SELECT * FROM features WHERE feature = 'CDS'")
+
+
+def feature_ids(s: SparkSession, d: str) -> DataFrame:
+    """Line items as lines of an annotation, a third of them nameless, whose names collide; ids are unique."""
+    rows = b.named_features(s, d)
+    found = annotation.numbered_ids(rows, F.floor(F.col("gene") / 1000), ["gene", "line"])
+    return found.select("gene", "line", "feature", "id")
+
+
+add("feature_ids", feature_ids, ["named_features"],
+    """SELECT gene, line, feature, CASE WHEN named IS NULL THEN feature || '_' || k WHEN k = 1 THEN named ELSE named || '_' || (k - 1) END AS id
+FROM (SELECT *, row_number() OVER (PARTITION BY named IS NULL, coalesce(named, feature) ORDER BY gene, line) AS k FROM named_features)""")
 add("feature_types", lambda s, d: b.features(s, d).groupBy("feature").agg(F.count("*").alias("n")), ["features"], "SELECT feature, count(*) AS n FROM features GROUP BY 1")
 for _f, _id in (("transcript", "transcript_id"), ("gene", "gene_id")):
     add(f"infer_{_f}s", lambda s, d, f=_f, i=_id: annotation.inferred(b.features(s, d).filter("feature = 'exon'"), f, i), ["features"],

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +105,10 @@ def read_record(spark: SparkSession, path: str) -> dict | None:
         return found | {"details": json.loads(found["details"] or "{}")}
     except (ValueError, TypeError):
         return None
+    except Py4JJavaError as wrong:
+        if "ChecksumException" in str(wrong.java_exception.getClass()):  # the file isn't as it was written
+            return None
+        raise
 
 
 def write_record(spark: SparkSession, path: str, kind: str, name: str, source_url: str | None = None, sha256: str | None = None, details: dict | None = None, tools: dict | None = None, parts: Iterable[str] | None = None) -> dict:
@@ -145,7 +150,7 @@ def _digests(spark: SparkSession, folders: dict[str, str]) -> dict[str, str]:
     if not here:
         return {}
     found: dict[str, list[str]] = {n: [] for n in here}
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(here.values())).select("path", F.sha2("content", 256).alias("digest")).collect()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(list(here.values())).select("path", F.sha2("content", 256).alias("digest")).collect()
     for row in rows:
         name = next(n for n, p in here.items() if f"/build-{p.rpartition('build-')[2]}/" in row.path)
         found[name].append(f"{row.path.rpartition('/')[2]}:{row.digest}")

@@ -118,14 +118,14 @@ def tiles(found: DataFrame, tile: int) -> DataFrame:
     hint = F.broadcast if small else (lambda df: df)
     both = found.join(hint(where), key)
     sums = both.groupBy("file", "place").agg(F.sum("n").alias("size"), F.max("header").alias("header"), F.min(F.when(F.col("width").isNotNull(), F.struct("block", "k", "width")))["width"].alias("width"))
-    checked = F.when((F.col("place") < 0) & (F.col("size") > 0), F.raise_error(F.lit("bases before the first header"))).otherwise(F.col("size"))
-    records_ = sums.withColumn("size", checked).filter("place >= 0").withColumns({"chrom": F.regexp_extract("header", r"\A\s*(\S*)", 1), "width": F.coalesce("width", F.lit(0))})
+    lost = F.when((F.col("place") < 0) & (F.col("size") > 0), F.raise_error(F.lit("bases before the first header")))
+    records_ = sums.withColumns({"chrom": lost.otherwise(F.regexp_extract("header", r"\A\s*(\S*)", 1)), "width": F.coalesce("width", F.lit(0))})
     covered = F.explode(F.sequence(F.expr(f"offset div {tile}"), F.expr(f"(offset + n - 1) div {tile}")))
     at = F.greatest(F.col("offset"), F.col("tile") * tile)
     piece = F.substring("bases", (at - F.col("offset") + 1).cast("int"), (F.least(F.col("offset") + F.col("n"), (F.col("tile") + 1) * tile) - at).cast("int"))
-    pieces = both.filter("n > 0 AND place >= 0").withColumn("tile", covered).select("file", "place", "tile", F.struct(at.alias("at"), piece.alias("piece")).alias("x"))
+    pieces = both.filter("n > 0").withColumn("tile", covered).select("file", "place", "tile", F.struct(at.alias("at"), piece.alias("piece")).alias("x"))
     joined = pieces.groupBy("file", "place", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("bases"))
-    empty = records_.filter("size = 0").select("file", "place", F.lit(0).cast("long").alias("tile"), F.lit("").alias("bases"))
+    empty = records_.filter("size = 0 AND place >= 0").select("file", "place", F.lit(0).cast("long").alias("tile"), F.lit("").alias("bases"))
     known = records_.select("file", "place", "chrom", "size", "header", "width")
     known = F.broadcast(known) if small else known
     return joined.unionByName(empty).join(known, ["file", "place"]).select("chrom", "size", F.col("tile").cast("int").alias("tile"), "bases", "place", "header", "width")
