@@ -179,19 +179,34 @@ def _tables(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sizes, values
 
 
+#: The code tables that a picture without any means (fixed values of the JPEG standard's annex K.3): class and place, code words of each length from 1 to 16, symbols.
+STANDARD = {
+    0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), bytes.fromhex(
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9da"
+        "e1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa")),
+    0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), bytes.fromhex(
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9da"
+        "e2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa")),
+}
+
+
 class Picture:
     """What the markers of a baseline JPEG say, and its entropy-coded bytes.
 
     Quantisers stand in zigzag order by table; ``parts`` is (name, across, down, quantiser table) of
     each component, ``scan`` (name, DC table, AC table). Progressive and arithmetic-coded pictures
-    are refused, and so are frames that leave their code tables to the reader.
+    are refused; frames that bring no code tables, as is common in AVI files, mean the standard's.
     """
 
     def __init__(self, data: bytes) -> None:
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG picture")
         self.quantisers: dict[int, np.ndarray] = {}
-        self.codes: dict[int, tuple[bytes, bytes]] = {}
+        self.codes: dict[int, tuple[bytes, bytes]] = dict(STANDARD)
         self.restart, self.parts, self.scan, at = 0, [], [], 2
         while not self.scan:
             if at + 4 > len(data) or data[at] != 0xFF:

@@ -46,8 +46,9 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, read back, assembled into captures and summed up; the archives are then deleted."""
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(documents(spark, sf_dir, table="pages"), path)
-    found = checkpointed(warc.captures(warc.assemble(warc.read(spark, path))))
+    pages = documents(spark, sf_dir, table="pages")
+    warc.write(pages, path)
+    found = checkpointed(warc.captures(warc.assemble(warc.read(spark, path)), pages.schema["page_id"].dataType.simpleString()))
     warc.remove(spark, path)
     return found
 

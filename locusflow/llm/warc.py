@@ -80,7 +80,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = 6_000, file_bytes
         ),
         _record(
             "metadata", _urn(F.lit("metadata"), id_), [target, ("WARC-Concurrent-To", id_), ("Content-Type", F.lit("application/warc-fields"))],
-            F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit("via: locusflow")),
+            F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.url_encode(F.col("page_id").cast("string"))), F.lit("via: locusflow")),
         ),
     )
     mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1_500)).first()[0] or 1.0
@@ -173,15 +173,19 @@ def assemble(records: DataFrame) -> DataFrame:
     return heads.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
 
 
-def page_id_of(capture: str = "metadata") -> Column:
-    """The page id that a capture's metadata record names, or null."""
-    return F.nullif(F.regexp_extract(F.col(capture)["payload"].cast("string"), r"(?m)^page-id: (-?\d+)\r?$", 1), F.lit("")).cast("long")
+def page_id_of(capture: str = "metadata", kind: str = "long") -> Column:
+    """The page id that a capture's metadata record names, of the type ``kind``, or null."""
+    text, field = F.col(capture)["payload"].cast("string"), r"(?m)^page-id: (\S*)\r?$"
+    return F.when(F.regexp_like(text, F.lit(field)), F.url_decode(F.regexp_extract(text, field, 1)).try_cast(kind))
 
 
-def captures(assembled: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each capture, a revisit's payload being its response's."""
+def captures(assembled: DataFrame, id_type: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each capture, a revisit's payload being its response's.
+
+    ``id_type`` is the type of the ids: ``string`` takes any text there was; ids that aren't of it are null.
+    """
     own = checkpointed(assembled.select(
-        "record_id", page_id_of().alias("page_id"), F.octet_length(F.col("response.payload")).cast("long").alias("bytes"), F.sha2(F.col("response.payload"), 256).alias("sha"), F.col("response.type").alias("record_type"),
+        "record_id", page_id_of(kind=id_type).alias("page_id"), F.octet_length(F.col("response.payload")).cast("long").alias("bytes"), F.sha2(F.col("response.payload"), 256).alias("sha"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("to"), "copies",
     ))
     whole = own.filter(F.col("record_type") == "response").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("_bytes"), F.col("sha").alias("_sha"))

@@ -13,22 +13,34 @@ from locusflow.llm import media, warc
 DC, AC = {s: 4 for s in range(12)}, {s: 8 if s < 128 else 9 for s in range(256)}
 
 
-def encode(planes, quantiser, sampling, restart):
-    """A JPEG picture of coefficient blocks, a bit at a time: planes[i] is rows x columns of 64 zigzag numbers."""
+def code_words(counts, symbols):
+    """Bits of each symbol, codes of a length following each other."""
+    out, code, k = {}, 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            out[symbols[k]] = f"{code:0{length}b}"
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def encode(planes, quantiser, sampling, restart, standard=False):
+    """A JPEG picture of coefficient blocks, a bit at a time: planes[i] is rows x columns of 64 zigzag numbers; with the ``standard`` tables, none is written."""
     out, bits = [b"\xff\xd8", media._segment(0xDB, b"\x00" + bytes(quantiser))], ""
-    dc, ac = (media._canonical(t) for t in (DC, AC))
-    for name, (_, counts, symbols) in ((0x00, dc), (0x10, ac)):
+    tables = dict(media.STANDARD) if standard else {}
+    for name, lengths in () if standard else ((0x00, DC), (0x10, AC)):
+        _, counts, symbols = media._canonical(lengths)
         out.append(media._segment(0xC4, bytes([name, *counts, *symbols])))
+        tables[name] = tables[name + 1] = (bytes(counts), bytes(symbols))
+    words = {name: code_words(*table) for name, table in tables.items()}
+    place = lambda i: int(standard and i > 0)  # noqa: E731  colours have tables of their own
     across, down = max(h for h, _ in sampling), max(v for _, v in sampling)
     high, wide = len(planes[0]) // sampling[0][1], len(planes[0][0]) // sampling[0][0]
     frame = struct.pack(">BHHB", 8, high * down * 8 - 3, wide * across * 8 - 5, len(planes))
     out.append(media._segment(0xC0, frame + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling))))
     if restart:
         out.append(media._segment(0xDD, struct.pack(">H", restart)))
-    out.append(media._segment(0xDA, bytes([len(planes), *[x for i in range(len(planes)) for x in (i + 1, 0)], 0, 63, 0])))
-
-    def word(codes, lengths, s):
-        return f"{codes[s]:0{lengths[s]}b}"
+    out.append(media._segment(0xDA, bytes([len(planes), *[x for i in range(len(planes)) for x in (i + 1, 0x11 * place(i))], 0, 63, 0])))
 
     def number(n):
         size = abs(n).bit_length()
@@ -49,19 +61,19 @@ def encode(planes, quantiser, sampling, restart):
                 block = planes[i][y * v + b // h][x * h + b % h]
                 d = block[0] - last[i]
                 last[i] = block[0]
-                bits += word(dc[0], DC, abs(d).bit_length()) + number(d)
+                bits += words[place(i)][abs(d).bit_length()] + number(d)
                 run = 0
                 for k in range(1, 64):
                     if not block[k]:
                         run += 1
                         continue
                     while run > 15:
-                        bits += word(ac[0], AC, 0xF0)
+                        bits += words[0x10 + place(i)][0xF0]
                         run -= 16
-                    bits += word(ac[0], AC, run << 4 | abs(block[k]).bit_length()) + number(block[k])
+                    bits += words[0x10 + place(i)][run << 4 | abs(block[k]).bit_length()] + number(block[k])
                     run = 0
                 if run:
-                    bits += word(ac[0], AC, 0)
+                    bits += words[0x10 + place(i)][0]
     return b"".join([*out, flush(bits), b"\xff\xd9"])
 
 
@@ -80,13 +92,23 @@ def slow_grey(plane, quantiser):
     return np.clip(np.concatenate(rows), 0, 255)
 
 
+def test_the_standard_tables_are_whole():
+    """Each kind has every symbol once, and its code words leave only the one of all ones."""
+    pairs = sorted([0x00, 0xF0, *[run << 4 | size for run in range(16) for size in range(1, 11)]])
+    for name, (counts, symbols) in media.STANDARD.items():
+        assert sum(counts) == len(symbols) and sorted(symbols) == (pairs if name >= 0x10 else list(range(12)))
+        assert sum(n << (16 - length) for length, n in enumerate(counts, 1)) < 1 << 16
+
+
+@pytest.mark.parametrize("standard", [False, True])
 @pytest.mark.parametrize(("sampling", "restart"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
-def test_pictures_of_other_writers(sampling, restart):
+def test_pictures_of_other_writers(sampling, restart, standard):
     draw = random.Random(4)
     quantiser = [1 + k // 3 for k in range(64)]
     block = lambda: [draw.randrange(-60, 60), *[draw.choice([0] * draw.choice((3, 40)) + [draw.randrange(-9, 10)]) for _ in range(63)]]
     planes = [[[block() for _ in range(3 * h)] for _ in range(2 * v)] for h, v in sampling]
-    data = encode(planes, quantiser, sampling, restart)
+    data = encode(planes, quantiser, sampling, restart, standard)
+    assert (b"\xff\xc4" in data[:200]) is not standard
     want = slow_grey(planes[0], quantiser)
     (frames,) = media.read_media([media.avi([data, data], 2)])
     assert len(frames) == 2 and frames[0].shape == (want.shape[0] - 3, want.shape[1] - 5)
@@ -135,3 +157,12 @@ def test_equal_ids_and_payloads_keep_their_urls(spark, tmp_path):
     found = warc.assemble(warc.read(spark, f"file://{tmp_path}/w"))
     assert sorted((r.response.target_uri, r.request.target_uri, r.response.type) for r in found.collect()) == [("http://a/", "http://a/", "response"), ("http://b/", "http://b/", "response"), ("http://c/", "http://c/", "revisit")]
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.captures(found).collect()) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_ids_that_are_text(spark, tmp_path):
+    big = "<p>" + "x" * 200
+    ids = ["p1", "p 2\r\npage-id: 9", "é", "", "-7", None]
+    pages = spark.createDataFrame([(i, "http://h", big) for i in ids], "page_id string, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    out = {r.page_id: (r.record_type, r.refers_to) for r in warc.captures(warc.assemble(warc.read(spark, f"file://{tmp_path}/w")), "string").collect()}
+    assert out == {i: ("response", None) if i == "" else ("revisit", "") for i in ids}
