@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import __version__, genome
+from . import __version__, genome, payloads
 from .functions import cells
 from .sources import catalog
 
@@ -47,7 +47,7 @@ def _assemblies(spark: SparkSession, path: str) -> DataFrame:
 
 def _aligned(rows: list[tuple[str, ...]]) -> list[str]:
     """Rows as lines whose columns are as wide as their longest cell."""
-    wide = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    wide = [max(map(len, column)) for column in zip(*rows, strict=True)] if rows else []
     return ["  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in rows]
 
 
@@ -73,32 +73,33 @@ def run(spark: SparkSession, argv: list[str]) -> int:
                 record = genome.register_assembly(spark, args.assembly, args.source, args.data, args.sha256, args.force)
             else:
                 record = genome.register(spark, args.assembly, args.data, _assemblies(spark, args.table) if args.table else None, args.force)
-            return say(record, f"registered {args.assembly}")
+            where = genome.Place(args.data or genome.data_dir(spark), args.assembly)
+            return say(payloads.registered(record, args.assembly, where.path), f"registered {args.assembly}")
         if args.command in ("register-gtf", "register-annotation"):
             how = (not args.no_check_chromosomes, ("transcript",) * args.infer_transcripts + ("gene",) * args.infer_genes, args.force)
             if args.command == "register-gtf":
                 record = genome.Genome(spark, args.assembly, args.data).register_gtf(args.name, args.gtf, *how)
             else:
                 record = genome.Genome(spark, args.assembly, args.data, offered=catalog.table(spark, args.table, flags=("default",))).register_annotation(args.name, *how)
-            return say(record, f"registered {args.name} of {args.assembly}")
+            where = genome.Place(args.data or genome.data_dir(spark), args.assembly)
+            return say(payloads.registered(record, args.assembly, where.annotation(args.name)), f"registered {args.name} of {args.assembly}")
         if args.command == "annotations":
             offered = catalog.table(spark, args.table, flags=("default",)) if args.table else None
             opened = genome.Genome(spark, args.assembly, args.data, offered=offered)
-            rows = opened.annotation_status().orderBy(F.col("ord").isNull(), "ord", "name").collect()
-            lines = [*_aligned([(r.name, r.state) for r in rows]), opened.default_summary()]
-            return say({"assembly": args.assembly, "default_annotation": opened.default_annotation, "annotations": [r.asDict() for r in rows]}, "\n".join(lines))
+            found = payloads.annotations(opened)
+            states = {r.name: r.state for r in opened.annotation_status().collect()}
+            lines = _aligned([(r["name"], states[r["name"]], *([r["problem"], f"`{r['repair']}`"] if r["broken"] else ["", ""])) for r in found["annotations"]])
+            return say(found, "\n".join([*lines, opened.default_summary()]))
         if args.command == "gene-list":
-            ids = genome.Genome(spark, args.assembly, args.data).gene_list(args.category, catalog.checked_gene_lists(spark, args.lists), args.annotation)
-            print(f"{len(ids)} genes of {args.category}", file=sys.stderr)
-            return say({"assembly": args.assembly, "category": args.category, "gene_ids": ids}, "\n".join(ids))
+            found = payloads.gene_list(genome.Genome(spark, args.assembly, args.data), args.category, catalog.checked_gene_lists(spark, args.lists), args.annotation)
+            print(f"{len(found['gene_ids'])} genes of {args.category}", file=sys.stderr)
+            return say(found, "\n".join(found["gene_ids"]))
         if args.command == "gene-categories":
-            opened = genome.Genome(spark, args.assembly, args.data)
-            found = opened.gene_lists(catalog.checked_gene_lists(spark, args.lists), args.annotation)
-            name = args.annotation or opened.default_annotation
-            lines = [f"categories of {name} of {args.assembly}", *_aligned([(c, str(len(ids))) for c, ids in found.items()])]
-            return say({"assembly": args.assembly, "annotation": name, "categories": [{"category": c, "gene_ids": ids} for c, ids in found.items()]}, "\n".join(lines))
+            found = payloads.gene_lists(genome.Genome(spark, args.assembly, args.data), catalog.checked_gene_lists(spark, args.lists), args.annotation)
+            lines = [f"categories of {found['annotation']} of {args.assembly}", *_aligned([(c["category"], str(len(c["gene_ids"]))) for c in found["categories"]])]
+            return say(found, "\n".join(lines))
         if args.command == "verify":
-            out = genome.verify_assembly(spark, args.assembly, args.fasta, args.sha256, args.data)
+            out = payloads.verified(spark, args.assembly, args.fasta, args.sha256, args.data)
             text = f"{args.assembly}: {'verified' if out['verified'] else 'nothing to verify against'} {out['sha256']}"
             return say(out, text + (f"\ncomponents: {out['components']}" if out["components"] else ""))
         row = genome.table_row(spark, args.assembly, _assemblies(spark, args.table), args.source, args.data)

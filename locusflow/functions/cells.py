@@ -79,14 +79,11 @@ def disagreement_sentence(file: Column, expected: Column, actual: Column) -> Col
 
 
 def default_sentence(assembly: Column, default: Column, broken: Column, registered: Column, repair: Column) -> Column:
-    """What is said of the default annotation: none, broken with the ``repair`` that its own row has, registered, or how to register it."""
-    name = F.concat(F.lit("default: "), default)
-    return (
-        F.when(default.isNull(), F.lit("default: (none)"))
-        .when(broken, F.concat(name, F.lit(" is broken here; repair it with `"), repair, F.lit("`")))
-        .when(registered, name)
-        .otherwise(F.concat(name, F.lit(" is not registered here; register it with `"), register_command(assembly, default), F.lit("`")))
-    )
+    """The default annotation, and, where it can't be used as it is, the command to run: its own row's ``repair``, or its registration."""
+    command = F.when(broken, repair).when(~registered, register_command(assembly, default))
+    state = F.when(broken, "broken").when(~registered, "absent")
+    named = F.concat_ws(", ", default, F.concat(state, F.lit(": run "), command))
+    return F.concat(F.lit("default annotation: "), F.when(default.isNull(), "none").otherwise(named))
 
 
 # The reasons that a record gives for a check that wasn't made.
@@ -113,8 +110,18 @@ def without_fasta_suffix(name: Column) -> Column:
     return F.when(name.rlike(known), F.regexp_replace(name, known, "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*\z", ""))
 
 
-# Fixed value: where an assembly's FASTA is unless its row says otherwise.
-GOLDEN_PATH = "https://hgdownload.soe.ucsc.edu/goldenPath/%s/bigZips/%s.fa.gz"
+# The folder of an assembly's files, and where its FASTA is in it unless its row says otherwise.
+ASSEMBLY_FOLDER = "https://hgdownload.soe.ucsc.edu/goldenPath/%s/"
+GOLDEN_PATH = ASSEMBLY_FOLDER + "bigZips/%s.fa.gz"
+
+
+def assembly_url(ucsc_name: Column) -> Column:
+    return F.format_string(ASSEMBLY_FOLDER, ucsc_name)
+
+
+def fasta_url(pinned: Column, ucsc_name: Column) -> Column:
+    """Where an assembly's FASTA is: where its row says, else where such files are."""
+    return F.coalesce(pinned, golden_path_url(ucsc_name))
 
 
 def golden_path_url(ucsc_name: Column) -> Column:

@@ -66,6 +66,17 @@ def slice_(seq: Column, start: Column | int | None = None, stop: Column | int |
     return F.coalesce(F.when(seq.isNotNull(), F.coalesce(every, F.lit(""))), seq)
 
 
+def index(seq: Column, at: Column) -> Column:
+    """The character at a place as Python has it, from the end for a negative one; null where there is none, see :func:`index_error`."""
+    place = F.when(at < 0, at + F.length(seq)).otherwise(at)
+    return F.when(index_error(seq, at).isNull(), F.substring(seq, place.cast("int") + 1, F.lit(1)))
+
+
+def index_error(seq: Column, at: Column) -> Column:
+    n = F.length(seq)
+    return F.when((at >= n) | (at < -n), F.concat(F.lit("no place "), at.cast("string"), F.lit(" in "), n.cast("string")))
+
+
 def as_repr(seq: Column, alphabet: str = "dna") -> Column:
     name = {"dna": "DNA", "rna": "RNA", "protein": "Protein"}[alphabet]
     return F.concat(F.lit(f"{name}('"), seq, F.lit("')"))

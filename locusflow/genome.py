@@ -22,6 +22,7 @@ from .operators import records as record_ops
 from .publication import Build, check_registration, read_record, write_record
 from .regions import Region, parse
 from .sources import catalog, fasta, gtf
+from .values import DNA
 
 SEQUENCES, SIZES, FASTA, FEATURES, LINES, MERGED = "store", "sizes", "fasta", "features", "lines", "merged"
 __all__ = ["Genome", "Place", "check_registration", "data_dir", "read_record", "register", "register_assembly", "resolve_source", "reverse_complement", "table_row", "verify_assembly", "write_record"]
@@ -208,11 +209,11 @@ class Genome:
         known = [r.chrom for r in self.sizes.orderBy("ord").limit(5).collect()]
         return f"unknown chromosome {chrom!r}: {self.place.assembly} has {', '.join(known)}, ..."
 
-    def fetch_sequence(self, locus: str | Region, strand: str | None = None, masked: bool = True) -> str:
+    def fetch_sequence(self, locus: str | Region, strand: str | None = None, masked: bool = True) -> DNA:
         """The bases of one locus; what is wrong with it is raised."""
         found = self.resolve(locus, strand)
         asked = self.spark.createDataFrame([(0, found.chrom, found.start, found.end, found.strand)], "rid long, chrom string, start long, end long, strand string")
-        return self.fetch(asked, masked).first().bases
+        return DNA(self.fetch(asked, masked).first().bases)
 
     def shape(self) -> dict:
         return shape.genome_shape(self.sizes).first().asDict()
@@ -422,6 +423,31 @@ class Genome:
         offered = self.spark.createDataFrame([], "assembly string, name string, ord int") if offered is None else offered.filter(F.col("assembly") == self.place.assembly).select("assembly", "name", "ord")
         return annotation_ops.status(offered, here.filter("NOT wrong"), here.filter("wrong"))
 
+    def annotation_report(self) -> list[dict]:
+        """The rows of :meth:`annotation_status` with what the table says of each, where it is, what is wrong with it and the command that repairs it.
+
+        The records of all annotations here are read by one query.
+        """
+        place, default, states = f"{self.place.path}/gtf", self.default_annotation, self.registry()
+        rows = self.annotation_status()
+        if self.offered is not None:
+            known = [c for c in ("provider", "version", "url", "sha256") if c in self.offered.columns]
+            mine = self.offered.filter(F.col("assembly") == self.place.assembly).groupBy("name").agg(*[F.min_by(c, "ord").alias(c) for c in known])
+            rows = rows.join(mine, "name", "left")
+        held = {}
+        if any(state in ("finished", "mismatch") for state in states.values()):
+            found = catalog.records(self.spark, f"{place}/*/{catalog.RECORD_NAME}").select("name", "source_url", F.get_json_object("details", "$.merged_from").isNotNull().alias("merged"))
+            held = {r.name: r for r in found.collect()}
+        text = lambda c: F.col(c).cast("string")
+        kept = self.spark.createDataFrame([(n, r.source_url, r.merged) for n, r in held.items()], "name string, _source string, _merged boolean")
+        repair = cells.repair_command(text("assembly"), text("name"), F.coalesce("_merged", F.lit(False)), F.col("offered"), text("_source"))
+        wrong = {"unfinished": "holds files but no record", "mismatch": "disagrees with its record", "fresh": "is empty"}
+        out = rows.join(F.broadcast(kept), "name", "left").withColumn("repair", F.when(F.col("broken"), repair)).drop("_source", "_merged")
+        return [
+            r.asDict() | {"default": r.name == default, "path": f"{place}/{r.name}" if r.registered else None, "problem": f"{place}/{r.name} {wrong[states[r.name]]}" if r.broken else None}
+            for r in out.orderBy(F.col("ord").isNull(), "ord", "name").collect()
+        ]
+
     @property
     def default_annotation(self) -> str | None:
         """The one said at opening, else the first that the table flags, else the sole registered one."""
@@ -520,7 +546,7 @@ def verify_assembly(spark: SparkSession, assembly: str, fasta_path: str | None =
     if want and got != want:
         raise errors.ChecksumMismatchError(f"{held}: expected {want}, got {got}")
     components = Genome(spark, assembly, root).component_status() if record and record["details"].get("components") else None
-    return {"assembly": assembly, "sha256": got, "expected_from": "table" if expected else "record" if want else None, "verified": want is not None, "components": components}
+    return {"assembly": assembly, "fasta": held, "sha256": got, "expected": want, "expected_from": "table" if expected else "record" if want else None, "verified": want is not None, "components": components}
 
 
 def table_row(spark: SparkSession, assembly: str, table: DataFrame, source: str | None = None, root: str | None = None) -> dict:

@@ -43,6 +43,11 @@ def bare_spellings(asked: DataFrame, chromosomes: DataFrame, sep: Column) -> Dat
     return asked.join(bare, "name").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "spelling"))), lambda x: x["spelling"]).alias("spellings"))
 
 
+def separator_mismatch(chromosomes: DataFrame, given: Column) -> DataFrame:
+    """(given, derived) where a separator isn't the one that the chromosomes' names derive; a shorter one would come apart all the same."""
+    return separator_of(chromosomes).select(given.alias("given"), F.col("separator").alias("derived")).filter("given <> derived")
+
+
 def not_round_tripping(chromosomes: DataFrame, sep: Column) -> DataFrame:
     """(component, chrom) whose suffixed spelling doesn't come apart into them again."""
     chrom, component = names.split_suffixed(names.suffixed(F.col("chrom"), F.col("component"), sep), sep)

@@ -39,6 +39,18 @@ _scalar("rna_reverse_complement", lambda c: sequence.reverse_complement(c, "rna"
 _scalar("seq_gc_content", sequence.gc_content, "CASE WHEN length(seq) = 0 THEN 0.0::DOUBLE ELSE (length(seq) - length(translate(seq, 'GCgc', ''))) / length(seq) END")
 _scalar("seq_slice", lambda c: sequence.slice_(c, 5, -5), "substring(seq, 6, greatest(0, length(seq) - 10))")
 _scalar("seq_slice_step", lambda c: sequence.slice_(c, 40, 0, -3), "coalesce(array_to_string([substring(seq, i + 1, 1) FOR i IN range(least(40, length(seq) - 1), 0, -3)], ''), '')")
+
+
+def seq_index(s: SparkSession, d: str) -> DataFrame:
+    """A place of each sequence, some before its start and some behind its end."""
+    at = F.col("ord") * 7 % 900 - 450
+    return b.sequences(s, d).select("chrom", sequence.index(F.col("seq"), at).alias("base"), sequence.index_error(F.col("seq"), at).alias("error"))
+
+
+_AT = "(ord * 7 % 900 - 450)"
+add("seq_index", seq_index, ["sequences"],
+    f"""SELECT chrom, CASE WHEN {_AT} >= -length(seq) AND {_AT} < length(seq) THEN substring(seq, CASE WHEN {_AT} < 0 THEN {_AT} + length(seq) ELSE {_AT} END + 1, 1) END AS base,
+  CASE WHEN {_AT} < -length(seq) OR {_AT} >= length(seq) THEN 'no place ' || {_AT} || ' in ' || length(seq) END AS error FROM sequences""")
 _scalar("seq_repr", sequence.as_repr, "'DNA(''' || seq || ''')'")
 _scalar("text_sha256", lambda c: F.sha2(c.cast("binary"), 256), "sha256(seq)")
 for _name, _letters in sequence.ALPHABETS.items():
@@ -114,6 +126,8 @@ add("chimera_split_name", lambda s, d: b.table(s, d, "part").select("p_partkey",
     "SELECT p_partkey, CASE WHEN regexp_full_match(replace(p_name, ' ', '_'), '[A-Za-z0-9]+(_[A-Za-z0-9]+)+') THEN string_split(replace(p_name, ' ', '_'), '_') END AS parts FROM part")
 add("chimera_separator", lambda s, d: naming.separator_of(b.sequences(s, d).withColumn("chrom", F.concat("chrom", F.repeat(F.lit("_"), (F.col("ord") % 4).cast("int")), F.lit("x")))), ["sequences"],
     "SELECT CAST(max(ord % 4) AS INTEGER) AS longest, repeat('_', CAST(greatest(2, max(ord % 4) + 1) AS INTEGER)) AS separator FROM sequences")
+add("chimera_separator_check", lambda s, d: naming.separator_mismatch(b.sequences(s, d).withColumn("chrom", F.concat("chrom", F.repeat(F.lit("_"), (F.col("ord") % 4).cast("int")), F.lit("x"))), F.lit(SEP)), ["sequences"],
+    "SELECT '__' AS given, derived FROM (SELECT repeat('_', CAST(greatest(2, max(ord % 4) + 1) AS INTEGER)) AS derived FROM sequences) WHERE derived <> '__'")
 add("chimera_suffix", lambda s, d: b.sizes(s, d).select("ord", names.suffixed(F.col("chrom"), F.col("component"), F.lit(SEP)).alias("chrom"), names.suffix_pattern(F.lit(SEP)).alias("pattern")), ["sizes"],
     "SELECT ord, chrom || '__' || component AS chrom, '^(?P<chromosome>.+)__(?P<component>[A-Za-z0-9]+)$' AS pattern FROM sizes")
 
@@ -214,9 +228,9 @@ def default_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 add("default_summary", default_summary, ["annotations"], f""", st AS ({_STATUS}), df AS ({_DEFAULT})
-SELECT df.assembly, CASE WHEN default_annotation IS NULL THEN 'default: (none)' WHEN broken THEN 'default: ' || default_annotation || ' is broken here; repair it with `' ||
-    CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 2 = 0 THEN 'register ' || df.assembly WHEN offered THEN 'register-annotation ' || df.assembly || ' ' || name ELSE 'register-gtf ' || df.assembly || ' /gtf/' || name || ' ' || name END || ' --force`'
-  WHEN registered THEN 'default: ' || default_annotation ELSE 'default: ' || default_annotation || ' is not registered here; register it with `register-annotation ' || df.assembly || ' ' || default_annotation || '`' END AS summary
+SELECT df.assembly, 'default annotation: ' || CASE WHEN default_annotation IS NULL THEN 'none' WHEN broken THEN default_annotation || ', broken: run ' ||
+    CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS BIGINT) % 2 = 0 THEN 'register ' || df.assembly WHEN offered THEN 'register-annotation ' || df.assembly || ' ' || name ELSE 'register-gtf ' || df.assembly || ' /gtf/' || name || ' ' || name END || ' --force'
+  WHEN registered THEN default_annotation ELSE default_annotation || ', absent: run register-annotation ' || df.assembly || ' ' || default_annotation END AS summary
 FROM df LEFT JOIN st ON st.assembly = df.assembly AND st.name = default_annotation""")
 add("chromosome_check", lambda s, d: b.table(s, d, "supplier").select("s_suppkey", cells.check_sentence(F.when(F.col("s_suppkey") % 4 != 3, F.col("s_suppkey") % 4 == 0), F.element_at(F.array(F.lit("no-chrom-sizes"), F.lit("caller-override"), F.lit("later")), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("summary")), [],
     """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'chromosomes checked' WHEN s_suppkey % 3 = 0 THEN 'chromosomes not checked: the assembly has no sizes' WHEN s_suppkey % 3 = 1 THEN 'chromosomes not checked: the caller stood the check down' ELSE 'chromosomes not checked: the record does not say why' END AS summary FROM supplier""")
@@ -247,6 +261,9 @@ add("format_table_row", lambda s, d: b.assemblies(s, d).select("ord", cells.tabl
 add("source_urls", lambda s, d: b.assemblies(s, d).select("ord", cells.golden_path_url(F.coalesce("ucsc_name", "assembly_name")).alias("url"), cells.is_url(cells.golden_path_url(F.col("assembly_name"))).alias("is_url"), cells.without_fasta_suffix(F.concat("assembly_name", F.lit(".fa.gz"))).alias("stem")), ["assemblies"],
     "SELECT ord, 'https://hgdownload.soe.ucsc.edu/goldenPath/' || coalesce(ucsc_name, assembly_name) || '/bigZips/' || coalesce(ucsc_name, assembly_name) || '.fa.gz' AS url, true AS is_url, assembly_name AS stem FROM assemblies")
 
+add("assembly_urls", lambda s, d: b.assemblies(s, d).select("ord", cells.assembly_url(F.coalesce("ucsc_name", "assembly_name")).alias("folder"), cells.fasta_url(F.when(F.col("ord") % 3 == 0, F.concat(F.lit("s3://x/"), "assembly_name")), F.coalesce("ucsc_name", "assembly_name")).alias("fasta")), ["assemblies"],
+    """SELECT ord, 'https://hgdownload.soe.ucsc.edu/goldenPath/' || n || '/' AS folder, CASE WHEN ord % 3 = 0 THEN 's3://x/' || assembly_name ELSE 'https://hgdownload.soe.ucsc.edu/goldenPath/' || n || '/bigZips/' || n || '.fa.gz' END AS fasta FROM (SELECT *, coalesce(ucsc_name, assembly_name) AS n FROM assemblies)""")
+
 # --- gene lists ---
 _parts = lambda s, d: genes.contributing(b.contributors(s, d), b.gene_lists(s, d))
 _PJ = "contributors JOIN gene_lists USING (annotation)"

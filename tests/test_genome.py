@@ -6,10 +6,10 @@ import json
 
 import pytest
 
-from locusflow import cli, errors, indexes
+from locusflow import cli, errors, indexes, payloads, values
 from locusflow.genome import Genome, Place, read_record, register, register_assembly, resolve_source, table_row, verify_assembly, write_record
 from locusflow.operators import genes
-from locusflow.regions import Region
+from locusflow.regions import Region, parse
 from locusflow.sources import catalog, fasta, gtf
 from locusflow.streaming import ingest
 
@@ -218,7 +218,7 @@ def test_chimera_fasta_is_verbatim(spark, root):
     want = (suffixed(ODD, "axe") + "\n" + suffixed(TWO, "zed")).encode()
     held = b"".join(p.read_bytes() for p in sorted((root / "genome/axe_zed").glob("build-*/fasta/part-*")))
     assert held == want and both.record["sha256"] == hashlib.sha256(want).hexdigest()
-    assert verify_assembly(spark, "axe_zed", root=str(root)) == {"assembly": "axe_zed", "sha256": hashlib.sha256(want).hexdigest(), "expected_from": "record", "verified": True, "components": "unchanged"}
+    assert verify_assembly(spark, "axe_zed", root=str(root)) == {"assembly": "axe_zed", "fasta": both.part("fasta"), "sha256": both.record["sha256"], "expected": both.record["sha256"], "expected_from": "record", "verified": True, "components": "unchanged"}
     assert both["chrA__axe:4-8"] == "ACGT" and both["c_1__axe"] == "AAA"
 
 
@@ -372,7 +372,7 @@ def test_cli_lists_and_rows(spark, root, capsys):
     (root / "none/x.json").write_text(json.dumps({"annotation": "x", "assembly": "two", "categories": {"c": {"description": "d", "source": "s", "gene_ids": ["g"]}}}))
     assert cli.run(spark, [*data, "gene-categories", "two", "--lists", f"{root}/none/*.json"]) == 1
     capsys.readouterr()
-    assert cli.run(spark, [*data, "annotations", "two"]) == 0 and capsys.readouterr().out == "atwo  registered, not offered\ndefault: atwo\n"
+    assert cli.run(spark, [*data, "annotations", "two"]) == 0 and capsys.readouterr().out == "atwo  registered, not offered\ndefault annotation: atwo\n"
     assert cli.run(spark, [*data, "verify", "axe_two"]) == 0 and capsys.readouterr().out.endswith("components: unchanged\n")
     (root / "t.tsv").write_text("assembly_name\tspecies\tsource_url\tsha256\ntwo\tyeast\t\told\n")
     assert cli.run(spark, [*data, "table-row", "two", "--table", f"{root}/t.tsv", "--source", f"{root}/two.fa"]) == 0
@@ -380,4 +380,30 @@ def test_cli_lists_and_rows(spark, root, capsys):
     assert cli.run(spark, [*data, "table-row", "axe_two", "--table", f"{root}/t.tsv"]) == 1
     for f in (root / "genome/axe_two/gtf/aaxe+atwo").glob("build-*/features/*"):
         f.unlink()
-    assert Genome(spark, "axe_two", str(root), "aaxe+atwo").default_summary().endswith("is broken here; repair it with `register axe_two --force`")
+    assert Genome(spark, "axe_two", str(root), "aaxe+atwo").default_summary().endswith(", broken: run register axe_two --force")
+    assert cli.run(spark, [*data, "annotations", "axe_two", "--json"]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert list(report) == ["assembly", "directory", "default_annotation", "annotations"] and list(report["annotations"][0]) == list(payloads.STATUS_ROW)
+    assert report["annotations"][0]["repair"] == "register axe_two --force" and report["annotations"][0]["problem"].endswith("disagrees with its record")
+    assert cli.run(spark, [*data, "gene-list", "two", "rRNA", "--lists", f"{root}/a*.json", "--json"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"assembly": "two", "annotation": "atwo", "category": "rRNA", "gene_ids": ["gtwo"], "sources": [{"component": None, "annotation": "atwo", "description": "d", "source": "s", "gene_ids": ["gtwo"]}]}
+    assert cli.run(spark, [*data, "register", "two", "--json"]) == 0
+    assert list(json.loads(capsys.readouterr().out)) == [*payloads.RECORD, "assembly", "directory"]
+
+
+def test_typed_sequences(spark, root):
+    seq = values.DNA("ACgtN")
+    assert isinstance(seq, str) and repr(seq) == "DNA('ACgtN')" and repr(seq[1:3]) == "DNA('Cg')" and repr(seq[-1]) == "DNA('N')" and seq[::-2] == "NgA"
+    assert repr(seq.reverse_complement()) == "DNA('NacGT')" and repr(seq.transcribe()) == "RNA('ACguN')" and seq.gc_content() == 0.4 and values.DNA("").gc_content() == 0.0
+    assert repr(seq.transcribe().back_transcribe()) == "DNA('ACgtN')" and values.RNA("ACU").complement() == "UGA" and values.RNA.outside("ATCN") == ["N", "T"] and values.Protein.outside("MKZ") == ["Z"]
+    with pytest.raises(IndexError):
+        seq[5]
+    with pytest.raises(TypeError):
+        values.Sequence("ACGT")
+    assert repr(Genome(spark, "two", str(root))["chrA:8-12"]) == "DNA('acgt')"
+
+
+@pytest.mark.parametrize("text", ["c:1", "c:1-", "c:-1", "c:1-2-3", ":1-2", "a:b", "c:1-2:", "c:,-2", "c:1.5-2", "a\nb:1-2", "c:\u0661-2"])
+def test_loci_that_are_none(text):
+    with pytest.raises(errors.RegionError):
+        parse(text)
