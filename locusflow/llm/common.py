@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,39 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import checkpoint_dir, checkpointed
+
+__all__ = ["checkpoint_dir", "checkpointed"]
+
 #: ASCII white space as the operators' contracts define it, and what lies between.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, else a temporary one in local mode.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor the context
-    has a folder is one made, and that only for a local master, where every task shares a disk.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if named:
-        if not current:
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not current:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="locusflow-checkpoint-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 class Scratch:
     """Tables of one operator's run in the shared checkpoint folder, each dropped once nothing reads it any more."""
 
