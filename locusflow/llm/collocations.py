@@ -14,14 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, UPPER, Scratch, checkpointed, text_or_empty
+from .common import LOWER, UPPER, Scratch, checkpointed, may_hold, sieve, text_or_empty
 
 #: Where pieces end, and white space between words (fixed values).
 ENDS = ".,;:!?\n\x0b\x0c\r"
 
-#: Bits of a sieve: 64 for each entry of an array of fixed length (2 MB), however many phrases it holds.
-SIEVE_BITS = 1 << 24
-
 
 def tokens(text: Column) -> Column:
     """Words of a text in lower case (A-Z alone), a line end for each end of a piece; words hold no line end."""
@@ -29,24 +26,6 @@ def tokens(text: Column) -> Column:
     return F.split(F.trim(F.replace(flat, F.lit("\n"), F.lit(" \n "))), " +")
 
 
-def _sieve(named: DataFrame) -> Column:
-    """An array of longs, as a subquery: bit h % 64 of entry h / 64 is set for the hash h of each (lang, phrase) of ``named``."""
-    words = SIEVE_BITS // 64
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    set_ = named.select(_spot("lang", "phrase").alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(bit).alias("b"))
-    dense = named.sparkSession.range(0, words, 1, 1).join(set_, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
-    return dense.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("a")).select(F.col("a.b")).scalar()
-
-
-def _spot(lang: str | Column, phrase: str | Column) -> Column:
-    return F.pmod(F.xxhash64(lang, phrase), F.lit(SIEVE_BITS)).cast("long")
-
-
-def _may_hold(bits: Column, lang: Column, phrase: Column) -> Column:
-    spot = _spot(lang, phrase)
-    return F.getbit(F.get(bits, F.shiftright(spot, 6).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1
-
-
 def _pairs(docs: DataFrame, k: int) -> DataFrame:
     """(lang, first, last) for each place where k words stand in one piece: its first and its last k - 1 words."""
     at = docs.select("lang", "words", F.posexplode("words").alias("pos", "w0"))
@@ -71,8 +50,8 @@ def levels(docs: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple
     below = scratch.table(below, "named-1")
     every = below
     for k in range(2, longest + 1):
-        bits = _sieve(below)
-        places = _pairs(docs, k).filter(_may_hold(bits, F.col("lang"), F.col("first")) & _may_hold(bits, F.col("lang"), F.col("last")))
+        bits = sieve(below.select(F.xxhash64("lang", "phrase")))
+        places = _pairs(docs, k).filter(may_hold(bits, F.xxhash64("lang", "first")) & may_hold(bits, F.xxhash64("lang", "last")))
         often = places.groupBy("lang", "first", "last").agg(F.count("*").alias("a")).filter(F.col("a") >= least)
         half = lambda name, id_, n: below.select("lang", F.col("phrase").alias(name), F.col("id").alias(id_), F.col("a").alias(n))  # noqa: B023, E731
         pairs = scratch.table(often, f"pairs-{k}").join(half("first", "p", "pa"), ["lang", "first"]).join(half("last", "q", "qa"), ["lang", "last"])

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..scratch import checkpoint_dir, checkpointed
-
-__all__ = ["checkpoint_dir", "checkpointed"]
+from ..scratch import checkpoint_dir as checkpoint_dir
+from ..scratch import checkpointed as checkpointed
 
 #: ASCII white space as the operators' contracts define it, and what lies between.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,6 +96,24 @@ def numbered(df: DataFrame, keys: list[str], name: str, scratch: Scratch) -> Dat
     return own.join(before, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part", "_at")
 
 
+#: Bits of a sieve: 64 for each entry of an array of fixed length (2 MB), however many hashes it holds.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(hashes: DataFrame) -> Column:
+    """A set of the hashes in the one long column of ``hashes``, as a subquery of fixed size: see :func:`may_hold`."""
+    spot = F.pmod(F.col(hashes.columns[0]), F.lit(SIEVE_BITS)).cast("long")
+    held = hashes.select(spot.alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    dense = hashes.sparkSession.range(0, SIEVE_BITS // 64, 1, 1).join(held, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return dense.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("a")).select(F.col("a.b")).scalar()
+
+
+def may_hold(bits: Column, hash_: Column) -> Column:
+    """False only for hashes that a sieve doesn't hold; the fuller it is, the more others pass."""
+    spot = F.pmod(hash_, F.lit(SIEVE_BITS)).cast("long")
+    return F.getbit(F.get(bits, F.shiftright(spot, 6).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1
+
+
 def slices(batch, column: str, most: int) -> Iterator:
     """Consecutive slices of a batch, each of about ``most`` bytes in ``column`` or of one row."""
     import pyarrow.compute as pc

@@ -3,8 +3,9 @@
 The benchmark's windows (runs of ``n`` words, or a whole shorter item) are the hash set. It is
 shipped to every task as literals if it has at most ``set_windows`` members, which is checked by
 counting; each training text then looks up the 64-bit hash of each of its windows, and a hit is
-verified on the words themselves, all within one narrow pass. A larger set's hashes are joined by
-shuffle with those of all positions, and the few that meet are verified on the words.
+verified on the words themselves, all within one narrow pass. Of a larger set a sieve of fixed size
+goes to every task; the positions whose hashes pass it are joined by shuffle with the set's, and
+what meets is verified on the words.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, text_or_empty, without
+from .common import checkpointed, lower_ascii, may_hold, sieve, text_or_empty, without
 
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "windows")
 #: Between words: ASCII other than digits and letters (the text is in lower case by then).
@@ -118,13 +119,15 @@ def hits(docs: DataFrame, windows: DataFrame, set_windows: int = 200_000, text_c
     hashed = worded(docs)
     for step in steps:
         hashed = hashed.withColumns(step)
-    at = [F.expr(f"transform({names[k]}, (h, i) -> struct(h AS hash, i AS pos, {k} AS len))") for k in lengths]
-    spots = hashed.select("row", F.explode(F.concat(*at)).alias("x")).select("row", "x.*")
     looked = None
     for k in lengths:
         mine = windows.filter(F.col("len") == k).select(window_hash(F.split("window", " "), k).alias("hash"), "len")
         looked = mine if looked is None else looked.unionByName(mine)
-    held = spots.join(checkpointed(looked.distinct()), ["hash", "len"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("spots"))
+    looked = checkpointed(looked.distinct())
+    bits = sieve(looked.select("hash"))
+    at = [F.expr(f"transform({names[k]}, (h, i) -> struct(h AS hash, i AS pos, {k} AS len))") for k in lengths]
+    spots = hashed.select("row", F.explode(F.concat(*at)).alias("x")).select("row", "x.*").filter(may_hold(bits, F.col("hash")))
+    held = spots.join(looked, ["hash", "len"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("spots"))
     spelled = F.transform("spots", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), F.array_join(F.slice("_w", x["pos"] + 1, x["len"]), " ").alias("window")))
     both = worded(docs.join(held, "row", "left"))
     return both.select("record.*", "n_words", F.coalesce(spelled, F.array().cast("array<struct<pos:int,len:int,window:string>>")).alias("windows"))
@@ -199,6 +202,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, set_windows
     pieces = F.split(text_col, r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])")
     lead = F.when(F.element_at(pieces, 1).rlike(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z"), 1).otherwise(0)
     gone = F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
-    kept = F.array_join(F.filter(F.transform(F.col("_pieces"), lambda p, i: F.struct(p.alias("p"), (i - F.col("_lead")).alias("i"))), lambda x: ~F.array_contains(F.col("_gone"), x["i"]))["p"], "")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - F.col("_lead") - 1), F.col("_gone"))
+    kept = F.array_join(F.concat(F.slice("_pieces", 1, F.col("_lead")), F.transform(left, lambda i: F.element_at("_pieces", i + F.col("_lead") + 1))), "")
     cut = found.withColumns({"_pieces": pieces, "_lead": lead, "_gone": gone}).withColumn(text_col, F.when(F.size("windows") > 0, kept).otherwise(F.col(text_col)))
     return cut.select(*[F.col(text_col) if c == text_col else F.col(f"_record.`{c}`") for c in columns])

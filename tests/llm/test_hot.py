@@ -93,3 +93,20 @@ def test_a_large_benchmark(spark):
     assert left == set(range(300)) - set(want)
     cut = Counter(len(r.text.split()) for r in decontamination.remove_spans(table, bench).collect())
     assert cut == Counter({40: 200, 49: 100})
+
+
+def test_long_contaminated_text_is_cut_in_proportion(spark):
+    """Four times the words take at most some eight times as long; asking a list for each word took sixteen."""
+    import time
+
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def seconds(n):
+        docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(f"x {item}, y. "), n).alias("text"))
+        begin = time.time()
+        assert decontamination.remove_spans(docs, bench).first().text == "x y. " * n
+        return time.time() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 8 * seconds(4_000) + 3
