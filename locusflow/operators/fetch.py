@@ -82,10 +82,9 @@ def fetch(regions: DataFrame, store: DataFrame, key: str = "rid", tile: int = TI
     wrong = F.col("error").isNotNull() if checked else F.col("size").isNull()
     asked = regions.withColumns({"_a": start, "_b": end, "_wrong": wrong})
     spans = asked.filter(~F.col("_wrong") & (F.col("_b") > F.col("_a"))).select(key, "chrom", "_a", "_b", F.expr(f"_a div {tile}").alias("_first"), F.expr(f"(_b - 1) div {tile}").alias("_last"))
-    some = spans.limit(BROADCAST_ASKED + 1)
-    n, n_tiles = some.agg(F.count("*"), F.sum(F.col("_last") - F.col("_first") + 1)).first()
+    n, n_tiles = spans.agg(F.count("*"), F.sum(F.col("_last") - F.col("_first") + 1)).first()
     if n <= pruned:
-        store = only_asked(store, [(r.chrom, r._first, r._last) for r in some.select("chrom", "_first", "_last").collect()])
+        store = only_asked(store, [(r.chrom, r._first, r._last) for r in spans.select("chrom", "_first", "_last").collect()])
     wanted = spans.select(key, "chrom", "_a", "_b", F.explode(F.sequence("_first", "_last")).alias("tile"))
     wanted = F.broadcast(wanted) if (n_tiles or 0) <= BROADCAST_ASKED else wanted
     columns = ("packed", "other", "masked", "bases") if "packed" in store.columns else ("bases",)
@@ -96,9 +95,9 @@ def fetch(regions: DataFrame, store: DataFrame, key: str = "rid", tile: int = TI
     pieces_ = found.select(key, "tile", piece.alias("_piece"))
     # Regions and their pieces come together by one exchange; a region without any piece is still there.
     kept = [c for c in asked.columns if c not in (key, "_a", "_b")]
-    both = asked.select(key, *kept, F.lit(None).cast("long").alias("tile"), F.lit(None).cast("string").alias("_piece")).unionByName(pieces_, allowMissingColumns=True)
+    both = asked.select(key, F.struct(*kept).alias("_row"), F.lit(None).cast("long").alias("tile"), F.lit(None).cast("string").alias("_piece")).unionByName(pieces_, allowMissingColumns=True)
     ordered = F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("tile", "_piece"))))
-    joined = both.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept], F.array_join(F.transform(ordered, lambda x: x["_piece"]), "").alias("_found"))
+    joined = both.groupBy(key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_join(F.transform(ordered, lambda x: x["_piece"]), "").alias("_found")).select(key, "_row.*", "_found")
     bases = F.when(~F.col("_wrong"), F.col("_found"))
     bases = bases if masked else sequence.unmasked(bases)
     strand = F.when(F.col("strand") == "-", sequence.reverse_complement(bases)).otherwise(bases)
