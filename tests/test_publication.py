@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import uuid
 
 import pytest
 
@@ -116,9 +117,10 @@ def test_proven_lines_of_an_annotation(spark, root):
 
 
 def jobs(spark, what):
-    spark.sparkContext.setJobGroup(what.__name__ + str(id(what)), "counted")
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
     out = what()
-    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(what.__name__ + str(id(what))))
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return out, n
 
