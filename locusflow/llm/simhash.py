@@ -184,7 +184,8 @@ SIZE, SIMILARITY = 5, 0.8
 #: differ in 0.15 of the bits, so a segment in at most one bit with a chance of 0.28, and none does with one of 0.0015.
 SEGMENTS, WIDTH, LONGS = 20, 16, 6
 NEAR_BITS, MOST_BITS = 20, 84  # of 64 and of 384: 3.6 deviations above what similarity 0.8 gives
-BLOCK, WAVE = 1 << 16, 64
+BLOCK = 1 << 16
+FEW, PART_ROWS = 8, 4096  # nodes of a key of which all pairs are compared at once; nodes of a part of a larger key
 _STEPS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LONGS = [f"b{i}" for i in range(LONGS)]
 SKETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("content", "node", *_LONGS)] + [T.StructField("words", T.BooleanType())])
@@ -230,87 +231,132 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("id", "content", "text").mapInArrow(each, T.StructType([docs.schema["id"], *SKETCH.fields]))
 
 
-def segment_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, near): each segment with each of its bits struck out, 320 keys a node; near is the last long."""
+def segment_keys(nodes: DataFrame, *more: str) -> DataFrame:
+    """(key, node, near) and ``more``: each segment with each of its bits struck out, 320 keys a node; near is the last long."""
     per, mask = 64 // WIDTH, (1 << WIDTH) - 1
     cuts = ", ".join(f"cast(shiftrightunsigned(b{s // per}, {WIDTH * (s % per)}) & {mask}L as int)" for s in range(SEGMENTS))
     masks = ", ".join(str(mask ^ (1 << b)) for b in range(WIDTH))
     nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # 320 rows come of each
     variants = f"transform(array({cuts}), (c, s) -> transform(array({masks}), (m, b) -> (c & m) | shiftleft(s * {WIDTH} + b, {WIDTH})))"
-    return nodes.select(F.explode(F.flatten(F.expr(variants))).alias("key"), "node", F.col(f"b{LONGS - 1}").alias("near"))
+    return nodes.select(F.explode(F.flatten(F.expr(variants))).alias("key"), "node", F.col(f"b{LONGS - 1}").alias("near"), *more)
 
 
-def _blocks(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted rows (key, node, near) in runs of whole keys; a key of over ``BLOCK`` rows comes in several."""
-    held = [np.zeros(0, np.int64)] * 3
+def _blocks(batches: Iterator) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by their first column, a key, in runs of whole keys; a key of over ``BLOCK`` rows comes in several."""
+    held = None
     for batch in batches:
-        rows = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for c, h in enumerate(held)]
+        rows = [batch.column(c).to_numpy().astype(np.int64) for c in range(batch.num_columns)]
+        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
         n = len(rows[0])
         cut = int(np.searchsorted(rows[0], rows[0][-1])) if n else 0
         if n - cut >= BLOCK:
             cut = n
         if cut:
-            yield tuple(r[:cut] for r in rows)
+            yield [r[:cut] for r in rows]
         held = [r[cut:] for r in rows]
-    if len(held[0]):
-        yield tuple(held)
+    if held and len(held[0]):
+        yield held
 
 
 def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count((left ^ right).view(np.uint64)) <= NEAR_BITS
 
 
-def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of one key that are near.
 
-    All pairs are compared where ``WAVE`` nodes or fewer share a key. Of more, the first that is
-    left takes all near ones away with it, in an order that differs by key; those meet it and, if
-    they are ``WAVE`` or fewer, each other, else the eight before them.
+    All pairs are compared where ``few`` nodes or less share a key. Of more, the first that is left
+    takes all near ones away with it and meets them; a node of such a key that is near to any other
+    is marked by a pair with itself, as its further pairs are left to :func:`crowded`.
     """
     new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
     size = np.diff(np.append(new, len(key)))
-    few = np.repeat(size <= WAVE, size)
-    at = np.flatnonzero(few)
-    for back in range(1, int(size[size <= WAVE].max(initial=1))):
+    at = np.flatnonzero(np.repeat(size <= few, size))
+    for back in range(1, int(size[size <= few].max(initial=1))):
         at = at[at >= back]
         at = at[key[at] == key[at - back]]
         hit = at[_near(near[at], near[at - back])]
         yield node[hit - back], node[hit]
-    for begin, n in zip(new[size > WAVE].tolist(), size[size > WAVE].tolist(), strict=True):
+    for begin, n in zip(new[size > few].tolist(), size[size > few].tolist(), strict=True):
         ours, marks = node[begin : begin + n], near[begin : begin + n]
-        with np.errstate(over="ignore"):
-            order = np.argsort((ours.view(np.uint64) ^ np.uint64(int(key[begin]) + 1)) * np.uint64(0xD6E8FEB86659FD93))
-        ours, marks = ours[order], marks[order]
-        while len(ours) > 1:
-            hit = _near(marks, marks[:1])
-            group, group_marks = ours[hit], marks[hit]
-            reach = len(group) if len(group) <= WAVE else 9
-            yield np.full(len(group) - 1, group[0]), group[1:]
-            for back in range(1, reach):
-                good = _near(group_marks[back:], group_marks[:-back])
-                yield group[:-back][good], group[back:][good]
-            ours, marks = ours[~hit], marks[~hit]
-
-
-def met(index: DataFrame) -> DataFrame:
-    """(u, v), u < v: nodes that share a key and are near in the last long.
-
-    Keys are sorted over ranges of (key, node), so a frequent key fills several.
+        left = np.arange(n)
+        while len(left):
+            hub, close = left[0], _near(marks, marks[left[0]])
+            taken = close[left]
+            if close.sum() > 1:
+                yield ours[left[taken]], ours[left[taken]]
+                yield np.full(int(taken.sum()) - 1, ours[hub]), ours[left[taken][1:]]
+            left = left[~taken]
+
+
+def met(index: DataFrame, few: int) -> DataFrame:
+    """(u, v), u <= v: nodes that share a key and are near in the last long; u = v marks one that :func:`crowded` has to see.
+
+    Keys are sorted over ranges of (key, node), so a frequent key fills several. Those of a key
+    that may go on in another task, or block, are marked.
     """
     import pyarrow as pa
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            found = list(_met(*block))
+        blocks, last = _blocks(batches), None
+        block = next(blocks, None)
+        while block:
+            after = next(blocks, None)
+            key, node, near = block
+            found = list(_met(key, node, near, few))
+            if last is None or key[0] == last:
+                found.append((node[key == key[0]],) * 2)
+            if after is None or key[-1] == after[0][0]:
+                found.append((node[key == key[-1]],) * 2)
             u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
             if len(u):
                 pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            last, block = key[-1], after
 
     return index.select("key", "node", "near").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u long, v long").distinct()
 
 
+def _across(node: np.ndarray, root: np.ndarray, part: np.ndarray, apart: bool, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different roots among nodes that share a key; ``apart``: and of different parts."""
+    for i in range(len(node) - 1):
+        at = np.flatnonzero((root[i + 1 :] != root[i]) & _near(bits[i + 1 :, -1], bits[i, -1])) + i + 1
+        if apart:
+            at = at[part[at] != part[i]]
+        at = at[np.bitwise_count((bits[at] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= MOST_BITS]
+        yield np.full(len(at), node[i]), node[at]
+
+
+def crowded(nodes: DataFrame, part_rows: int) -> DataFrame:
+    """(u, v), u < v: all pairs of ``nodes`` (node, root, b0-b5) that share a key, are near in all bits and differ in root.
+
+    A key whose nodes have one root has no such pair and goes. Nodes of another are cut into parts
+    of about ``part_rows``, and each pair of parts meets in a task of its own.
+    """
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            starts = np.flatnonzero(np.diff(block[0], prepend=block[0][:1] - 1))
+            found = []
+            for begin, end in zip(starts, np.append(starts[1:], len(block[0])), strict=True):
+                _, apart, node, root, part, *bits = (c[begin:end] for c in block)
+                found += _across(node, root, part, bool(apart[0]), np.stack(bits, axis=1))
+            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            if len(u):
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    rows = segment_keys(nodes, "root", *_LONGS)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part_rows)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = rows.withColumn("other", other).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    place = F.xxhash64("key", "low", "high").alias("place")
+    rows = rows.select(place, F.when(F.col("low") < F.col("high"), 1).otherwise(0).cast("long").alias("apart"), "node", "root", "part", *_LONGS)
+    return rows.repartition("place").sortWithinPartitions("place", "apart").mapInArrow(each, "u long, v long").distinct()
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose texts' shingles have a Jaccard similarity of at least ``similarity``."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "best.content"), "node")
@@ -340,25 +386,31 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
-def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, few: int = FEW, part_rows: int = PART_ROWS) -> DataFrame:
     """(u, v): verified pairs that connect all nodes that candidates of ``similarity`` connect.
 
     ``nodes`` has node, best (with the content of a text), b0-b5 and words; ``texts`` content and
     text. Each node's nearest candidate is verified first; the others only where they would connect
-    what isn't connected then.
+    what isn't connected then. Where over ``few`` nodes share a key, the first stands for those near
+    to it in these two steps; in a third, all pairs of such nodes that aren't connected yet are verified.
     """
-    pairs = scratch.table(met(segment_keys(nodes.filter("words"))), "met")
+    found = scratch.table(met(segment_keys(nodes.filter("words")), few), "met")
     sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
     differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    pairs = scratch.table(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS), "candidates")
-    scratch.drop("met")
+    pairs = found.filter("u < v").join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS)
+    pairs = scratch.table(pairs, "candidates")
     first = scratch.table(pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select(F.col("x.u").alias("u"), "v"), "first")
     edges = verified(first, nodes, texts, scratch, "edges", similarity)
     roots = scratch.table(components(edges), "roots")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     rest = scratch.table(rest.select("u", "v").join(first, ["u", "v"], "left_anti"), "rest")
-    return edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
+    edges = edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
+    marked = found.filter("u = v").select(F.col("u").alias("node")).join(nodes.select("node", *_LONGS), "node")
+    joined = scratch.table(components(edges), "joined")
+    marked = scratch.table(marked.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "marked")
+    last = scratch.table(crowded(marked, part_rows).join(pairs, ["u", "v"], "left_anti"), "last")
+    return edges.unionByName(verified(last, nodes, texts, scratch, "last-edges", similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +433,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     same = lambda x, y: (x["content"] == y["content"]) & x["id"].eqNullSafe(y["id"])
     rows = rows.alias("r").join(heads.withColumn("kept", F.lit(True)).alias("h"), same(rows, heads), "left").select("r.id", "r.content", "n", "kept")
     rows = scratch.table(rows.filter("kept IS NULL OR n > 1"), "rows")  # those that go, and those of which one row stays
-    scratch.drop("sketches", "nodes", "candidates", "first", "roots", "rest", "edges", "more-edges", "edges-texts", "more-edges-texts")
+    edges = [f"{n}{x}" for n in ("edges", "more-edges", "last-edges") for x in ("", "-texts")]
+    scratch.drop("sketches", "nodes", "met", "candidates", "first", "roots", "rest", "joined", "marked", "last", *edges)
     known = lambda which: _small(rows.filter(which).select(F.col("id").alias("_gone_id"), F.col("content").alias("_gone_content")))
     boxed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.struct("*").alias("record"))
     on = lambda: (F.col("content") == F.col("_gone_content")) & F.col("id").eqNullSafe(F.col("_gone_id"))

@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpus_pipeline import drop_near_duplicates
-from locusflow.llm.common import documents
+from locusflow.llm import simhash
+from locusflow.llm.common import Scratch, documents
 
 from ..conftest import SF
 
@@ -59,3 +63,70 @@ def test_near_copies_of_documents(spark):
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     kept = [r.doc_id for r in drop_near_duplicates(spark, docs, SF).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == slow_kept(texts)
+
+
+def dense_nodes(spark):
+    """Nodes of a group so dense that its keys are crowded, of strangers and of one text twice; (nodes, texts by node)."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(w if draw.random() > 0.025 else word() for w in base) for _ in range(90)]
+    texts += [" ".join(word() for _ in range(80)) for _ in range(20)]
+    texts = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "id long, text string").withColumn("content", F.xxhash64("text"))
+    marked = simhash.sketched(texts)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("best")
+    longs = [f"b{i}" for i in range(simhash.LONGS)]
+    nodes = marked.groupBy("node").agg(best, F.first("words").alias("words"), *[F.first(b).alias(b) for b in longs]).cache()
+    held = {r.node: (tuple(r[b] & (2**64 - 1) for b in longs), r.best.id) for r in nodes.collect()}
+    said = {r.id: r.text for r in texts.collect()}
+    return nodes, texts, {n: (bits, said[i]) for n, (bits, i) in held.items()}
+
+
+def slow_candidates(held) -> set[tuple[int, int]]:
+    """All pairs of nodes with a segment that differs in one bit at most, near in the last long and in all."""
+    found, nodes = set(), sorted(held)
+    per, mask = 64 // simhash.WIDTH, (1 << simhash.WIDTH) - 1
+    for n, u in enumerate(nodes):
+        for v in nodes[n + 1 :]:
+            differ = [a ^ b for a, b in zip(held[u][0], held[v][0], strict=True)]
+            cuts = [differ[i // per] >> simhash.WIDTH * (i % per) & mask for i in range(simhash.SEGMENTS)]
+            if min(c.bit_count() for c in cuts) <= 1 and differ[-1].bit_count() <= simhash.NEAR_BITS and sum(d.bit_count() for d in differ) <= simhash.MOST_BITS:
+                found.add((u, v))
+    return found
+
+
+@pytest.mark.parametrize("part_rows", [7, 4096])
+def test_crowded_keys_give_all_pairs(spark, part_rows):
+    """All near pairs of different roots and no other, in however many parts the nodes of a key meet."""
+    nodes, _, held = dense_nodes(spark)
+    roots = {n: min(held) if i % 3 == 0 else n for i, n in enumerate(sorted(held))}
+    rows = nodes.join(spark.createDataFrame(list(roots.items()), "node long, root long"), "node")
+    wanted = {(u, v) for u, v in slow_candidates(held) if roots[u] != roots[v]}
+    got = [tuple(r) for r in simhash.crowded(rows, part_rows).collect()]
+    assert len(wanted) > 500 and len(got) == len(set(got)) and set(got) == wanted
+    one = rows.withColumn("root", F.lit(1).cast("long"))
+    assert simhash.crowded(one, part_rows).count() == 0 == simhash.crowded(rows.limit(0), part_rows).count()
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_links_are_those_of_all_candidates(spark, few):
+    """What is connected doesn't depend on how many nodes of a key are compared at once."""
+    nodes, texts, held = dense_nodes(spark)
+    sets = {n: simhash.shingles(text) for n, (_, text) in held.items()}
+    parent = {n: n for n in held}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in slow_candidates(held):
+        if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+            x, y = root(u), root(v)
+            parent[max(x, y)] = min(x, y)
+    scratch = Scratch(spark, "near-test")
+    edges = simhash.similar(nodes, texts.select("content", "text"), scratch, few=few, part_rows=16)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert {n: got.get(n, n) for n in held} == {n: root(n) for n in held}
+    assert 10 < len({root(n) for n in held}) < len(held) - 10
+    scratch.close()
