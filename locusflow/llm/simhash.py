@@ -185,7 +185,7 @@ SIZE, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH, LONGS = 20, 16, 6
 NEAR_BITS, MOST_BITS = 20, 84  # of 64 and of 384: 3.6 deviations above what similarity 0.8 gives
 BLOCK = 1 << 16
-FEW, PART_ROWS = 8, 4096  # nodes of a key of which all pairs are compared at once; nodes of a part of a larger key
+FEW, PART_ROWS = 16, 4096  # nodes of a key of which all pairs are compared at once; nodes of a part of a larger key
 _STEPS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LONGS = [f"b{i}" for i in range(LONGS)]
 SKETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("content", "node", *_LONGS)] + [T.StructField("words", T.BooleanType())])
@@ -262,12 +262,17 @@ def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count((left ^ right).view(np.uint64)) <= NEAR_BITS
 
 
-def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one key that are near.
+#: What a row (u, v) of :func:`met` says, to be combined: u and v may be alike; u is a hub and v has to do with its
+#: nodes; u = v is a node whose key may go on elsewhere; u = v is a key of which pairs may be left out.
+PAIR, OF_HUB, OPEN, KEY = 1, 2, 4, 8
 
-    All pairs are compared where ``few`` nodes or less share a key. Of more, the first that is left
-    takes all near ones away with it and meets them; a node of such a key that is near to any other
-    is marked by a pair with itself, as its further pairs are left to :func:`crowded`.
+
+def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(u, v, what they are) of nodes that share a key; only near ones make pairs.
+
+    All pairs are compared where ``few`` nodes or less share a key. Of more, the first that is left,
+    a hub, takes all near ones away with it and makes pairs with them alone. A node is named with
+    each hub that took, or is, one near to it: pairs left out are between nodes that share a hub.
     """
     new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
     size = np.diff(np.append(new, len(key)))
@@ -276,24 +281,29 @@ def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray, few: int) -> Itera
         at = at[at >= back]
         at = at[key[at] == key[at - back]]
         hit = at[_near(near[at], near[at - back])]
-        yield node[hit - back], node[hit]
+        yield node[hit - back], node[hit], PAIR
     for begin, n in zip(new[size > few].tolist(), size[size > few].tolist(), strict=True):
         ours, marks = node[begin : begin + n], near[begin : begin + n]
-        left = np.arange(n)
+        left, hub = np.arange(n), np.zeros(n, np.int64)
         while len(left):
-            hub, close = left[0], _near(marks, marks[left[0]])
-            taken = close[left]
-            if close.sum() > 1:
-                yield ours[left[taken]], ours[left[taken]]
-                yield np.full(int(taken.sum()) - 1, ours[hub]), ours[left[taken][1:]]
+            taken = _near(marks[left], marks[left[0]])
+            hub[left[taken]] = left[0]
+            yield np.full(int(taken.sum()) - 1, ours[left[0]]), ours[left[taken][1:]], PAIR | OF_HUB
             left = left[~taken]
+        hubs = len(np.unique(hub))
+        if hubs < n:
+            yield key[begin : begin + 1], key[begin : begin + 1], KEY
+        for i in range(n if 1 < hubs < n else 0):  # as many hubs as nodes: none are near
+            others = np.unique(hub[_near(marks, marks[i])])
+            others = others[others != hub[i]]
+            yield ours[others], np.full(len(others), ours[i]), OF_HUB
 
 
 def met(index: DataFrame, few: int) -> DataFrame:
-    """(u, v), u <= v: nodes that share a key and are near in the last long; u = v marks one that :func:`crowded` has to see.
+    """(u, v, kind): what :func:`_met` finds in the keys of ``index``.
 
-    Keys are sorted over ranges of (key, node), so a frequent key fills several. Those of a key
-    that may go on in another task, or block, are marked.
+    Keys are sorted over ranges of (key, node), so a frequent key fills several. Nodes of a key
+    that may go on in another task, or block, are ``OPEN``.
     """
     import pyarrow as pa
 
@@ -305,16 +315,26 @@ def met(index: DataFrame, few: int) -> DataFrame:
             key, node, near = block
             found = list(_met(key, node, near, few))
             if last is None or key[0] == last:
-                found.append((node[key == key[0]],) * 2)
+                found += [(node[key == key[0]], node[key == key[0]], OPEN), (key[:1], key[:1], KEY)]
             if after is None or key[-1] == after[0][0]:
-                found.append((node[key == key[-1]],) * 2)
-            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            if len(u):
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                found += [(node[key == key[-1]], node[key == key[-1]], OPEN), (key[-1:], key[-1:], KEY)]
+            rows = [np.concatenate(x) for x in zip(*((u, v, np.full(len(u), kind)) for u, v, kind in found), strict=True)] if found else [[]]
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.stack(rows), axis=1)], names=["u", "v", "kind"])
             last, block = key[-1], after
 
-    return index.select("key", "node", "near").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u long, v long").distinct()
+    found = index.select("key", "node", "near").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u long, v long, kind long")
+    return found.groupBy("u", "v").agg(F.bit_or("kind").alias("kind"))
+
+
+def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): those of ``met`` that share a hub with one of another root, and all ``OPEN`` ones."""
+    is_kind = lambda kind: F.col("kind").bitwiseAND(F.lit(kind)) != 0
+    of_hub = found.filter(is_kind(OF_HUB)).select(F.col("u").alias("hub"), F.col("v").alias("node"))
+    of_hub = of_hub.unionByName(of_hub.select("hub", F.col("hub").alias("node")).distinct())
+    rooted = of_hub.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub")
+    return of_hub.join(mixed, "hub", "left_semi").select("node").unionByName(found.filter(is_kind(OPEN)).select(F.col("u").alias("node"))).distinct()
 
 
 def _across(node: np.ndarray, root: np.ndarray, part: np.ndarray, apart: bool, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -327,10 +347,10 @@ def _across(node: np.ndarray, root: np.ndarray, part: np.ndarray, apart: bool, b
         yield np.full(len(at), node[i]), node[at]
 
 
-def crowded(nodes: DataFrame, part_rows: int) -> DataFrame:
+def crowded(nodes: DataFrame, part_rows: int, keys: DataFrame | None = None) -> DataFrame:
     """(u, v), u < v: all pairs of ``nodes`` (node, root, b0-b5) that share a key, are near in all bits and differ in root.
 
-    A key whose nodes have one root has no such pair and goes. Nodes of another are cut into parts
+    With ``keys`` (key), only these count. A key whose nodes have one root has no such pair and goes. Nodes of another are cut into parts
     of about ``part_rows``, and each pair of parts meets in a task of its own.
     """
     import pyarrow as pa
@@ -348,6 +368,8 @@ def crowded(nodes: DataFrame, part_rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
     rows = segment_keys(nodes, "root", *_LONGS)
+    if keys is not None:
+        rows = rows.join(_small(keys), "key", "left_semi")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part_rows)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -392,12 +414,13 @@ def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: fl
     ``nodes`` has node, best (with the content of a text), b0-b5 and words; ``texts`` content and
     text. Each node's nearest candidate is verified first; the others only where they would connect
     what isn't connected then. Where over ``few`` nodes share a key, the first stands for those near
-    to it in these two steps; in a third, all pairs of such nodes that aren't connected yet are verified.
+    to it in these two steps; in a third, all pairs of those nodes are verified
+    that share such a first one with any node they aren't connected with by then.
     """
     found = scratch.table(met(segment_keys(nodes.filter("words")), few), "met")
     sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
     differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    pairs = found.filter("u < v").join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS)
+    pairs = found.filter(F.col("kind").bitwiseAND(F.lit(PAIR)) != 0).join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS)
     pairs = scratch.table(pairs, "candidates")
     first = scratch.table(pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select(F.col("x.u").alias("u"), "v"), "first")
     edges = verified(first, nodes, texts, scratch, "edges", similarity)
@@ -406,10 +429,11 @@ def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: fl
     rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     rest = scratch.table(rest.select("u", "v").join(first, ["u", "v"], "left_anti"), "rest")
     edges = edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
-    marked = found.filter("u = v").select(F.col("u").alias("node")).join(nodes.select("node", *_LONGS), "node")
     joined = scratch.table(components(edges), "joined")
-    marked = scratch.table(marked.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "marked")
-    last = scratch.table(crowded(marked, part_rows).join(pairs, ["u", "v"], "left_anti"), "last")
+    marked = unsettled(found, joined).join(nodes.select("node", *_LONGS), "node").join(joined, "node", "left")
+    marked = scratch.table(marked.withColumn("root", F.coalesce("root", "node")), "marked")
+    keys = found.filter(F.col("kind").bitwiseAND(F.lit(KEY)) != 0).select(F.col("u").cast("int").alias("key"))
+    last = scratch.table(crowded(marked, part_rows, keys).join(pairs, ["u", "v"], "left_anti"), "last")
     return edges.unionByName(verified(last, nodes, texts, scratch, "last-edges", similarity))
 
 
