@@ -185,7 +185,8 @@ SIZE, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH, LONGS = 20, 16, 6
 NEAR_BITS, MOST_BITS = 20, 84  # of 64 and of 384: 3.6 deviations above what similarity 0.8 gives
 BLOCK = 1 << 16
-FEW, PART_ROWS = 16, 4096  # nodes of a key of which all pairs are compared at once; nodes of a part of a larger key
+PART_BYTES = 8 << 20  # of texts of a part of a group
+FEW, PART_ROWS = 16, 2048  # nodes of a key of which all pairs are compared at once; nodes of a part of a larger key
 _STEPS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LONGS = [f"b{i}" for i in range(LONGS)]
 SKETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("content", "node", *_LONGS)] + [T.StructField("words", T.BooleanType())])
@@ -263,7 +264,7 @@ def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 #: What a row (u, v) of :func:`met` says, to be combined: u and v may be alike; u is a hub and v has to do with its
-#: nodes; u = v is a node whose key may go on elsewhere; u = v is a key of which pairs may be left out.
+#: nodes; u is a key that may go on elsewhere and v a node of it; u = v is a key of which pairs may be left out.
 PAIR, OF_HUB, OPEN, KEY = 1, 2, 4, 8
 
 
@@ -315,9 +316,9 @@ def met(index: DataFrame, few: int) -> DataFrame:
             key, node, near = block
             found = list(_met(key, node, near, few))
             if last is None or key[0] == last:
-                found += [(node[key == key[0]], node[key == key[0]], OPEN), (key[:1], key[:1], KEY)]
+                found += [(key[key == key[0]], node[key == key[0]], OPEN), (key[:1], key[:1], KEY)]
             if after is None or key[-1] == after[0][0]:
-                found += [(node[key == key[-1]], node[key == key[-1]], OPEN), (key[-1:], key[-1:], KEY)]
+                found += [(key[key == key[-1]], node[key == key[-1]], OPEN), (key[-1:], key[-1:], KEY)]
             rows = [np.concatenate(x) for x in zip(*((u, v, np.full(len(u), kind)) for u, v, kind in found), strict=True)] if found else [[]]
             if len(rows[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.stack(rows), axis=1)], names=["u", "v", "kind"])
@@ -328,13 +329,14 @@ def met(index: DataFrame, few: int) -> DataFrame:
 
 
 def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node): those of ``met`` that share a hub with one of another root, and all ``OPEN`` ones."""
+    """(hub, node): the hubs, and the ``OPEN`` keys, of ``met`` whose nodes differ in root, with these nodes; all pairs left out share one."""
     is_kind = lambda kind: F.col("kind").bitwiseAND(F.lit(kind)) != 0
     of_hub = found.filter(is_kind(OF_HUB)).select(F.col("u").alias("hub"), F.col("v").alias("node"))
     of_hub = of_hub.unionByName(of_hub.select("hub", F.col("hub").alias("node")).distinct())
+    of_hub = of_hub.unionByName(found.filter(is_kind(OPEN)).select(F.col("u").alias("hub"), F.col("v").alias("node")))
     rooted = of_hub.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub")
-    return of_hub.join(mixed, "hub", "left_semi").select("node").unionByName(found.filter(is_kind(OPEN)).select(F.col("u").alias("node"))).distinct()
+    return of_hub.join(mixed, "hub", "left_semi")
 
 
 def _across(node: np.ndarray, root: np.ndarray, part: np.ndarray, apart: bool, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -408,14 +410,88 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
+def across_groups(hubs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, part_rows: int) -> DataFrame:
+    """(u, v): verified pairs that connect all nodes which pairs of ``similarity`` connect inside the groups that ``hubs`` (hub, node) make up.
+
+    A group is cut into parts of about ``part_rows`` nodes or ``PART_BYTES`` of text, and each two parts meet in a
+    task, where all pairs of different roots are compared by all bits and near ones by their shingles.
+    So a text moves once for each part of its group, not for each pair, and no pairs are written but those that connect.
+    """
+    import pyarrow as pa
+
+    groups = components(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v")))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "hub_group")
+    members = groups.join(nodes.select("node", "best.content", *_LONGS), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = scratch.table(members, "members")
+    mixed = members.groupBy("hub_group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub_group")
+    members = members.join(mixed, "hub_group", "left_semi")
+    held = scratch.table(texts.join(_small(members.select("content", "node")), "content").dropDuplicates(["node"]).select("node", "text"), "group-texts")
+    whole = members.join(held, "node")
+    size = F.greatest(F.count("*") / part_rows, F.sum(F.octet_length("text")) / PART_BYTES)
+    rows = whole.join(whole.groupBy("hub_group").agg(F.ceil(size).alias("parts")), "hub_group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rows = rows.select(F.xxhash64("hub_group", low, high).alias("place"), F.when(low < high, 1).otherwise(0).cast("long").alias("apart"), "node", "root", "part", *_LONGS, "text")
+
+    def connecting(numbers: list[np.ndarray], said: list[str]) -> list[tuple[int, int]]:
+        apart, node, root, part, *bits = numbers
+        sets: dict[int, set[bytes]] = {}
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        def words(i: int) -> set[bytes]:
+            if i not in sets:
+                sets[i] = shingles(said[i])
+            return sets[i]
+
+        marks, out = np.stack(bits, axis=1), []
+        for i in range(len(node) - 1):
+            at = np.flatnonzero(np.bitwise_count((marks[i + 1 :] ^ marks[i]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= MOST_BITS) + i + 1
+            at = at[(root[at] != root[i]) & ((part[at] != part[i]) | (apart[0] == 0))]
+            for j in at.tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x == y:
+                    continue
+                mine, other = words(i), words(j)
+                least, most = sorted((len(mine), len(other)))
+                if least >= similarity * most and (same := len(mine & other)) / (least + most - same) >= similarity:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(node[i]), int(node[j])))
+        return out
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list) -> pa.RecordBatch:
+            found = connecting([np.concatenate([h[0][c] for h in held]) for c in range(len(held[0][0]))], [t for h in held for t in h[1]])
+            return pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["u", "v"])
+
+        last, held = None, []
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            cuts = [*np.flatnonzero(np.diff(place, prepend=place[:1] - 1)).tolist(), len(place)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if held and place[begin] != last:
+                    yield done(held)
+                    held = []
+                last, piece = place[begin], batch.slice(begin, end - begin)
+                held.append(([piece.column(c).to_numpy() for c in ("apart", "node", "root", "part", *_LONGS)], piece.column("text").to_pylist()))
+        if held:
+            yield done(held)
+
+    return scratch.table(rows.repartition("place").sortWithinPartitions("place").mapInArrow(each, "u long, v long"), "last-edges")
+
+
 def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, few: int = FEW, part_rows: int = PART_ROWS) -> DataFrame:
     """(u, v): verified pairs that connect all nodes that candidates of ``similarity`` connect.
 
     ``nodes`` has node, best (with the content of a text), b0-b5 and words; ``texts`` content and
     text. Each node's nearest candidate is verified first; the others only where they would connect
     what isn't connected then. Where over ``few`` nodes share a key, the first stands for those near
-    to it in these two steps; in a third, all pairs of those nodes are verified
-    that share such a first one with any node they aren't connected with by then.
+    to it in these two steps; in a third, all pairs of those nodes are compared
+    that share such a first one, over others too, and aren't connected by then.
     """
     found = scratch.table(met(segment_keys(nodes.filter("words")), few), "met")
     sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
@@ -430,11 +506,8 @@ def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: fl
     rest = scratch.table(rest.select("u", "v").join(first, ["u", "v"], "left_anti"), "rest")
     edges = edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
     joined = scratch.table(components(edges), "joined")
-    marked = unsettled(found, joined).join(nodes.select("node", *_LONGS), "node").join(joined, "node", "left")
-    marked = scratch.table(marked.withColumn("root", F.coalesce("root", "node")), "marked")
-    keys = found.filter(F.col("kind").bitwiseAND(F.lit(KEY)) != 0).select(F.col("u").cast("int").alias("key"))
-    last = scratch.table(crowded(marked, part_rows, keys).join(pairs, ["u", "v"], "left_anti"), "last")
-    return edges.unionByName(verified(last, nodes, texts, scratch, "last-edges", similarity))
+    hubs = scratch.table(unsettled(found, joined), "hubs")
+    return edges.unionByName(across_groups(hubs, joined, nodes, texts, scratch, similarity, part_rows))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,8 +530,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     same = lambda x, y: (x["content"] == y["content"]) & x["id"].eqNullSafe(y["id"])
     rows = rows.alias("r").join(heads.withColumn("kept", F.lit(True)).alias("h"), same(rows, heads), "left").select("r.id", "r.content", "n", "kept")
     rows = scratch.table(rows.filter("kept IS NULL OR n > 1"), "rows")  # those that go, and those of which one row stays
-    edges = [f"{n}{x}" for n in ("edges", "more-edges", "last-edges") for x in ("", "-texts")]
-    scratch.drop("sketches", "nodes", "met", "candidates", "first", "roots", "rest", "joined", "marked", "last", *edges)
+    edges = [f"{n}{x}" for n in ("edges", "more-edges") for x in ("", "-texts")]
+    scratch.drop("sketches", "nodes", "met", "candidates", "first", "roots", "rest", "joined", "hubs", "members", "group-texts", "last-edges", *edges)
     known = lambda which: _small(rows.filter(which).select(F.col("id").alias("_gone_id"), F.col("content").alias("_gone_content")))
     boxed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.struct("*").alias("record"))
     on = lambda: (F.col("content") == F.col("_gone_content")) & F.col("id").eqNullSafe(F.col("_gone_id"))

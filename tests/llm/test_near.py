@@ -130,3 +130,31 @@ def test_links_are_those_of_all_candidates(spark, few):
     assert {n: got.get(n, n) for n in held} == {n: root(n) for n in held}
     assert 10 < len({root(n) for n in held}) < len(held) - 10
     scratch.close()
+
+
+@pytest.mark.parametrize("part_rows", [20, 4096])
+def test_groups_give_connecting_pairs_alone(spark, part_rows):
+    """In however many parts a dense group meets, what is written connects it as all pairs do, and isn't all pairs."""
+    nodes, texts, held = dense_nodes(spark)
+    sets = {n: simhash.shingles(text) for n, (_, text) in held.items()}
+    ids, parent, near = sorted(held), {n: n for n in held}, 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, u in enumerate(ids):
+        for v in ids[n + 1 :]:
+            if sum((a ^ b).bit_count() for a, b in zip(held[u][0], held[v][0], strict=True)) <= simhash.MOST_BITS and len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+                near += 1
+                x, y = root(u), root(v)
+                parent[max(x, y)] = min(x, y)
+    hubs = spark.createDataFrame([(ids[0], n) for n in ids[1:]], "hub long, node long")
+    scratch = Scratch(spark, "groups-test")
+    edges = simhash.across_groups(hubs, spark.createDataFrame([], "node long, root long"), nodes, texts.select("content", "text"), scratch, 0.8, part_rows)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    parts = -(-len(ids) // part_rows)
+    assert {n: got.get(n, n) for n in ids} == {n: root(n) for n in ids}
+    assert edges.count() <= min(near, len(ids) * parts)
+    scratch.close()
