@@ -24,6 +24,8 @@ SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Up to so many signature keys (16 bytes each) are sent to every task; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
+#: Of edges: those that a task shortens at once; those for which components() has a task, and the tasks it has at least.
+STAR_EDGES, TASK_EDGES, LEAST_TASKS = 1_000_000, 100_000, 6
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -134,6 +136,41 @@ def _dense(held: DataFrame) -> DataFrame:
     return groups.select("u", F.explode("fps").alias("v")).filter("u <> v").select("u", "v")
 
 
+def _shortened(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): each node that these edges connect to a smaller one, with the least of them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low, seen = at[: len(u)], at[len(u) :], np.arange(len(nodes)), None
+    while seen is None or (low != seen).any():
+        seen = low
+        low, least = seen.copy(), np.minimum(seen[a], seen[b])
+        for ends in (a, b, seen[a], seen[b]):
+            np.minimum.at(low, ends, least)
+        low = low[low]
+    far = low != np.arange(len(nodes))
+    return nodes[far], nodes[low[far]]
+
+
+def shortened(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that connect what ``edges`` do: in each task, stars instead of what it has."""
+    import pyarrow as pa
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("u", "v"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _shortened(*ends)], names=["u", "v"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= STAR_EDGES:
+                yield star(held)
+                held = []
+        if held:
+            yield star(held)
+
+    return edges.select("u", "v").mapInArrow(each, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that edges (u, v) connect to each node that has an edge.
 
@@ -141,19 +178,26 @@ def components(edges: DataFrame) -> DataFrame:
     stars (those below do), each a distributed join, until neither changes the edges; rounds grow
     with the logarithm of the nodes. Least neighbours are written out, so that both sides of the
     joins come from exchanges of their own and Spark can split the node of a giant component.
+    Between rounds each task shortens what it has to stars, and there are only as many tasks as the
+    edges need, as every one leaves files in each exchange.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    now = checkpointed(shortened(edges.filter("u <> v")))
+    tasks_for = lambda n: max(LEAST_TASKS, -(-n // TASK_EDGES))
+    tasks = tasks_for(now.count())
+    now = checkpointed(shortened(now.coalesce(tasks)).distinct().coalesce(tasks))
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
+        tasks = tasks_for(seen[0])
+        now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("u").alias("c"), "m")
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks))
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpointed(large.distinct().coalesce(tasks))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
+        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("u").alias("c"), "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("c").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v")
-        now = checkpointed(small.distinct())
+        now = checkpointed(shortened(small.coalesce(tasks)).distinct().coalesce(tasks))
         new = mark(now)
         if new == seen:
             break
@@ -232,13 +276,18 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("id", "content", "text").mapInArrow(each, T.StructType([docs.schema["id"], *SKETCH.fields]))
 
 
-def segment_keys(nodes: DataFrame, *more: str) -> DataFrame:
-    """(key, node, near) and ``more``: each segment with each of its bits struck out, 320 keys a node; near is the last long."""
+def segment_keys(nodes: DataFrame, *more: str, segments: tuple[int, int] = (0, SEGMENTS), valued: bool = False) -> DataFrame:
+    """(key, node, near) and ``more``: each of the segments with each of its bits struck out, 320 keys a node of all; near is the last long.
+
+    ``valued``: the key is doubled, and has the value of the bit struck out as its last bit.
+    """
     per, mask = 64 // WIDTH, (1 << WIDTH) - 1
-    cuts = ", ".join(f"cast(shiftrightunsigned(b{s // per}, {WIDTH * (s % per)}) & {mask}L as int)" for s in range(SEGMENTS))
+    cuts = ", ".join(f"cast(shiftrightunsigned(b{s // per}, {WIDTH * (s % per)}) & {mask}L as int)" for s in range(*segments))
     masks = ", ".join(str(mask ^ (1 << b)) for b in range(WIDTH))
     nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # 320 rows come of each
-    variants = f"transform(array({cuts}), (c, s) -> transform(array({masks}), (m, b) -> (c & m) | shiftleft(s * {WIDTH} + b, {WIDTH})))"
+    key = f"(c & m) | shiftleft((s + {segments[0]}) * {WIDTH} + b, {WIDTH})"
+    key = f"shiftleft({key}, 1) | (shiftright(c, b) & 1)" if valued else key
+    variants = f"transform(array({cuts}), (c, s) -> transform(array({masks}), (m, b) -> {key}))"
     return nodes.select(F.explode(F.flatten(F.expr(variants))).alias("key"), "node", F.col(f"b{LONGS - 1}").alias("near"), *more)
 
 
@@ -263,48 +312,68 @@ def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count((left ^ right).view(np.uint64)) <= NEAR_BITS
 
 
-#: What a row (u, v) of :func:`met` says, to be combined: u and v may be alike; u is a hub and v has to do with its
-#: nodes; u is a key that may go on elsewhere and v a node of it; u = v is a key of which pairs may be left out.
-PAIR, OF_HUB, OPEN, KEY = 1, 2, 4, 8
+#: What a row (u, v) of :func:`met` says, to be combined: u and v may be alike; u and v, or a key u and its node v, are of one group.
+PAIR, LINK = 1, 2
 
 
-def _met(key: np.ndarray, node: np.ndarray, near: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(u, v, what they are) of nodes that share a key; only near ones make pairs.
+def _met(key: np.ndarray, value: np.ndarray, node: np.ndarray, near: np.ndarray, group: np.ndarray, few: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(u, v, what they are) of near nodes of different groups that share a key.
 
-    All pairs are compared where ``few`` nodes or less share a key. Of more, the first that is left,
-    a hub, takes all near ones away with it and makes pairs with them alone. A node is named with
-    each hub that took, or is, one near to it: pairs left out are between nodes that share a hub.
+    Nodes that agree in a whole segment share all its keys, and are pairs in the first of these
+    alone: in others only those are that differ in the bit struck out. Where the nodes of a key make
+    as many pairs as they are, or more, links that connect the same nodes stand for the pairs. Keys
+    of up to ``few`` nodes are compared together, others one at a time.
     """
     new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
     size = np.diff(np.append(new, len(key)))
-    at = np.flatnonzero(np.repeat(size <= few, size))
+    at, first = np.flatnonzero(np.repeat(size <= few, size)), (key >> WIDTH) % WIDTH == 0
+    of, some = np.repeat(np.arange(len(size)), size), []
     for back in range(1, int(size[size <= few].max(initial=1))):
         at = at[at >= back]
         at = at[key[at] == key[at - back]]
-        hit = at[_near(near[at], near[at - back])]
-        yield node[hit - back], node[hit], PAIR
+        to = at - back
+        hit = (group[at] != group[to]) & (first[at] | (value[at] != value[to]))
+        hit[hit] = _near(near[at[hit]], near[to[hit]])
+        some.append((to[hit], at[hit]))
+    if some:
+        u, v = (np.concatenate([x[i] for x in some]) for i in (0, 1))
+        dense = np.bincount(of[u], minlength=len(size))[of[u]] >= size[of[u]]
+        yield node[u[~dense]], node[v[~dense]], PAIR
+        yield node[u[dense]], node[v[dense]], LINK
     for begin, n in zip(new[size > few].tolist(), size[size > few].tolist(), strict=True):
-        ours, marks = node[begin : begin + n], near[begin : begin + n]
-        left, hub = np.arange(n), np.zeros(n, np.int64)
-        while len(left):
-            taken = _near(marks[left], marks[left[0]])
-            hub[left[taken]] = left[0]
-            yield np.full(int(taken.sum()) - 1, ours[left[0]]), ours[left[taken][1:]], PAIR | OF_HUB
-            left = left[~taken]
-        hubs = len(np.unique(hub))
-        if hubs < n:
-            yield key[begin : begin + 1], key[begin : begin + 1], KEY
-        for i in range(n if 1 < hubs < n else 0):  # as many hubs as nodes: none are near
-            others = np.unique(hub[_near(marks, marks[i])])
-            others = others[others != hub[i]]
-            yield ours[others], np.full(len(others), ours[i]), OF_HUB
+        ours, marks, groups = (x[begin : begin + n] for x in (node, near, group))
+        ones = 0 if first[begin] else int(np.searchsorted(value[begin : begin + n], 1))
+        pairs, held = [], 0
+        for i in range(ones or (n - 1) * bool(first[begin])):
+            to = max(ones, i + 1)
+            others = to + np.flatnonzero(_near(marks[to:], marks[i]) & (groups[to:] != groups[i]))
+            pairs.append((np.full(len(others), ours[i]), ours[others], PAIR))
+            held += len(others)
+            if held >= n:
+                pairs = _linked(ours, marks, groups)
+                break
+        yield from pairs
+
+
+def _linked(node: np.ndarray, near: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Links between near nodes, those of different groups, that with the groups connect all near ones."""
+    left, wave = np.arange(len(node)), []
+    while len(left):
+        if not wave:
+            wave, left = [int(left[0])], left[1:]
+        i = wave.pop()
+        hit = _near(near[left], near[i])
+        taken, left = left[hit], left[~hit]
+        wave += taken.tolist()
+        taken = taken[group[taken] != group[i]]
+        yield np.full(len(taken), node[i]), node[taken], LINK
 
 
 def met(index: DataFrame, few: int) -> DataFrame:
-    """(u, v, kind): what :func:`_met` finds in the keys of ``index``.
+    """(u, v, kind): what :func:`_met` finds in the keys of ``index`` (key, node, near and perhaps root, a group that the node has).
 
-    Keys are sorted over ranges of (key, node), so a frequent key fills several. Nodes of a key
-    that may go on in another task, or block, are ``OPEN``.
+    A key's rows are in one task. They are few, as each node has one row in each of hundreds of keys, and
+    if they are over ``BLOCK`` all the same, the key links all its nodes.
     """
     import pyarrow as pa
 
@@ -313,30 +382,36 @@ def met(index: DataFrame, few: int) -> DataFrame:
         block = next(blocks, None)
         while block:
             after = next(blocks, None)
-            key, node, near = block
-            found = list(_met(key, node, near, few))
-            if last is None or key[0] == last:
-                found += [(key[key == key[0]], node[key == key[0]], OPEN), (key[:1], key[:1], KEY)]
-            if after is None or key[-1] == after[0][0]:
-                found += [(key[key == key[-1]], node[key == key[-1]], OPEN), (key[-1:], key[-1:], KEY)]
-            rows = [np.concatenate(x) for x in zip(*((u, v, np.full(len(u), kind)) for u, v, kind in found), strict=True)] if found else [[]]
-            if len(rows[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.stack(rows), axis=1)], names=["u", "v", "kind"])
+            key, node = block[0], block[2]
+            found = list(_met(*block, few))
+            for open_, goes_on in ((key[0], last is not None and last == key[0]), (key[-1], after is not None and after[0][0] == key[-1])):
+                if goes_on:
+                    found.append((key[key == open_], node[key == open_], LINK))
+            u, v, kind = (np.concatenate(x) for x in zip((key[:0], key[:0], key[:0]), *((u, v, np.full(len(u), kind)) for u, v, kind in found), strict=True))
+            low, least = _shortened(u[kind == LINK], v[kind == LINK])
+            pairs = np.unique(np.stack([u, v])[:, kind == PAIR], axis=1)
+            ends = np.append(least, 0)[np.searchsorted(low, pairs)], np.append(low, 0)[np.searchsorted(low, pairs)] == pairs
+            tops = np.where(ends[1], ends[0], pairs)
+            pairs = pairs[:, tops[0] != tops[1]]  # others are linked
+            if len(low) + pairs.shape[1]:
+                kind = np.repeat([LINK, PAIR], [len(low), pairs.shape[1]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(least, pairs[0])), pa.array(np.append(low, pairs[1])), pa.array(kind)], names=["u", "v", "kind"])
             last, block = key[-1], after
 
-    found = index.select("key", "node", "near").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u long, v long, kind long")
+    group = F.coalesce("root", "node") if "root" in index.columns else F.col("node")
+    rows = index.repartitionByRange(F.shiftright("key", 1)).sortWithinPartitions("key", "node")
+    rows = rows.select(F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)).alias("value"), "node", "near", group.alias("group"))
+    found = rows.mapInArrow(each, "u long, v long, kind long")
     return found.groupBy("u", "v").agg(F.bit_or("kind").alias("kind"))
 
 
-def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """(hub, node): the hubs, and the ``OPEN`` keys, of ``met`` whose nodes differ in root, with these nodes; all pairs left out share one."""
-    is_kind = lambda kind: F.col("kind").bitwiseAND(F.lit(kind)) != 0
-    of_hub = found.filter(is_kind(OF_HUB)).select(F.col("u").alias("hub"), F.col("v").alias("node"))
-    of_hub = of_hub.unionByName(of_hub.select("hub", F.col("hub").alias("node")).distinct())
-    of_hub = of_hub.unionByName(found.filter(is_kind(OPEN)).select(F.col("u").alias("hub"), F.col("v").alias("node")))
-    rooted = of_hub.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub")
-    return of_hub.join(mixed, "hub", "left_semi")
+def grouping(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the pairs of ``met`` that are near in all bits, and its links."""
+    linked = F.col("kind").bitwiseAND(F.lit(LINK)) != 0
+    sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
+    differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = found.filter(~linked).join(sides[0], "u").join(sides[1], "v").filter(differ <= MOST_BITS)
+    return pairs.select("u", "v").unionByName(found.filter(linked).select("u", "v"))
 
 
 def _across(node: np.ndarray, root: np.ndarray, part: np.ndarray, apart: bool, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -381,39 +456,15 @@ def crowded(nodes: DataFrame, part_rows: int, keys: DataFrame | None = None) ->
     return rows.repartition("place").sortWithinPartitions("place", "apart").mapInArrow(each, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) whose texts' shingles have a Jaccard similarity of at least ``similarity``."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "best.content"), "node")
-    held = scratch.table(texts.join(_small(asked), "content").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
-    sides = [held.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("v", "u")]
-
-    def each(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        last, mine = None, set()
-        for batch in (part for whole in batches for half in slices(whole, "text_u", 4 << 20) for part in slices(half, "text_v", 4 << 20)):
-            out = []
-            for u, v, left, right in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v")), strict=True):
-                if u != last:
-                    last, mine = u, shingles(left)
-                other = shingles(right)
-                same = len(mine & other)
-                if same / (len(mine) + len(other) - same) >= similarity:
-                    out.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    return scratch.table(pairs.join(sides[0], "v").join(sides[1], "u").select("u", "v", "text_u", "text_v").mapInArrow(each, "u long, v long"), name)
-
-
 def _small(rows: DataFrame) -> DataFrame:
     """``rows`` of a few numbers, sent to every task if they are at most ``BROADCAST_KEYS``; more are joined by shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
-def across_groups(hubs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, part_rows: int) -> DataFrame:
+def across_groups(hubs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, part_rows: int) -> DataFrame:
     """(u, v): verified pairs that connect all nodes which pairs of ``similarity`` connect inside the groups that ``hubs`` (hub, node) make up.
 
-    A group is cut into parts of about ``part_rows`` nodes or ``PART_BYTES`` of text, and each two parts meet in a
+    Nodes of one root in ``roots`` (node, root) are connected already. A group is cut into parts of about ``part_rows`` nodes or ``PART_BYTES`` of text, and each two parts meet in a
     task, where all pairs of different roots are compared by all bits and near ones by their shingles.
     So a text moves once for each part of its group, not for each pair, and no pairs are written but those that connect.
     """
@@ -421,10 +472,13 @@ def across_groups(hubs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Da
 
     groups = components(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v")))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "hub_group")
-    members = groups.join(nodes.select("node", "best.content", *_LONGS), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = scratch.table(members, "members")
-    mixed = members.groupBy("hub_group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub_group")
-    members = members.join(mixed, "hub_group", "left_semi")
+    members = groups.join(nodes.select("node", "best.content", *_LONGS), "node")
+    if roots is None:
+        members = scratch.table(members.withColumn("root", F.col("node")), "members")
+    else:
+        members = scratch.table(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+        mixed = members.groupBy("hub_group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("hub_group")
+        members = members.join(mixed, "hub_group", "left_semi")
     held = scratch.table(texts.join(_small(members.select("content", "node")), "content").dropDuplicates(["node"]).select("node", "text"), "group-texts")
     whole = members.join(held, "node")
     size = F.greatest(F.count("*") / part_rows, F.sum(F.octet_length("text")) / PART_BYTES)
@@ -488,26 +542,17 @@ def similar(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: fl
     """(u, v): verified pairs that connect all nodes that candidates of ``similarity`` connect.
 
     ``nodes`` has node, best (with the content of a text), b0-b5 and words; ``texts`` content and
-    text. Each node's nearest candidate is verified first; the others only where they would connect
-    what isn't connected then. Where over ``few`` nodes share a key, the first stands for those near
-    to it in these two steps; in a third, all pairs of those nodes are compared
-    that share such a first one, over others too, and aren't connected by then.
+    text. Candidates make up groups, and all pairs of a group are compared by their texts. The first
+    quarter of the segments gives groups that are nearly whole; by the others only candidates
+    of different groups are looked for, so that a dense group doesn't give all its pairs.
     """
-    found = scratch.table(met(segment_keys(nodes.filter("words")), few), "met")
-    sides = [nodes.select(F.col("node").alias(c), F.array(*_LONGS).alias(f"bits_{c}")) for c in ("u", "v")]
-    differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    pairs = found.filter(F.col("kind").bitwiseAND(F.lit(PAIR)) != 0).join(sides[0], "u").join(sides[1], "v").select("u", "v", differ.alias("d")).filter(F.col("d") <= MOST_BITS)
-    pairs = scratch.table(pairs, "candidates")
-    first = scratch.table(pairs.groupBy("v").agg(F.min(F.struct("d", "u")).alias("x")).select(F.col("x.u").alias("u"), "v"), "first")
-    edges = verified(first, nodes, texts, scratch, "edges", similarity)
-    roots = scratch.table(components(edges), "roots")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    rest = scratch.table(rest.select("u", "v").join(first, ["u", "v"], "left_anti"), "rest")
-    edges = edges.unionByName(verified(rest, nodes, texts, scratch, "more-edges", similarity))
-    joined = scratch.table(components(edges), "joined")
-    hubs = scratch.table(unsettled(found, joined), "hubs")
-    return edges.unionByName(across_groups(hubs, joined, nodes, texts, scratch, similarity, part_rows))
+    words, cut = nodes.filter("words"), SEGMENTS // 4
+    found = scratch.table(met(segment_keys(words, segments=(0, cut), valued=True), few), "met")
+    groups = components(grouping(found, nodes))
+    words = words.join(groups, "node", "left")
+    found = scratch.table(met(segment_keys(words, "root", segments=(cut, SEGMENTS), valued=True), few), "more-met")
+    hubs = groups.select(F.col("root").alias("hub"), "node").unionByName(grouping(found, nodes).toDF("hub", "node"))
+    return across_groups(hubs, None, nodes, texts, scratch, similarity, part_rows)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -530,8 +575,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     same = lambda x, y: (x["content"] == y["content"]) & x["id"].eqNullSafe(y["id"])
     rows = rows.alias("r").join(heads.withColumn("kept", F.lit(True)).alias("h"), same(rows, heads), "left").select("r.id", "r.content", "n", "kept")
     rows = scratch.table(rows.filter("kept IS NULL OR n > 1"), "rows")  # those that go, and those of which one row stays
-    edges = [f"{n}{x}" for n in ("edges", "more-edges") for x in ("", "-texts")]
-    scratch.drop("sketches", "nodes", "met", "candidates", "first", "roots", "rest", "joined", "hubs", "members", "group-texts", "last-edges", *edges)
+    scratch.drop("sketches", "nodes", "met", "more-met", "members", "group-texts", "last-edges")
     known = lambda which: _small(rows.filter(which).select(F.col("id").alias("_gone_id"), F.col("content").alias("_gone_content")))
     boxed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.struct("*").alias("record"))
     on = lambda: (F.col("content") == F.col("_gone_content")) & F.col("id").eqNullSafe(F.col("_gone_id"))

@@ -158,3 +158,41 @@ def test_groups_give_connecting_pairs_alone(spark, part_rows):
     assert {n: got.get(n, n) for n in ids} == {n: root(n) for n in ids}
     assert edges.count() <= min(near, len(ids) * parts)
     scratch.close()
+
+
+def test_rows_of_a_dense_group_are_few(spark):
+    """Texts that share keys by the dozen without being alike: no step writes, or joins, rows as their pairs."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    base = [word() for _ in range(150)]
+    said = [" ".join(w if draw.random() > 0.04 else word() for w in base) for _ in range(300)]
+    texts = spark.createDataFrame(list(enumerate(said)), "id long, text string").withColumn("content", F.xxhash64("text"))
+    best = F.struct(F.lit(False).alias("none"), "id", "content").alias("best")
+    nodes = simhash.sketched(texts).withColumn("best", best).cache()
+    written = {}
+
+    class Counted(Scratch):
+        def table(self, df, name):
+            held = super().table(df, name)
+            written[name] = held.count()
+            return held
+
+    scratch = Counted(spark, "dense-test")
+    edges = simhash.similar(nodes, texts.select("content", "text"), scratch)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    sets = {r.node: simhash.shingles(said[r.id]) for r in nodes.collect()}
+    parent = {n: n for n in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, u in enumerate(ids := sorted(sets)):
+        for v in ids[n + 1 :]:
+            if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]):
+                x, y = root(u), root(v)
+                parent[max(x, y)] = min(x, y)
+    assert {n: got.get(n, n) for n in ids} == {n: root(n) for n in ids} and 10 < len(got) < len(ids)
+    assert max(written.values()) <= 10 * len(ids), written
+    scratch.close()
