@@ -72,6 +72,19 @@ def test_fragments_of_gzipped_files_and_of_none(spark, tmp_path, records):
         fasta.tiles(fasta.fragments(spark, f"{tmp_path}/c.fa", f"{tmp_path}/r"), 4096).collect()
 
 
+def test_records_that_go_on_in_the_next_file(spark, tmp_path, records):
+    """A folder's files are one FASTA, wherever lines were dealt to them: inside a record, before a header, none at all."""
+    text = spelled(records).splitlines(keepends=True)
+    cuts = [0, 1, 9_000, 9_000, 16_395, 17_000, len(text) - 1, len(text)]
+    (tmp_path / "fa").mkdir()
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (tmp_path / f"fa/part-{i:05}.txt").write_text("".join(text[a:b]))
+    rows = fasta.tiles(fasta.fragments(spark, f"{tmp_path}/fa", f"{tmp_path}/pieces"), 4096).collect()
+    assert Counter((r.place, r.tile) for r in rows).most_common(1)[0][1] == 1
+    assert {(r.place, r.tile): r.bases for r in rows} == {(place, i // 4096): seq[i : i + 4096] for place, (_, seq, _) in enumerate(records) for i in range(0, max(1, len(seq)), 4096)}
+    assert {(r.place, r.header, r.size, r.width) for r in rows} == {(place, header, len(seq), min(width, len(seq))) for place, (header, seq, width) in enumerate(records)}
+
+
 def test_packed_tiles_lose_nothing(spark):
     draw = random.Random(2)
     texts = ["", "A", "ACGTACG", "NNNN", "acgtn", "ACGTé", "AC-GT*", "Hello, World", "aC" * 2000, "N" * 65_536, drawn(draw, 65_536), drawn(draw, 65_535), "t" * 9, *[drawn(draw, draw.randrange(200)) for _ in range(150)]]
